@@ -118,7 +118,7 @@ def _score_stream(spark, sf_dir):
     model = train_log_odds(classed(spark, sf_dir))
     docs = table(spark, sf_dir, "documents")
     out = scratch_path(spark, "stream")
-    arriving = read_stream(spark, f"{sf_dir}/documents.parquet", docs.schema)
+    arriving = read_stream(spark, sf_dir, docs.schema, files="documents.parquet")
     run = score_stream(arriving, model, f"{out}/rows", f"{out}/checkpoint", "doc_id")
     run.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("doc_id", "lang", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from textvariety.functions.text import _col, newline_to_space
 
 # Fixed value: ASCII blanks separating tokens.
 TOKEN_SEPARATOR = r"[ \t\n\x0B\f\r]+"
+LONG_WORD = 128
 
 
 def tokens(text: Column | str) -> Column:
@@ -21,48 +24,58 @@ def word_ngrams(words: Column | str, n: int) -> Column:
     words = _col(words)
     if n == 1:
         return words
-    if n == 2:
-        rest = F.greatest(F.size(words) - 1, F.lit(0))
-        pairs = F.zip_with(
-            F.slice(words, F.lit(1), rest),
-            F.slice(words, F.lit(2), rest),
+
+    def pairs(w: Column) -> Column:
+        rest = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(
+            F.slice(w, F.lit(1), rest),
+            F.slice(w, F.lit(2), rest),
             lambda a, b: F.concat_ws(" ", a, b),
         )
-        grams = pairs
-    else:
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        grams = F.transform(
-            starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
-        )
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        return _runs(F.size(w), n, lambda i, n: F.array_join(F.slice(w, i, n), " "))
+
+    return once(words, pairs if n == 2 else runs)
 
 
 def char_ngrams(word: Column | str, minn: int, maxn: int) -> Column:
     """Character n-grams of '<word>', without lone boundary marks.
 
-    The word is cut into code points once and grams are slices of that array,
-    so the cost is linear in the word even for megabyte-long tokens.
+    Substring has to walk to its start, so words longer than LONG_WORD are cut
+    into code points first: the cost stays linear for megabyte-long tokens.
     """
     if maxn < 1:
         return F.array().cast("array<string>")
-    marked = F.concat(F.lit("<"), _col(word), F.lit(">"))
-    chars = F.split(marked, "")
-    per_length = []
-    for n in range(max(minn, 1), maxn + 1):
-        if n == 1:
-            per_length.append(F.split(_col(word), ""))
-            continue
-        starts = F.sequence(F.lit(1), F.size(chars) - (n - 1))
-        grams = F.transform(
-            starts,
-            lambda i, n=n: F.array_join(F.slice(chars, i, F.lit(n)), ""),
-        )
-        per_length.append(
-            F.when(F.size(chars) >= n, grams).otherwise(
-                F.array().cast("array<string>")
-            )
-        )
-    return F.concat(*per_length)
+    word = _col(word)
+    marked = F.concat(F.lit("<"), word, F.lit(">"))
+    sizes = range(max(minn, 2), maxn + 1)
+
+    def short(w: Column) -> Column:
+        return F.concat(*(_runs(F.length(w), n, lambda i, n: F.substring(w, i, n)) for n in sizes))
+
+    def long(chars: Column) -> Column:
+        def run(i: Column, n: Column) -> Column:
+            return F.array_join(F.slice(chars, i, n), "")
+
+        return F.concat(*(_runs(F.size(chars), n, run) for n in sizes))
+
+    grams = F.when(F.length(word) <= LONG_WORD, once(marked, short)).otherwise(
+        once(F.split(marked, ""), long)
+    )
+    return F.concat(F.split(word, ""), grams) if minn <= 1 else grams
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(size: Column, n: int, run: Callable[[Column, Column], Column]) -> Column:
+    """run(i, n) for each start i of a run of n among `size` elements."""
+    starts = F.sequence(F.lit(1), size - (n - 1))
+    runs = F.transform(starts, lambda i: run(i, F.lit(n)))
+    return F.when(size >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
 def feature_bucket(feature: Column | str, bucket: int) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from textvariety.functions.features import char_ngrams, tokens, word_ngrams
 from textvariety.functions.text import known_label, non_empty_text, strip
+from textvariety.sources.scratch import scratch_path
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,7 @@ def train_logistic(
     """Fit on the rows with a known label and some text.
 
     Features are hashed, rare buckets zeroed, and the rest averaged over the
-    text. The stored model is a plain PipelineModel; score it with
+    text; the solver's scaling makes up for the smallness of averages. The stored model is a plain PipelineModel; score it with
     `score_logistic` under the same config.
     """
     config = config or LogisticConfig()
@@ -85,11 +86,15 @@ def train_logistic(
         LogisticRegression(
             maxIter=config.epochs,
             regParam=config.penalty,
-            standardization=False,
-            aggregationDepth=3,
+            aggregationDepth=2,
         )
     )
-    return Pipeline(stages=stages).fit(rows)
+    fitted = Pipeline(stages=stages).fit(rows)
+    # A reloaded model carries no training summary, hence no session: such
+    # models cannot be sent to tasks once the session has an Observation.
+    path = scratch_path(df.sparkSession, "logistic")
+    fitted.save(path)
+    return PipelineModel.load(path)
 
 
 def score_logistic(

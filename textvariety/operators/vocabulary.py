@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textvariety.functions.features import (
+    LONG_WORD,
     bucket_name,
-    char_ngrams,
+    once,
     tokens,
     word_ngrams,
 )
@@ -36,11 +37,60 @@ def char_ngram_counts(
     df: DataFrame, minn: int, maxn: int, text: str = "text"
 ) -> DataFrame:
     """(ngram, n) of the characters within words; distinct words are cut once."""
+    grams = explode_char_ngrams(vocabulary(df, text), minn, maxn, name="ngram")
+    return grams.groupBy("ngram").agg(F.sum("n").alias("n"))
+
+
+def explode_char_ngrams(
+    df: DataFrame, minn: int, maxn: int, word: str = "word", name: str = "gram"
+) -> DataFrame:
+    """One row per character n-gram of `word`, which is replaced by `name`.
+
+    The same n-grams as features.char_ngrams, made by generators and substring
+    so that they run in generated code. Long words are first cut into pieces
+    that overlap by maxn - 1: a row never drags a long word along.
+    """
+    others = [c for c in df.columns if c != word]
+    marked = F.concat(F.lit("<"), F.col(word), F.lit(">"))
+
+    def piece(text: Column, first: Column, last: Column) -> Column:
+        return F.struct(text.alias("_w"), first.alias("_first"), last.alias("_last"))
+
+    def cut(chars: Column) -> Column:
+        last = F.floor((F.size(chars) - 1) / F.lit(LONG_WORD)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda p: piece(
+                F.array_join(
+                    F.slice(chars, p * LONG_WORD + 1, F.lit(LONG_WORD + maxn - 1)), ""
+                ),
+                p == 0,
+                p == last,
+            ),
+        )
+
+    pieces = F.when(
+        F.length(word) <= LONG_WORD - 2,
+        F.array(piece(marked, F.lit(True), F.lit(True))),
+    ).otherwise(once(F.split(marked, ""), cut))
+    size, start = F.length("_w"), F.col("_i")
+    starts = F.sequence(F.lit(1), F.least(size, F.lit(LONG_WORD)))
+
+    def gram(n: int) -> Column:
+        fits = start + (n - 1) <= size
+        if n == 1:
+            fits &= ~(F.col("_first") & (start == 1))
+            fits &= ~(F.col("_last") & (start == size))
+        return F.when(fits, F.substring("_w", start, F.lit(n)))
+
     return (
-        vocabulary(df, text)
-        .select(F.explode(char_ngrams("word", minn, maxn)).alias("ngram"), "n")
-        .groupBy("ngram")
-        .agg(F.sum("n").alias("n"))
+        df.select(*others, F.inline(pieces))
+        .select(*others, "_w", "_first", "_last", F.explode(starts).alias("_i"))
+        .select(
+            *others,
+            F.explode(F.array(*(gram(n) for n in range(max(minn, 1), maxn + 1)))).alias(name),
+        )
+        .filter(F.col(name).isNotNull())
     )
 
 
@@ -61,8 +111,6 @@ def feature_counts(
     Texts are placed by document first: the shuffle carries each text once, and
     both counts of a document are then taken in place.
     """
-    words, no_grams = tokens(text), F.array().cast("array<string>")
-
     def item(value: Column, is_word: bool) -> Column:
         return F.struct(value.alias("item"), F.lit(is_word).alias("is_word"))
 
@@ -71,30 +119,24 @@ def feature_counts(
         grams = F.transform(word_ngrams("_words", n), lambda g: item(g, False))
         items = F.concat(items, grams)
     counts = (
-        df.select(key, words.alias("_words"))
+        df.select(key, tokens(text).alias("_words"))
         .repartition(key)
         .select(key, F.inline(items))
         .groupBy(key, "item", "is_word")
         .agg(F.count("*").alias("n"))
     )
-    named = F.lit(True)
+    words = counts.filter("is_word").select(key, "item", "n")
+    parts = words.withColumnRenamed("item", "feature")
     if vocab is not None:
-        listed = vocab.select(F.col("word").alias("item"), F.lit(True).alias("_listed"))
-        counts = counts.join(listed, "item", "left")
-        named = F.col("_listed").isNotNull()
+        listed = vocab.select(F.col("word").alias("feature"))
+        parts = parts.join(listed, "feature", "left_semi").select(key, "feature", "n")
     if word_n == 1 and maxn == 0:
-        return counts.filter(named).select(key, F.col("item").alias("feature"), "n")
-    word_features = F.concat(
-        F.when(named, F.array("item")).otherwise(no_grams),
-        F.transform(
-            char_ngrams("item", minn, maxn), lambda g: bucket_name(g, bucket)
-        ),
-    )
-    features = F.when(F.col("is_word"), word_features).otherwise(
-        F.array(bucket_name("item", bucket))
-    )
-    return (
-        counts.select(key, F.explode(features).alias("feature"), "n")
-        .groupBy(key, "feature")
-        .agg(F.sum("n").alias("n"))
-    )
+        return parts
+    grams = counts.filter(~F.col("is_word")).select(key, "item", "n")
+    if maxn > 0:
+        grams = grams.unionByName(
+            explode_char_ngrams(words, minn, maxn, word="item", name="item")
+        )
+    hashed = grams.select(key, bucket_name("item", bucket).alias("feature"), "n")
+    both = parts.unionByName(hashed)
+    return both.groupBy(key, "feature").agg(F.sum("n").alias("n"))

@@ -41,7 +41,8 @@ class FilterRun:
 
     def kept(self) -> DataFrame:
         """Kept rows, all input columns and the score."""
-        return self._scored.filter(_FLAG).drop(_FLAG)
+        # Folder names come back as text; the comparison prunes the other folder.
+        return self._scored.filter(F.col(_FLAG) == "true").drop(_FLAG)
 
     def summary(self) -> DataFrame:
         """One row: total, kept, kept_pct, mean and exact median score."""

@@ -11,10 +11,16 @@ from textvariety.operators.log_odds import LogOddsModel, broadcast_scorer, score
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: StructType | str, max_files: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str,
+    files: str | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """Stream of Parquet files appearing below `path`."""
+    """Stream of Parquet files appearing in folder `path`, by name pattern."""
     reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("pathGlobFilter", files)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
