@@ -22,7 +22,7 @@ from registry.core import (
 from registry.sources import SQL_LINE
 from textvariety.functions import features, text
 from textvariety.operators import generate, vocabulary
-from textvariety.sources.scratch import broadcast_if_small, checkpoint
+from textvariety.sources.scratch import broadcast_if_small, store
 
 
 def _docs(spark, sf_dir):
@@ -275,7 +275,7 @@ BUCKETS = 1_000_000
 )
 def _feature_counts(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    vocab = broadcast_if_small(checkpoint(vocabulary.vocabulary(docs, min_count=5)))
+    vocab = broadcast_if_small(store(vocabulary.vocabulary(docs, min_count=5)))
     return vocabulary.feature_counts(
         docs, "doc_id", vocab=vocab, word_n=2, minn=3, maxn=4, bucket=BUCKETS
     )

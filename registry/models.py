@@ -30,7 +30,7 @@ from textvariety.operators.metrics import confusion, f1_variants
 from textvariety.operators.sampling import stratified_split
 from textvariety.operators.vocabulary import vocabulary
 from textvariety.plans.filtering import filter_corpus
-from textvariety.sources.scratch import scratch_path
+from textvariety.sources.scratch import store, scratch_path
 from textvariety.streaming.scoring import read_stream, score_stream
 
 
@@ -222,7 +222,9 @@ def _doc_vectors(spark, sf_dir):
     words = vocabulary(docs, min_count=2).withColumn(
         "vec_id", feature_bucket("word", 1 << 32) % size
     )
-    given = words.join(embeddings, "vec_id").select("word", F.col("embedding").alias("vector"))
+    given = store(
+        words.join(embeddings, "vec_id").select("word", F.col("embedding").alias("vector"))
+    )
     means = vectors.doc_vectors(docs, given, "doc_id")
     flat = means.select("doc_id", "n", F.posexplode("vector").alias("dim", "x"))
     return rounded(flat, "x", digits=5)

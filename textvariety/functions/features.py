@@ -84,6 +84,11 @@ def feature_bucket(feature: Column | str, bucket: int) -> Column:
     return F.conv(head, 16, 10).cast("bigint") % F.lit(bucket)
 
 
+def bucket_feature(bucket: Column | str) -> Column:
+    """Name of a bucket, distinct from every word (words hold no space)."""
+    return F.concat(F.lit("# "), _col(bucket).cast("string"))
+
+
 def bucket_name(feature: Column | str, bucket: int) -> Column:
-    """Name of a hashed feature, distinct from every word (words hold no space)."""
-    return F.concat(F.lit("# "), feature_bucket(feature, bucket).cast("string"))
+    """Name of the bucket of a feature."""
+    return bucket_feature(feature_bucket(feature, bucket))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textvariety.functions.text import is_positive
 from textvariety.operators.ordering import running_totals
-from textvariety.sources.scratch import checkpoint
+from textvariety.sources.scratch import store
 
 OPERATING_THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9)
 POOLED = "pooled"
@@ -38,7 +38,7 @@ def pr_curve(
         .agg(F.count("*").alias("n"), F.sum(is_positive(label)).alias("positives"))
         .filter(F.col("threshold").isNotNull())
     )
-    points = checkpoint(merged)  # scoring may be costly; read three times below
+    points = store(merged)  # scoring may be costly; read three times below
     upto = running_totals(points, "threshold", ["n", "positives"], by)
     totals = points.groupBy(*by).agg(F.sum("positives").alias("_all"))
     keyed = upto.join(totals, list(by)) if by else upto.withColumn(

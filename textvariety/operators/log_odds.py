@@ -22,15 +22,14 @@ from textvariety.functions.features import (
     tokens,
     word_ngrams,
 )
+from textvariety.functions.hashing import SEED
 from textvariety.functions.text import NEGATIVE_TAG, POSITIVE_TAG, known_label
-from textvariety.sources.scratch import checkpoint, scratch_root
+from textvariety.operators.feature_join import SAMPLE_FRACTION, feature_join
+from textvariety.sources.scratch import store, scratch_root
 
 SCORE_DIGITS = 6
 # Weights up to this many features (about 100 MB) are sent to every executor.
 BROADCAST_FEATURES = 2_000_000
-# A feature this frequent in training is spread over SALTS join partitions.
-HOT_SHARE = 1e-3
-SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -71,8 +70,8 @@ class LogOddsModel:
     config: FeatureConfig
 
     def materialise(self) -> "LogOddsModel":
-        """The same model computed once: weights checkpointed, prior a number."""
-        weights = checkpoint(self.weights)
+        """The same model computed once: weights stored, prior a number."""
+        weights = store(self.weights)
         value = weights.sparkSession.range(1).select(self.prior).first()[0]
         return LogOddsModel(weights, F.lit(value).cast("double"), self.config)
 
@@ -173,27 +172,21 @@ def score_by_join(
 ) -> DataFrame:
     """(key, score) through a join of features and weights of any size.
 
-    Counts are taken per document first. Features holding more than HOT_SHARE
-    of the training counts are salted by document, so no join task receives all
-    documents that contain a common word.
+    Texts are placed by document, so the counts of a document are taken in
+    place; see feature_join for what happens to common features.
     """
     counts = (
-        df.select(key, F.explode(model.config.features(text)).alias("feature"))
+        df.select(key, F.col(text).alias("text"))
+        .repartition(key)
+        .select(key, F.explode(model.config.features("text")).alias("feature"))
         .groupBy(key, "feature")
         .agg(F.count("*").alias("n"))
     )
-    seen = F.col("n0") + F.col("n1")
-    every = model.weights.agg(F.sum(seen)).scalar()
-    weights = model.weights.select("feature", "weight", (seen > every * HOT_SHARE).alias("hot"))
-    # At most 1 / HOT_SHARE features can pass, so this is small by definition.
-    hot = F.broadcast(weights.filter("hot").select("feature", "hot"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(0)
-    salted = counts.join(hot, "feature", "left").withColumn("salt", salt.cast("int"))
-    copies = F.when(
-        F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))
-    ).otherwise(F.array(F.lit(0)))
-    spread = weights.select("feature", "weight", F.explode(copies).alias("salt"))
-    known = salted.select(key, "feature", "salt", "n").join(spread, ["feature", "salt"])
+    sample = df.sample(SAMPLE_FRACTION, SEED).select(
+        F.explode(model.config.features(text)).alias("feature")
+    )
+    weights = model.weights.select("feature", "weight")
+    known = feature_join(counts, weights, sample, "feature")
     sums = known.groupBy(key).agg(
         (F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("_mean")
     )
@@ -207,27 +200,31 @@ def broadcast_scorer(
     """A scoring expression carrying the weights, or None if they exceed `limit`.
 
     Reads at most limit + 1 weights. Features are looked up batch by batch in
-    Arrow; the text column never leaves its row, so the expression also works
-    on streams.
+    Arrow; rows stay where they are, so the expression also works on streams.
+    Plain words need no feature array: Arrow splits the text itself.
     """
     table = model.weights.select("feature", "weight").limit(limit + 1).toArrow()
     if table.num_rows > limit:
         return None
     context = model.weights.sparkSession.sparkContext
     shared = context.broadcast(table.combine_chunks())
-    mean_weight = F.arrow_udf(_mean_weight_function(shared), "double")
+    words_only = model.config.word_n == 1 and model.config.maxn == 0
+    mean_weight = F.arrow_udf(_mean_weight_function(shared, words_only), "double")
 
     def score(text: Column) -> Column:
-        return _logistic(mean_weight(model.config.features(text)), model.prior)
+        given = text if words_only else model.config.features(text)
+        return _logistic(mean_weight(given), model.prior)
 
     return score
 
 
-def _mean_weight_function(shared):
+def _mean_weight_function(shared, split: bool):
     def mean_weight(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = shared.value.column("feature").combine_chunks()
         weights = np.append(shared.value.column("weight").to_numpy(), 0.0)
-        for features in batches:
+        for batch in batches:
+            # The same ASCII blanks as features.TOKEN_SEPARATOR.
+            features = pc.ascii_split_whitespace(batch) if split else batch
             found = pc.index_in(features.flatten(), value_set=names)
             known = found.is_valid().to_numpy(zero_copy_only=False)
             # Unknown features point at the extra zero weight.

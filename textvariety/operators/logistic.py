@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from textvariety.functions.features import char_ngrams, tokens, word_ngrams
 from textvariety.functions.text import known_label, non_empty_text, strip
-from textvariety.sources.scratch import scratch_path
+from textvariety.sources.scratch import store, scratch_path
 
 
 @dataclass(frozen=True)
@@ -61,17 +61,22 @@ def train_logistic(
     `score_logistic` under the same config.
     """
     config = config or LogisticConfig()
-    rows = df.filter(known_label(label) & non_empty_text(text)).select(
-        F.col(label).cast("double").alias("label"),
-        raw_features(config, text).alias("features_raw"),
-    )
     hashing = HashingTF(
         numFeatures=config.bucket, inputCol="features_raw", outputCol="counts"
     )
-    stages = [hashing]
+    texts = df.filter(known_label(label) & non_empty_text(text)).select(
+        F.col(label).cast("double").alias("label"),
+        raw_features(config, text).alias("features_raw"),
+    )
+    # Every pass of the solver reads balanced files of hashed features instead
+    # of splitting the texts again.
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    hashed = hashing.transform(texts).select("label", "counts").repartition(parts)
+    rows = store(hashed)
+    stages = []
     averaged = "counts"
     if config.min_count > 1:
-        sums = hashing.transform(rows).select(Summarizer.sum(F.col("counts")))
+        sums = rows.select(Summarizer.sum(F.col("counts")))
         frequent = sums.first()[0].toArray() >= config.min_count
         stages.append(
             ElementwiseProduct(
@@ -90,6 +95,7 @@ def train_logistic(
         )
     )
     fitted = Pipeline(stages=stages).fit(rows)
+    fitted = PipelineModel([hashing, *fitted.stages])
     # A reloaded model carries no training summary, hence no session: such
     # models cannot be sent to tasks once the session has an Observation.
     path = scratch_path(df.sparkSession, "logistic")

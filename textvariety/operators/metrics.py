@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textvariety.functions.text import KEEP_THRESHOLD, NEGATIVE_TAG, POSITIVE_TAG
 from textvariety.operators.ordering import running_totals
-from textvariety.sources.scratch import checkpoint
+from textvariety.sources.scratch import store
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -47,7 +47,7 @@ def score_summary(df: DataFrame, score: str = "score") -> DataFrame:
     The median is found through running counts of distinct scores, so no task
     ever holds all values; null scores are ignored.
     """
-    counts = checkpoint(
+    counts = store(
         df.filter(F.col(score).isNotNull())
         .groupBy(F.col(score).cast("double").alias("_s"))
         .agg(F.count("*").alias("_n"))

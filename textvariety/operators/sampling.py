@@ -19,7 +19,7 @@ from textvariety.operators.ordering import (
     with_position,
     within_cut,
 )
-from textvariety.sources.scratch import broadcast_if_small, checkpoint
+from textvariety.sources.scratch import broadcast_if_small, store
 
 # Above this many rows a sample is cut by key instead of by one top-n task.
 TOP_N_LIMIT = 10_000
@@ -145,7 +145,7 @@ def cap_by_plan(
     cuts = hash_cut(
         crossing, keys, [language, shard, "room"], lambda _: F.col("room"), seed
     ).drop("room")
-    rooms = broadcast_if_small(checkpoint(plan.join(cuts, [language, shard], "left")))
+    rooms = broadcast_if_small(store(plan.join(cuts, [language, shard], "left")))
     kept = (F.col("rows") <= F.col("room")) | within_cut(keys, F.col("cut"), seed)
     return df.join(rooms, [language, shard]).filter(kept).select(*df.columns)
 
@@ -155,7 +155,7 @@ def _shard_plan(
 ) -> DataFrame:
     """Size and remaining room of each shard visited before the target is met.
 
-    Checkpointed, because counting may mean splitting every text of the corpus.
+    Stored, because counting may mean splitting every text of the corpus.
     """
     sizes = df.groupBy(language, shard).agg(F.count("*").alias("rows"))
     # One row per input shard, so the ordered window is over a file list.
@@ -167,7 +167,7 @@ def _shard_plan(
         .filter("room > 0")
         .select(language, shard, "rows", "room")
     )
-    return broadcast_if_small(checkpoint(plan))
+    return broadcast_if_small(store(plan))
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

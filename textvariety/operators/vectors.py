@@ -7,15 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textvariety.functions.features import tokens
-from textvariety.sources.scratch import checkpoint
+from textvariety.functions.hashing import SEED
+from textvariety.operators.feature_join import SAMPLE_FRACTION, feature_join
+from textvariety.sources.scratch import store
 
 SIMILARITY_DIGITS = 6
 # Queries answered in one scan of the vector table.
@@ -55,20 +56,32 @@ def doc_vectors(
 ) -> DataFrame:
     """(key, n, vector): mean vector of a text's known words, repeats counted.
 
-    Words are counted per document before they meet the vectors, and the mean
-    combines on the map side: the last shuffle moves partial vectors only.
-    Texts without a known word have no row.
+    `vectors` is read more than once: pass a stored table.
+    Texts are placed by document and their words counted there. The mean is
+    taken by one plain sum per dimension, which combines on the map side, so
+    the last shuffle moves partial vectors. Texts without a known word have no
+    row.
     """
     counts = (
-        df.select(key, F.explode(tokens(text)).alias("word"))
+        df.select(key, text)
+        .repartition(key)
+        .select(key, F.explode(tokens(text)).alias("word"))
         .groupBy(key, "word")
         .agg(F.count("*").alias("n"))
     )
-    known = counts.join(vectors.select("word", "vector"), "word")
-    mean = Summarizer.mean(array_to_vector("vector"), F.col("n").cast("double"))
-    return known.groupBy(key).agg(
-        F.sum("n").alias("n"), vector_to_array(mean).alias("vector")
+    sample = df.sample(SAMPLE_FRACTION, SEED).select(
+        F.explode(tokens(text)).alias("word")
     )
+    given = vectors.select("word", "vector")
+    known = feature_join(counts, given, sample, "word")
+    first = given.select(F.size("vector")).first()
+    dims = range(first[0] if first else 0)
+    sums = known.groupBy(key).agg(
+        F.sum("n").alias("n"),
+        *(F.sum(F.col("vector")[i] * F.col("n").cast("double")).alias(f"_{i}") for i in dims),
+    )
+    mean = F.array(*(F.col(f"_{i}") / F.col("n") for i in dims))
+    return sums.select(key, "n", mean.cast("array<double>").alias("vector"))
 
 
 def nearest(
@@ -88,7 +101,7 @@ def nearest(
     Vectors of length zero are nobody's neighbour. Ties go to the lower key.
     """
     columns = ["query", "vector"] + (["exclude"] if "exclude" in queries.columns else [])
-    asked = checkpoint(queries.select(*columns))
+    asked = store(queries.select(*columns))
     spark = queries.sparkSession
     types = {"query": asked.schema["query"].dataType, "key": vectors.schema[key].dataType}
     schema = StructType(

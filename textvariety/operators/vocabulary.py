@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textvariety.functions.features import (
     LONG_WORD,
-    bucket_name,
+    bucket_feature,
+    feature_bucket,
     once,
     tokens,
     word_ngrams,
@@ -109,34 +112,34 @@ def feature_counts(
     With `vocab` (column `word`; see scratch.broadcast_if_small) other words
     lose their own feature but keep their character n-grams, as in training.
     Texts are placed by document first: the shuffle carries each text once, and
-    both counts of a document are then taken in place.
+    all counts of a document are then taken in place.
     """
-    def item(value: Column, is_word: bool) -> Column:
-        return F.struct(value.alias("item"), F.lit(is_word).alias("is_word"))
-
-    items = F.transform("_words", lambda w: item(w, True))
-    for n in range(2, word_n + 1):
-        grams = F.transform(word_ngrams("_words", n), lambda g: item(g, False))
-        items = F.concat(items, grams)
-    counts = (
-        df.select(key, tokens(text).alias("_words"))
-        .repartition(key)
-        .select(key, F.inline(items))
-        .groupBy(key, "item", "is_word")
+    docs = df.select(key, text).repartition(key)
+    words = (
+        docs.select(key, F.explode(tokens(text)).alias("feature"))
+        .groupBy(key, "feature")
         .agg(F.count("*").alias("n"))
     )
-    words = counts.filter("is_word").select(key, "item", "n")
-    parts = words.withColumnRenamed("item", "feature")
+    named = words
     if vocab is not None:
         listed = vocab.select(F.col("word").alias("feature"))
-        parts = parts.join(listed, "feature", "left_semi").select(key, "feature", "n")
-    if word_n == 1 and maxn == 0:
-        return parts
-    grams = counts.filter(~F.col("is_word")).select(key, "item", "n")
-    if maxn > 0:
-        grams = grams.unionByName(
-            explode_char_ngrams(words, minn, maxn, word="item", name="item")
+        named = words.join(listed, "feature", "left_semi").select(key, "feature", "n")
+    grams = [
+        docs.select(
+            key, F.explode(word_ngrams(tokens(text), n)).alias("gram"), F.lit(1).alias("n")
         )
-    hashed = grams.select(key, bucket_name("item", bucket).alias("feature"), "n")
-    both = parts.unionByName(hashed)
-    return both.groupBy(key, "feature").agg(F.sum("n").alias("n"))
+        for n in range(2, word_n + 1)
+    ]
+    if maxn > 0:
+        grams.append(explode_char_ngrams(words, minn, maxn, word="feature"))
+    if not grams:
+        return named
+    # Bucket numbers make short, fixed-width keys; they are named afterwards.
+    hashed = (
+        reduce(DataFrame.unionByName, grams)
+        .select(key, feature_bucket("gram", bucket).alias("bucket"), "n")
+        .groupBy(key, "bucket")
+        .agg(F.sum("n").alias("n"))
+        .select(key, bucket_feature("bucket").alias("feature"), "n")
+    )
+    return named.unionByName(hashed)

@@ -28,7 +28,6 @@ def scratch_root(spark: SparkSession) -> str:
             raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
         _local_folders.append(tempfile.TemporaryDirectory(prefix="textvariety-"))
         folder = _local_folders[-1].name
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
@@ -38,12 +37,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Compute once and cut lineage; survives the loss of executors."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint()
+def store(df: DataFrame) -> DataFrame:
+    """Compute once: write to the scratch root and read back.
+
+    Cuts lineage and survives the loss of executors. Unlike an RDD checkpoint
+    it computes the rows a single time, and leaves columns prunable and sizes
+    known to the planner.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a checkpointed table whose size passes the check."""
+    """Broadcast hint for a stored table whose size passes the check."""
     return F.broadcast(df) if df.count() <= max_rows else df
