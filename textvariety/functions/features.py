@@ -60,9 +60,13 @@ def char_ngrams(word: Column | str, minn: int, maxn: int) -> Column:
 
         return F.concat(*(_runs(F.size(chars), n, run) for n in sizes))
 
-    grams = F.when(F.length(word) <= LONG_WORD, once(marked, short)).otherwise(
-        once(F.split(marked, ""), long)
+    whole = F.array(marked)
+    is_short = lambda w: F.length(w) <= LONG_WORD
+    quick = F.transform(F.filter(whole, is_short), short)
+    careful = F.transform(
+        F.filter(whole, lambda w: ~is_short(w)), lambda w: once(F.split(w, ""), long)
     )
+    grams = F.flatten(F.concat(quick, careful))
     return F.concat(F.split(word, ""), grams) if minn <= 1 else grams
 
 
@@ -73,9 +77,11 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _runs(size: Column, n: int, run: Callable[[Column, Column], Column]) -> Column:
     """run(i, n) for each start i of a run of n among `size` elements."""
-    starts = F.sequence(F.lit(1), size - (n - 1))
-    runs = F.transform(starts, lambda i: run(i, F.lit(n)))
-    return F.when(size >= n, runs).otherwise(F.array().cast("array<string>"))
+    count = size - (n - 1)
+    # sequence(1, 0) would count down.
+    upto = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
+    starts = F.slice(upto, F.lit(1), F.greatest(count, F.lit(0)))
+    return F.transform(starts, lambda i: run(i, F.lit(n)))
 
 
 def feature_bucket(feature: Column | str, bucket: int) -> Column:

@@ -159,7 +159,7 @@ def score_positive(
     """
     scorer = broadcast_scorer(model)
     if scorer is not None:
-        return df.withColumn(score, scorer(F.col(text)))
+        return scorer(df, text, score)
     return df.join(score_by_join(df, model, key, text, score), key)
 
 
@@ -196,11 +196,11 @@ def score_by_join(
 
 def broadcast_scorer(
     model: LogOddsModel, limit: int = BROADCAST_FEATURES
-) -> Callable[[Column], Column] | None:
-    """A scoring expression carrying the weights, or None if they exceed `limit`.
+) -> Callable[[DataFrame, str, str], DataFrame] | None:
+    """A function (df, text, score) adding the score, or None above `limit` weights.
 
     Reads at most limit + 1 weights. Features are looked up batch by batch in
-    Arrow; rows stay where they are, so the expression also works on streams.
+    Arrow; rows stay where they are, so this also works on streams.
     Plain words need no feature array: Arrow splits the text itself.
     """
     table = model.weights.select("feature", "weight").limit(limit + 1).toArrow()
@@ -211,11 +211,19 @@ def broadcast_scorer(
     words_only = model.config.word_n == 1 and model.config.maxn == 0
     mean_weight = F.arrow_udf(_mean_weight_function(shared, words_only), "double")
 
-    def score(text: Column) -> Column:
-        given = text if words_only else model.config.features(text)
-        return _logistic(mean_weight(given), model.prior)
+    def add_score(df: DataFrame, text: str, score: str) -> DataFrame:
+        if words_only:
+            return df.withColumn(score, _logistic(mean_weight(text), model.prior))
+        # Spark 4.1 fails to hand expressions with nested lambdas to an Arrow
+        # function. The one-row generator keeps the two apart.
+        listed = F.explode(F.array(model.config.features(text)))
+        return (
+            df.withColumn("_features", listed)
+            .withColumn(score, _logistic(mean_weight("_features"), model.prior))
+            .drop("_features")
+        )
 
-    return score
+    return add_score
 
 
 def _mean_weight_function(shared, split: bool):

@@ -26,9 +26,15 @@ def record_experiment(
     """Append one run: name, UTC minute, calling script, ordered details."""
     now = now or datetime.now(timezone.utc)
     script = script or PurePath(inspect.stack()[1].filename).name
-    values = {k: str(v) for k, v in details.items()}
+    pairs = [F.lit(str(v)) for pair in details.items() for v in pair]
     minute = now.replace(tzinfo=None, second=0, microsecond=0)
-    row = spark.createDataFrame([(name, minute, script, values)], LOG_SCHEMA)
+    # A map expression keeps its order; a Python dict would lose it on the way.
+    row = spark.range(1).select(
+        F.lit(name).alias("name"),
+        F.lit(f"{minute:%Y-%m-%d %H:%M}").cast("timestamp_ntz").alias("ts"),
+        F.lit(script).alias("script"),
+        F.create_map(*pairs).cast("map<string,string>").alias("details"),
+    )
     row.coalesce(1).write.mode("append").parquet(path)
 
 

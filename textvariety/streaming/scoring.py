@@ -46,9 +46,7 @@ def score_stream(
     scorer = broadcast_scorer(model)
     writer = stream.writeStream
     if scorer is not None:
-        kept = stream.withColumn(score, scorer(stream[text])).filter(
-            keep_above(score, threshold)
-        )
+        kept = scorer(stream, text, score).filter(keep_above(score, threshold))
         writer = kept.writeStream.format("parquet").option("path", out)
     else:
 
