@@ -40,12 +40,8 @@ def pr_curve(
     )
     points = store(merged)  # scoring may be costly; read three times below
     upto = running_totals(points, "threshold", ["n", "positives"], by)
-    totals = points.groupBy(*by).agg(F.sum("positives").alias("_all"))
-    keyed = upto.join(totals, list(by)) if by else upto.withColumn(
-        "_all", totals.select("_all").scalar()
-    )
-    tp, every = F.col("cum_positives"), F.col("_all")
-    curve = keyed.select(
+    tp, every = F.col("cum_positives"), F.col("all_positives")
+    curve = upto.select(
         *by,
         "threshold",
         "n",
@@ -55,7 +51,7 @@ def pr_curve(
         (tp / F.col("cum_n")).alias("precision"),
         F.when(every == 0, 1.0).otherwise(tp / every).alias("recall"),
     )
-    terminal = totals.select(
+    terminal = points.groupBy(*by).agg(F.count("*")).select(
         *by,
         F.lit(None).cast("double").alias("threshold"),
         *(F.lit(0).cast("bigint").alias(c) for c in ("n", "positives", "tp", "fp")),

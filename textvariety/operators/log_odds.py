@@ -71,9 +71,12 @@ class LogOddsModel:
 
     def materialise(self) -> "LogOddsModel":
         """The same model computed once: weights stored, prior a number."""
-        weights = store(self.weights)
-        value = weights.sparkSession.range(1).select(self.prior).first()[0]
-        return LogOddsModel(weights, F.lit(value).cast("double"), self.config)
+        return LogOddsModel(store(self.weights), self.known_prior(), self.config)
+
+    def known_prior(self) -> Column:
+        """The prior as a number."""
+        value = self.weights.sparkSession.range(1).select(self.prior).first()[0]
+        return F.lit(value).cast("double")
 
     def pruned(self, cutoff: int) -> "LogOddsModel":
         """Keep the `cutoff` weights of largest magnitude."""
@@ -208,18 +211,20 @@ def broadcast_scorer(
         return None
     context = model.weights.sparkSession.sparkContext
     shared = context.broadcast(table.combine_chunks())
+    # A number, not a subquery: a stream would run that in every micro-batch.
+    prior = model.known_prior()
     words_only = model.config.word_n == 1 and model.config.maxn == 0
     mean_weight = F.arrow_udf(_mean_weight_function(shared, words_only), "double")
 
     def add_score(df: DataFrame, text: str, score: str) -> DataFrame:
         if words_only:
-            return df.withColumn(score, _logistic(mean_weight(text), model.prior))
+            return df.withColumn(score, _logistic(mean_weight(text), prior))
         # Spark 4.1 fails to hand expressions with nested lambdas to an Arrow
         # function. The one-row generator keeps the two apart.
         listed = F.explode(F.array(model.config.features(text)))
         return (
             df.withColumn("_features", listed)
-            .withColumn(score, _logistic(mean_weight("_features"), model.prior))
+            .withColumn(score, _logistic(mean_weight("_features"), prior))
             .drop("_features")
         )
 

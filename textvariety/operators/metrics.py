@@ -53,7 +53,7 @@ def score_summary(df: DataFrame, score: str = "score") -> DataFrame:
         .agg(F.count("*").alias("_n"))
     )
     upto = running_totals(counts, "_s", ["_n"], descending=False)
-    size = counts.agg(F.sum("_n")).scalar()
+    size = F.col("all__n")
     lower_rank = F.col("cum__n") >= F.floor((size + 1) / 2)
     upper_rank = F.col("cum__n") >= F.floor((size + 2) / 2)
     lower = F.min(F.when(lower_rank, F.col("_s")))

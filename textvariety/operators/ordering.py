@@ -136,7 +136,8 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = True,
 ) -> DataFrame:
-    """Add `cum_<v>` for each value: its sum over rows at or before this one.
+    """Add `cum_<v>`, the sum of v over rows at or before this one, and `all_<v>`,
+    its sum over the group, for each value.
 
     `(by, order)` must be unique; group first. Ranges of `order` are equal in
     depth over all rows, so none holds much more than 1/RANGES of them however
@@ -156,6 +157,7 @@ def running_totals(
         return window.rowsBetween(Window.unboundedPreceding, 0)
 
     across = upto(by, _BUCKET)  # at most RANGES + 1 rows per group
+    group = Window.partitionBy(*by)
     before = totals.select(
         *by,
         _BUCKET,
@@ -163,6 +165,7 @@ def running_totals(
             (F.sum(f"_sum_{v}").over(across) - F.col(f"_sum_{v}")).alias(f"_before_{v}")
             for v in values
         ),
+        *(F.sum(f"_sum_{v}").over(group).alias(f"all_{v}") for v in values),
     )
     inside = upto([*by, _BUCKET], order)
     return (
@@ -174,6 +177,7 @@ def running_totals(
                 (F.col(f"_before_{v}") + F.col(f"_run_{v}")).alias(f"cum_{v}")
                 for v in values
             ),
+            *(f"all_{v}" for v in values),
         )
     )
 
