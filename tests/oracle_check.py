@@ -40,7 +40,7 @@ def _types(schema) -> dict:
 
 def compare(frame, db, sql: str) -> tuple[int, list[str]]:
     """Row count and differences; none means equal."""
-    got, want = frame.toArrow(), db.execute(sql).to_arrow_table()
+    got, want = frame.toArrow(), db.sql(sql).to_arrow_table()
     problems = []
     if _types(got.schema) != _types(want.schema):
         problems.append(f"types {_types(got.schema)} != {_types(want.schema)}")
