@@ -256,9 +256,29 @@ def _vocabulary(spark, sf_dir):
     return vocabulary.vocabulary(_docs(spark, sf_dir), min_count=5)
 
 
+@query(
+    "word_ids",
+    f"""WITH {SQL_WORDS} SELECT word, n, row_number() OVER (
+      ORDER BY n DESC, md5('42:' || word), word) - 1 AS id FROM words WHERE n >= 5""",
+)
+def _word_ids(spark, sf_dir):
+    return vocabulary.word_ids(vocabulary.vocabulary(_docs(spark, sf_dir), min_count=5))
+
+
 BUCKETS = 1_000_000
 
 
+@query(
+    "subwords",
+    f"""WITH {SQL_WORDS}, frequent AS (SELECT * FROM words WHERE n >= 5),
+    grams AS ({sql_char_ngrams('frequent', 3, 5, 'word')})
+    SELECT word, ngram AS gram, {sql_md5_bucket('ngram', BUCKETS)} AS id FROM grams""",
+)
+def _subwords(spark, sf_dir):
+    words = vocabulary.vocabulary(_docs(spark, sf_dir), min_count=5)
+    return words.select("word", F.inline(features.subwords("word", 3, 5, BUCKETS)))
+
+
 @query(
     "feature_counts",
     f"""WITH {SQL_WORDS}, {SQL_BIGRAMS},

@@ -15,6 +15,7 @@ from textvariety.operators.vocabulary import (
     explode_char_ngrams,
     feature_counts,
     vocabulary,
+    word_ids,
 )
 
 BLANKS = (
@@ -189,6 +190,12 @@ def test_vocabulary_keeps_case_and_drops_rare(spark):
     assert dict(map(tuple, vocabulary(df, min_count=2).collect())) == {"a": 3}
 
 
+def test_word_ids_follow_frequency(spark):
+    df = spark.createDataFrame([("a " * 5 + "b " * 9 + "c d e " * 2,)], "text string")
+    got = {r["word"]: r["id"] for r in word_ids(vocabulary(df)).collect()}
+    assert (got["b"], got["a"]) == (0, 1) and sorted(got.values()) == list(range(5))
+
+
 def test_char_ngram_counts_weigh_words(spark):
     df = spark.createDataFrame([("ab ab b",)], "text string")
     got = dict(map(tuple, char_ngram_counts(df, 2, 2).collect()))

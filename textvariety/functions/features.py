@@ -90,6 +90,14 @@ def feature_bucket(feature: Column | str, bucket: int) -> Column:
     return F.conv(head, 16, 10).cast("bigint") % F.lit(bucket)
 
 
+def subwords(word: Column | str, minn: int, maxn: int, bucket: int) -> Column:
+    """array<struct<gram, id>>: character n-grams of a word and their buckets."""
+    return F.transform(
+        char_ngrams(word, minn, maxn),
+        lambda g: F.struct(g.alias("gram"), feature_bucket(g, bucket).alias("id")),
+    )
+
+
 def bucket_feature(bucket: Column | str) -> Column:
     """Name of a bucket, distinct from every word (words hold no space)."""
     return F.concat(F.lit("# "), _col(bucket).cast("string"))

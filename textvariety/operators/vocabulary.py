@@ -15,6 +15,8 @@ from textvariety.functions.features import (
     tokens,
     word_ngrams,
 )
+from textvariety.operators.ordering import running_totals, with_position
+from textvariety.sources.scratch import broadcast_if_small, store
 
 
 def vocabulary(df: DataFrame, text: str = "text", min_count: int = 1) -> DataFrame:
@@ -27,6 +29,23 @@ def vocabulary(df: DataFrame, text: str = "text", min_count: int = 1) -> DataFra
     )
 
 
+def word_ids(vocab: DataFrame) -> DataFrame:
+    """(word, n, id) of a vocabulary: ids from 0, frequent words first.
+
+    Words of equal count follow in hash order. Ids are the place within a count
+    plus the words of higher counts, so rare words, the bulk of any vocabulary,
+    are never numbered by one task.
+    """
+    placed = with_position(vocab.select("word", "n"), ["word"], by=["n"])
+    sizes = store(vocab.groupBy("n").agg(F.count("*").alias("_size")))
+    above = running_totals(sizes, "n", ["_size"]).select(
+        "n", (F.col("cum__size") - F.col("_size")).alias("_above")
+    )
+    return placed.join(broadcast_if_small(store(above)), "n").select(
+        "word", "n", (F.col("_above") + F.col("position") - 1).alias("id")
+    )
+
+
 def word_ngram_counts(df: DataFrame, n: int, text: str = "text") -> DataFrame:
     """(ngram, n) over all texts."""
     return (
