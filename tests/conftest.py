@@ -1,6 +1,10 @@
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
+settings.register_profile("repeatable", derandomize=True, deadline=None, database=None)
+settings.load_profile("repeatable")
+
 
 def make_session() -> SparkSession:
     spark = (
