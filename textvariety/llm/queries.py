@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textvariety.llm import chat, fingerprints, mixing, near_dedup, secrets
+from textvariety.llm import chat, fingerprints, mixing, near_dedup, quality, secrets
 from textvariety.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(secrets.find_secrets(docs, model))
 
 
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model)
+
+
 @query("op6_chat_examples")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
