@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textvariety.llm import chat, fingerprints, mixing, near_dedup, quality, secrets
+from textvariety.llm import bpe, chat, fingerprints, mixing, near_dedup, quality, secrets, token_files
 from textvariety.llm.common import table
+from textvariety.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +98,18 @@ FROM found LEFT JOIN sizes USING (doc_id)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return near_dedup.dedup_report(near_dedup.near_duplicates(docs))
+
+
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, "doc_id"))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer, path)
+    return token_files.token_report(token_files.read_tokens(spark, path))
