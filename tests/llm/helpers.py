@@ -26,7 +26,7 @@ def _digits(text: str) -> str:
 
 BASE_PII = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
-    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))),
     ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 12 <= len(_digits(m[0])) <= 19 and luhn(_digits(m[0]))),
     ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 9 <= len(_digits(m[0])) <= 15),
 )

@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textvariety.llm import bpe, chat, fingerprints, mixing, near_dedup, quality, secrets, token_files
+from textvariety.llm import (
+    bpe,
+    chat,
+    fingerprints,
+    mixing,
+    near_dedup,
+    pii,
+    quality,
+    secrets,
+    token_files,
+)
 from textvariety.llm.common import table
 from textvariety.sources.scratch import scratch_path
 
@@ -40,6 +50,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(secrets.find_secrets(docs, model))
 
 
+@query("op3_personal_data")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.pii_report(pii.find_pii(docs, pii.train_skip_chain(docs)))
+
+
 @query("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
