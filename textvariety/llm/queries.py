@@ -14,6 +14,7 @@ from textvariety.llm import (
     fingerprints,
     mixing,
     near_dedup,
+    neighbours,
     pii,
     quality,
     secrets,
@@ -129,3 +130,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer, path)
     return token_files.token_report(token_files.read_tokens(spark, path))
+
+
+@query("op5_hilbert_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
