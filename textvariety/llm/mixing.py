@@ -134,7 +134,8 @@ def mix(
     weights would hold.
     """
     spark = docs.sparkSession
-    read = pick(docs, "doc_id", "text", "source", *keep, text="string", source="string")
+    wanted = dict.fromkeys(("doc_id", "text", "source", *keep))
+    read = pick(docs, *wanted, text="string", source="string")
     text = F.coalesce("text", F.lit(""))
     rows = store(
         read.select(
@@ -143,6 +144,7 @@ def mix(
             "source",
             F.regexp_count(text, F.lit(WORDS)).cast("bigint").alias("size"),
             F.xxhash64(F.lit(seed), "doc_id", text).alias("lot"),
+            # A prefix keeps them apart from the columns of the mix.
             *(F.col(c).alias(f"kept_{c}") for c in keep),
         )
     )
