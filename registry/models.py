@@ -31,7 +31,7 @@ from textvariety.operators.sampling import stratified_split
 from textvariety.operators.vocabulary import vocabulary
 from textvariety.plans.filtering import filter_corpus
 from textvariety.sources.scratch import store, scratch_path
-from textvariety.streaming.scoring import read_stream, score_stream
+from textvariety.streaming.scoring import read_scored, read_stream, score_stream
 
 
 def scored(spark, sf_dir):
@@ -121,7 +121,7 @@ def _score_stream(spark, sf_dir):
     arriving = read_stream(spark, sf_dir, docs.schema, files="documents.parquet")
     run = score_stream(arriving, model, f"{out}/rows", f"{out}/checkpoint", "doc_id")
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("doc_id", "lang", "score")
+    return read_scored(spark, f"{out}/rows").select("doc_id", "lang", "score")
 
 
 CUTOFF = 300
@@ -247,18 +247,39 @@ SQL_EXEMPLARS = """exemplars AS (
     "nearest",
     f"""WITH {SQL_EXEMPLARS}, ranked AS (
       SELECT q.label AS query, e.vec_id,
-        round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS similarity
+        list_cosine_similarity(e.embedding::DOUBLE[], q.v) AS similarity
       FROM embeddings e JOIN exemplars q ON e.vec_id <> q.vec_id),
     placed AS (SELECT *, row_number() OVER (
       PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM ranked)
-    SELECT query, rank::INTEGER AS rank, vec_id, similarity FROM placed WHERE rank <= 10""",
+    SELECT query, rank::INTEGER AS rank, vec_id, round(similarity, 6) AS similarity
+    FROM placed WHERE rank <= 10""",
 )
 def _nearest(spark, sf_dir):
     queries = _exemplars(spark, sf_dir).select(
         F.col("label").alias("query"), "vector", F.array("vec_id").alias("exclude")
     )
     embeddings = table(spark, sf_dir, "embeddings")
-    return vectors.nearest(queries, embeddings, 10, "vec_id", "embedding")
+    return rounded(vectors.nearest(queries, embeddings, 10, "vec_id", "embedding"), "similarity")
+
+
+@query(
+    "nearest_all",
+    """WITH ranked AS (
+      SELECT q.vec_id AS query, e.vec_id,
+        list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
+      FROM embeddings e JOIN embeddings q ON e.vec_id <> q.vec_id),
+    placed AS (SELECT *, row_number() OVER (
+      PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM ranked)
+    SELECT query, rank::INTEGER AS rank, vec_id, round(similarity, 6) AS similarity
+    FROM placed WHERE rank <= 5""",
+)
+def _nearest_all(spark, sf_dir):
+    embeddings = table(spark, sf_dir, "embeddings")
+    queries = embeddings.select(
+        F.col("vec_id").alias("query"), F.col("embedding").alias("vector"),
+        F.array("vec_id").alias("exclude"),
+    )
+    return rounded(vectors.nearest(queries, embeddings, 5, "vec_id", "embedding"), "similarity")
 
 
 @query(
@@ -272,11 +293,12 @@ def _nearest(spark, sf_dir):
       FROM units a JOIN units b ON b.label = (a.label + 1) % 10
       JOIN units c ON c.label = (a.label + 2) % 10),
     ranked AS (
-      SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity
+      SELECT query, vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS similarity
       FROM embeddings, asked WHERE NOT list_contains(banned, vec_id)),
     placed AS (SELECT *, row_number() OVER (
       PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM ranked)
-    SELECT query, rank::INTEGER AS rank, vec_id, similarity FROM placed WHERE rank <= 5""",
+    SELECT query, rank::INTEGER AS rank, vec_id, round(similarity, 6) AS similarity
+    FROM placed WHERE rank <= 5""",
 )
 def _analogies(spark, sf_dir):
     firsts = _exemplars(spark, sf_dir).select("label", "vec_id")
@@ -287,4 +309,4 @@ def _analogies(spark, sf_dir):
 
     triples = side("a", 0).join(side("b", 1), "query").join(side("c", 2), "query")
     embeddings = table(spark, sf_dir, "embeddings")
-    return vectors.analogies(triples, embeddings, 5, "vec_id", "embedding")
+    return rounded(vectors.analogies(triples, embeddings, 5, "vec_id", "embedding"), "similarity")

@@ -106,13 +106,10 @@ def test_keep_above_is_inclusive(spark):
 
 
 def test_remap_label(spark):
-    assert each(spark, [0, 1, 2], text.remap_label("x", {0: 1, 1: 0}), "int") == [1, 0, None]
-
-
-def python_chunks(value: str) -> list[str]:
-    sentences = re.split(r"(?<=[.!?])\s+", value.strip())
-    groups = (sentences[i : i + 4] for i in range(0, len(sentences), 4))
-    return [c for c in (" ".join(g).strip() for g in groups) if len(c) > 20]
+    column = text.remap_label("x", {0: 1, 1: 0})
+    assert each(spark, [0, 1, None], column, "int") == [1, 0, None]
+    with pytest.raises(Exception, match="unmapped label: 2"):
+        each(spark, [0, 2], column, "int")
 
 
 def chunks(spark, values):
@@ -123,22 +120,38 @@ def chunks(spark, values):
 
 
 def test_sentence_chunks_edges(spark):
-    values = [
-        "",
-        "no punctuation but long enough",
-        *(" ".join(f"Sentence {i} here." for i in range(n)) for n in (4, 5, 8)),
-        "x" * 19 + ".",
-        "x" * 20 + ".",
-        "Wait... what?! Really?!  Yes. And \n more words follow here",
-        BLANKS,
-    ]
-    assert chunks(spark, values) == [python_chunks(v) for v in values]
+    four = "Sentence 0 here. Sentence 1 here. Sentence 2 here. Sentence 3 here."
+    want = {
+        "": [],
+        "no punctuation but long enough": ["no punctuation but long enough"],
+        four: [four],
+        # The fifth sentence alone has no more than 20 characters.
+        four + " Sentence 4 here.": [four],
+        four + " " + four: [four, four],
+        "x" * 19 + ".": [],
+        "x" * 20 + ".": ["x" * 20 + "."],
+        "Wait... what?! Really?!  Yes. And \n more words follow here": [
+            "Wait... what?! Really?! Yes.",
+            "And \n more words follow here",
+        ],
+    }
+    assert chunks(spark, list(want)) == list(want.values())
 
 
 @FEW
 @given(st.lists(st.text(alphabet="ab.!? \n \x1fé\U0001f600", max_size=200), min_size=10))
-def test_sentence_chunks_equal_python(spark, values):
-    assert chunks(spark, values) == [python_chunks(v) for v in values]
+def test_sentence_chunks_keep_order_and_size(spark, values):
+    for value, found in zip(values, chunks(spark, values)):
+        assert all(len(c) > 20 and c == c.strip() for c in found)
+        ends = [re.findall(r"[.!?](?=\s)", c) for c in found]
+        # A chunk of four sentences has three ends inside; blanks may follow a
+        # mark of its own sentence only where a sentence ends.
+        assert all(len(e) <= 3 for e in ends)
+        rest = "".join(value.split())
+        for chunk in found:
+            at = rest.find("".join(chunk.split()))
+            assert at >= 0
+            rest = rest[at + len("".join(chunk.split())) :]
 
 
 def test_unpivot_parallel(spark):

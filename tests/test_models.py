@@ -20,7 +20,7 @@ from textvariety.operators.log_odds import (
 )
 from textvariety.operators.metrics import confusion, f1_variants
 from textvariety.plans.filtering import filter_corpus
-from textvariety.plans.training import train_and_evaluate
+from textvariety.plans.training import evaluate, train_and_evaluate
 from textvariety.sources.experiments import experiment_history, latest_runs, read_experiments
 from textvariety.sources.scratch import scratch_path
 from textvariety.streaming.scoring import read_stream, score_stream
@@ -67,9 +67,7 @@ def test_log_odds_by_hand(spark):
     [FeatureConfig(), FeatureConfig(word_n=2, minn=2, maxn=3, bucket=5_000)],
     ids=["words", "ngrams"],
 )
-def test_join_and_broadcast_scores_agree(spark, docs, config, monkeypatch):
-    monkeypatch.setattr(fj, "SAMPLE_FRACTION", 1.0)
-    monkeypatch.setattr(log_odds, "SAMPLE_FRACTION", 1.0)
+def test_join_and_broadcast_scores_agree(spark, docs, config):
     extra = spark.createDataFrame([(-1, ""), (-2, None)], "doc_id long, text string")
     rows = docs.select("doc_id", "text").unionByName(extra)
     fitted = train_log_odds(docs, config).materialise()
@@ -88,6 +86,42 @@ def test_large_models_are_not_broadcast(docs, model, monkeypatch):
     assert joined.count() == docs.count()
 
 
+@pytest.fixture
+def no_broadcast(monkeypatch):
+    monkeypatch.setattr(log_odds, "BROADCAST_BYTES", 0)
+
+
+def test_repeated_and_null_keys_score_alike(spark, docs, model, no_broadcast, monkeypatch):
+    picked = docs.select("text", (F.col("doc_id") % 3).alias("key"))
+    rows = picked.withColumn("key", F.when(F.col("key") > 0, F.col("key")))
+    large = score_positive(rows, model, "key").collect()
+    monkeypatch.undo()
+    small = score_positive(rows, model, "key").collect()
+    assert len(large) == len(small) == docs.count()
+    by = lambda r: (r["text"], r["key"] or 0)
+    for a, b in zip(sorted(large, key=by), sorted(small, key=by)):
+        assert (a["text"], a["key"]) == (b["text"], b["key"])
+        assert a["score"] == pytest.approx(b["score"], abs=2e-6)
+
+
+def test_data_sets_may_share_keys(docs, model, no_broadcast, monkeypatch):
+    known = docs.filter("label < 2")
+    sets = {"one": known, "two": known.filter("doc_id % 2 = 0")}
+    large = {r["dataset"]: r for r in evaluate(sets, model, "doc_id").collect()}
+    monkeypatch.undo()
+    assert large == {r["dataset"]: r for r in evaluate(sets, model, "doc_id").collect()}
+
+
+def test_reserved_names_are_refused(docs, model, no_broadcast):
+    with pytest.raises(ValueError, match="reserved"):
+        score_positive(docs.withColumn(log_odds._ROW, F.lit(1)), model, "doc_id")
+
+
+def test_one_class_cannot_be_trained(docs):
+    with pytest.raises(Exception, match="both classes"):
+        train_log_odds(docs.filter("label = 0")).known_prior()
+
+
 def test_broadcast_scoring_does_not_shuffle(docs, model):
     plan = score_positive(docs, model, "doc_id")._jdf.queryExecution().executedPlan()
     assert "Exchange" not in plan.toString()
@@ -219,6 +253,21 @@ def test_doc_vectors(spark):
     assert got[1][0] == 3 and got[1][1] == pytest.approx([2 / 3, 1.0])
 
 
+def test_doc_vectors_by_join_agree(spark, docs, monkeypatch):
+    words = docs.select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    vector = F.array(F.length("word").cast("double"), F.crc32("word") % 100 / 7)
+    given = words.filter("word <> ''").select("word", vector.alias("vector"))
+    rows = docs.select("doc_id", "text")
+
+    def means():
+        got = vectors.doc_vectors(rows, given, "doc_id").collect()
+        return {r["doc_id"]: (r["n"], *(round(x, 6) for x in r["vector"])) for r in got}
+
+    in_place = means()
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    assert means() == in_place and len(in_place) == 200
+
+
 def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     points = rng.normal(size=(300, 8))
@@ -232,7 +281,7 @@ def test_nearest_equals_brute_force(spark):
     for k, block in ((4, 1024), (400, 3)):
         got = vectors.nearest(asked, table, k, block=block).orderBy("query", "rank").collect()
         for q in range(7):
-            scores = np.round(units @ units[q], 6)
+            scores = (units * units[q]).sum(axis=1)
             order = sorted((i for i in range(300) if i != q), key=lambda i: (-scores[i], i))
             assert [r["id"] for r in got if r["query"] == q] == order[:k]
 

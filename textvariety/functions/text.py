@@ -78,9 +78,14 @@ def tag_name(tag: Column | str) -> Column:
 
 
 def remap_label(label: Column | str, mapping: Mapping[int, int]) -> Column:
-    """Translate another model's class ids into ours; unmapped ids become null."""
+    """Translate another model's class ids into ours; null stays null.
+
+    An id the mapping does not know fails the query: a null in its place would
+    drop out of every count that follows.
+    """
     label = _col(label)
-    out = F.lit(None).cast("int")
+    said = F.concat(F.lit("unmapped label: "), label.cast("string"))
+    out = F.when(label.isNotNull(), F.raise_error(said).cast("int"))
     for source, target in mapping.items():
         out = F.when(label == source, F.lit(target)).otherwise(out)
     return out

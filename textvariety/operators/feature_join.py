@@ -10,7 +10,6 @@ from textvariety.sources.scratch import store
 # A feature with more than this share of the occurrences is joined by
 # broadcast. At most 1 / HOT_SHARE features can exceed it.
 HOT_SHARE = 1e-3
-SAMPLE_FRACTION = 0.01
 
 
 def feature_join(
@@ -18,7 +17,8 @@ def feature_join(
 ) -> DataFrame:
     """Inner join of `items` and `table` on `feature`, safe from common features.
 
-    `sample` (column `feature`, one row per occurrence) serves to find the hot
+    `items` is read several times: pass a stored table. `sample` (column
+    `feature`, the rows of `items` or some of them) serves to find the hot
     features; it decides only how rows travel, never which rows come out. Hot
     rows stay where they are and meet a broadcast of at most 1 / HOT_SHARE
     rows; the others are joined by shuffle.

@@ -22,14 +22,16 @@ from textvariety.functions.features import (
     tokens,
     word_ngrams,
 )
-from textvariety.functions.hashing import SEED
 from textvariety.functions.text import NEGATIVE_TAG, POSITIVE_TAG, known_label
-from textvariety.operators.feature_join import SAMPLE_FRACTION, feature_join
+from textvariety.operators.feature_join import feature_join
 from textvariety.sources.scratch import store, scratch_root
 
 SCORE_DIGITS = 6
-# Weights up to this many features (about 100 MB) are sent to every executor.
+# Weights up to this many features and bytes are sent to every executor.
 BROADCAST_FEATURES = 2_000_000
+BROADCAST_BYTES = 128 << 20
+# Names no input column may have.
+_ROW, _LISTED = "__textvariety_row", "__textvariety_features"
 
 
 @dataclass(frozen=True)
@@ -133,7 +135,11 @@ def train_log_odds(
     weights = counts.withColumn("weight", share0 - share1)
     docs0 = F.count_if(F.col(label) == 0)
     docs1 = F.count_if(F.col(label) == 1)
-    prior = known.agg(F.ln(docs0 / docs1).alias("prior")).scalar()
+    one_class = F.raise_error(F.lit("a classifier needs rows of both classes"))
+    both = F.when((docs0 > 0) & (docs1 > 0), docs0 / F.nullif(docs1, F.lit(0)))
+    prior = known.agg(
+        F.ln(F.coalesce(both, one_class.cast("double"))).alias("prior")
+    ).scalar()
     return LogOddsModel(weights, prior, config)
 
 
@@ -154,16 +160,29 @@ def score_positive(
     text: str = "text",
     score: str = "score",
 ) -> DataFrame:
-    """Add P(class 0).
+    """Add P(class 0) to every row, whatever `key` holds.
 
-    The model decides how: weights within BROADCAST_FEATURES travel to the
-    texts and nothing is shuffled; larger ones are joined feature by feature.
-    Both give the same scores.
+    The model decides how: weights within the broadcast bounds travel to the
+    texts and nothing is shuffled; larger ones are joined feature by feature,
+    after the rows were stored with a number of their own, so null and repeated
+    keys do no harm. Both give the same rows and scores.
     """
+    model = model.materialise()
     scorer = broadcast_scorer(model)
     if scorer is not None:
         return scorer(df, text, score)
-    return df.join(score_by_join(df, model, key, text, score), key)
+    free_of(df, _ROW)
+    rows = store(df.withColumn(_ROW, F.monotonically_increasing_id()))
+    scores = score_by_join(rows, model, _ROW, text, score)
+    kept = [c for c in df.columns if c != score]
+    return rows.select(_ROW, *kept).join(scores, _ROW).select(*kept, score)
+
+
+def free_of(df: DataFrame, *names: str) -> None:
+    """Refuse a table that has one of the names used inside."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"columns reserved for the library: {sorted(taken)}")
 
 
 def score_by_join(
@@ -175,21 +194,19 @@ def score_by_join(
 ) -> DataFrame:
     """(key, score) through a join of features and weights of any size.
 
-    Texts are placed by document, so the counts of a document are taken in
-    place; see feature_join for what happens to common features.
+    `key` must tell rows apart and hold no null. Texts are placed by document,
+    so the counts of a document are taken in place, once; they also tell which
+    features are common, see feature_join.
     """
-    counts = (
+    counts = store(
         df.select(key, F.col(text).alias("text"))
         .repartition(key)
         .select(key, F.explode(model.config.features("text")).alias("feature"))
         .groupBy(key, "feature")
         .agg(F.count("*").alias("n"))
     )
-    sample = df.sample(SAMPLE_FRACTION, SEED).select(
-        F.explode(model.config.features(text)).alias("feature")
-    )
     weights = model.weights.select("feature", "weight")
-    known = feature_join(counts, weights, sample, "feature")
+    known = feature_join(counts, weights, counts.select("feature"), "feature")
     sums = known.groupBy(key).agg(
         (F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("_mean")
     )
@@ -200,15 +217,18 @@ def score_by_join(
 def broadcast_scorer(
     model: LogOddsModel, limit: int = BROADCAST_FEATURES
 ) -> Callable[[DataFrame, str, str], DataFrame] | None:
-    """A function (df, text, score) adding the score, or None above `limit` weights.
+    """A function (df, text, score) adding the score, or None for more than
+    `limit` weights or BROADCAST_BYTES of them.
 
-    Reads at most limit + 1 weights. Features are looked up batch by batch in
-    Arrow; rows stay where they are, so this also works on streams.
-    Plain words need no feature array: Arrow splits the text itself.
+    Features are looked up batch by batch in Arrow; rows stay where they are, so
+    this also works on streams. Plain words need no feature array: Arrow splits
+    the text itself.
     """
-    table = model.weights.select("feature", "weight").limit(limit + 1).toArrow()
-    if table.num_rows > limit:
+    size = F.sum(F.octet_length("feature") + 16)
+    n, taken = model.weights.agg(F.count("*"), size).first()
+    if n > limit or (taken or 0) > BROADCAST_BYTES:
         return None
+    table = model.weights.select("feature", "weight").toArrow()
     context = model.weights.sparkSession.sparkContext
     shared = context.broadcast(table.combine_chunks())
     # A number, not a subquery: a stream would run that in every micro-batch.
@@ -221,11 +241,12 @@ def broadcast_scorer(
             return df.withColumn(score, _logistic(mean_weight(text), prior))
         # Spark 4.1 fails to hand expressions with nested lambdas to an Arrow
         # function. The one-row generator keeps the two apart.
+        free_of(df, _LISTED)
         listed = F.explode(F.array(model.config.features(text)))
         return (
-            df.withColumn("_features", listed)
-            .withColumn(score, _logistic(mean_weight("_features"), prior))
-            .drop("_features")
+            df.withColumn(_LISTED, listed)
+            .withColumn(score, _logistic(mean_weight(_LISTED), prior))
+            .drop(_LISTED)
         )
 
     return add_score

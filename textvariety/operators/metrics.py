@@ -83,13 +83,17 @@ def confusion(
     label: str = "label",
     pred: str = "pred",
 ) -> DataFrame:
-    """tp, fn, fp, tn per group, with class 0 as the positive class."""
-    true0, said0 = F.col(label) == 0, F.col(pred) == 0
-    true1, said1 = F.col(label) == 1, F.col(pred) == 1
+    """tp, fn, fp, tn per group, with class 0 as the positive class.
+
+    A null or foreign prediction of a known label is a wrong one, so the four
+    cells sum to the rows with a known label.
+    """
+    true0, said0 = F.col(label) == 0, F.col(pred).eqNullSafe(0)
+    true1, said1 = F.col(label) == 1, F.col(pred).eqNullSafe(1)
     return df.groupBy(*by).agg(
         F.count_if(true0 & said0).alias("tp"),
-        F.count_if(true0 & said1).alias("fn"),
-        F.count_if(true1 & said0).alias("fp"),
+        F.count_if(true0 & ~said0).alias("fn"),
+        F.count_if(true1 & ~said1).alias("fp"),
         F.count_if(true1 & said1).alias("tn"),
     )
 

@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    DoubleType,
+    LongType,
+    StructField,
+    StructType,
+)
 
 from textvariety.functions.features import tokens
-from textvariety.functions.hashing import SEED
-from textvariety.operators.feature_join import SAMPLE_FRACTION, feature_join
+from textvariety.operators.feature_join import feature_join
 from textvariety.sources.scratch import store
 
-SIMILARITY_DIGITS = 6
-# Queries answered in one scan of the vector table.
-QUERY_BLOCK = 1_024
+# Vectors of a block, and queries multiplied with it at a time.
+BLOCK_VECTORS, QUERY_SLICE = 8_192, 256
+# Word vectors of at most so many bytes are sent to every executor.
+BROADCAST_BYTES = 128 << 20
 
 
 def train_word_vectors(
@@ -30,10 +37,16 @@ def train_word_vectors(
     min_count: int = 5,
     window: int = 5,
     epochs: int = 1,
-    partitions: int = 8,
+    partitions: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Skip-gram vectors: (word, vector array<float>)."""
+    """Skip-gram vectors: (word, vector array<float>).
+
+    `partitions` defaults to the tasks the cluster runs at once. The trainer
+    keeps two numbers for each word and dimension on the driver, so the
+    vocabulary must fit there: raise `min_count` for very large corpora.
+    """
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
     words = df.select(tokens(text).alias("words"))
     trainer = Word2Vec(
         vectorSize=dim,
@@ -56,26 +69,24 @@ def doc_vectors(
 ) -> DataFrame:
     """(key, n, vector): mean vector of a text's known words, repeats counted.
 
-    `vectors` is read more than once: pass a stored table.
-    Texts are placed by document and their words counted there. The mean is
-    taken by one plain sum per dimension, which combines on the map side, so
-    the last shuffle moves partial vectors. Texts without a known word have no
-    row.
+    `vectors` is read more than once: pass a stored table. Vectors of at most
+    BROADCAST_BYTES travel to the texts, which are then averaged where they lie.
+    More of them are joined word by word: texts are placed by document and their
+    words counted there, once. Texts without a known word have no row.
     """
-    counts = (
+    given = vectors.select("word", "vector")
+    size = F.octet_length("word") + 8 * F.size("vector") + 32
+    if (given.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+        return _means_in_place(df, given, key, text)
+    counts = store(
         df.select(key, text)
         .repartition(key)
         .select(key, F.explode(tokens(text)).alias("word"))
         .groupBy(key, "word")
         .agg(F.count("*").alias("n"))
     )
-    sample = df.sample(SAMPLE_FRACTION, SEED).select(
-        F.explode(tokens(text)).alias("word")
-    )
-    given = vectors.select("word", "vector")
-    known = feature_join(counts, given, sample, "word")
-    first = given.select(F.size("vector")).first()
-    dims = range(first[0] if first else 0)
+    known = feature_join(counts, given, counts.select("word"), "word")
+    dims = range(given.select(F.size("vector")).first()[0])
     sums = known.groupBy(key).agg(
         F.sum("n").alias("n"),
         *(F.sum(F.col("vector")[i] * F.col("n").cast("double")).alias(f"_{i}") for i in dims),
@@ -84,39 +95,91 @@ def doc_vectors(
     return sums.select(key, "n", mean.cast("array<double>").alias("vector"))
 
 
+def _means_in_place(df: DataFrame, given: DataFrame, key: str, text: str) -> DataFrame:
+    table = given.toArrow().combine_chunks()
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value.column("word").combine_chunks()
+        flat = shared.value.column("vector").combine_chunks().flatten()
+        flat = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+        matrix = flat.reshape(len(names), -1) if len(names) else np.zeros((0, 1))
+        place = {name: i for i, name in enumerate(names.to_pylist())}
+        for batch in batches:
+            rows, counts, vectors = [], [], []
+            # The same ASCII blanks as features.TOKEN_SEPARATOR.
+            words = pc.ascii_split_whitespace(batch.column("text"))
+            for row, listed in enumerate(words.to_pylist()):
+                found = [place[w] for w in listed or () if w in place]
+                if found:
+                    rows.append(row)
+                    counts.append(len(found))
+                    vectors.append(matrix[found].mean(axis=0))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key").take(pa.array(rows, pa.int64())),
+                    pa.array(counts, pa.int64()),
+                    pa.array(vectors, pa.list_(pa.float64())),
+                ],
+                ["key", "n", "vector"],
+            )
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    schema = StructType(
+        [
+            StructField("key", rows.schema["key"].dataType),
+            StructField("n", LongType()),
+            StructField("vector", ArrayType(DoubleType())),
+        ]
+    )
+    return rows.mapInArrow(means, schema).withColumnRenamed("key", key)
+
+
 def nearest(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = 10,
     key: str = "id",
     vector: str = "vector",
-    block: int = QUERY_BLOCK,
+    block: int = BLOCK_VECTORS,
 ) -> DataFrame:
     """(query, rank, key, similarity): k vectors of highest cosine similarity.
 
     `queries` has `query`, `vector` and optionally `exclude`, an array of keys
-    that may not be returned. Every vector is compared with every query, a
-    block of queries per scan: a task multiplies its batches by the block and
-    keeps k rows per query, so the shuffle carries k rows per task and query.
-    Vectors of length zero are nobody's neighbour. Ties go to the lower key.
+    that may not be returned. Every vector is compared with every query, in one
+    pass: vectors are dealt out in blocks of about `block`, each block meets all
+    queries as they stream by, and keeps k rows per query. So a task holds one
+    block and one batch of queries, whatever their number, and the queries are
+    sent once for each block. Vectors of length zero are nobody's neighbour.
+    Ranks go by full precision, ties to the lower key.
     """
-    columns = ["query", "vector"] + (["exclude"] if "exclude" in queries.columns else [])
-    asked = store(queries.select(*columns))
-    spark = queries.sparkSession
-    types = {"query": asked.schema["query"].dataType, "key": vectors.schema[key].dataType}
+    kinds = {"query": queries.schema["query"].dataType, "key": vectors.schema[key].dataType}
+    parts = max(1, -(-vectors.count() // block))
+    excluded = (F.col("exclude") if "exclude" in queries.columns else F.lit(None)).cast(
+        ArrayType(kinds["key"])
+    )
+    lie = vectors.filter(F.col(vector).isNotNull()).select(
+        F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"),
+        F.lit(0).alias("side"),
+        F.lit(None).cast(kinds["query"]).alias("query"),
+        F.col(key).alias("key"),
+        F.col(vector).cast("array<double>").alias("vector"),
+        F.lit(None).cast(ArrayType(kinds["key"])).alias("exclude"),
+    )
+    look = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+        F.lit(1).alias("side"),
+        "query",
+        F.lit(None).cast(kinds["key"]).alias("key"),
+        F.col("vector").cast("array<double>").alias("vector"),
+        excluded.alias("exclude"),
+    )
     schema = StructType(
-        [StructField(name, kind) for name, kind in types.items()]
+        [StructField(name, kind) for name, kind in kinds.items()]
         + [StructField("similarity", DoubleType())]
     )
-    candidates = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
-    arrow_types = {name: to_arrow_type(kind) for name, kind in types.items()}
-    found = None
-    for rows in _blocks(asked, block):
-        shared = spark.sparkContext.broadcast(rows)
-        part = candidates.mapInArrow(_best_of_task(shared, k, arrow_types), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    met = lie.unionByName(look).repartition("part").sortWithinPartitions("part", "side")
+    found = met.mapInArrow(partial(_best_of_blocks, k=k), schema)
     best = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "key")
     return (
         found.withColumn("rank", F.row_number().over(best))
@@ -125,27 +188,6 @@ def nearest(
     )
 
 
-def _blocks(asked: DataFrame, size: int) -> Iterator[dict]:
-    """Queries, `size` at a time, as arrays."""
-    has_exclude = "exclude" in asked.columns
-    block: list = []
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == size:
-            yield _as_arrays(block, has_exclude)
-            block = []
-    if block:
-        yield _as_arrays(block, has_exclude)
-
-
-def _as_arrays(rows: list, has_exclude: bool) -> dict:
-    return {
-        "names": [r["query"] for r in rows],
-        "units": _units(np.array([r["vector"] for r in rows], dtype=np.float64)),
-        "exclude": [set(r["exclude"]) if has_exclude else set() for r in rows],
-    }
-
-
 def _units(matrix: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; zero rows become NaN."""
     length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
@@ -153,48 +195,62 @@ def _units(matrix: np.ndarray) -> np.ndarray:
         return matrix / length
 
 
-def _best_of_task(shared, k: int, arrow_types: dict):
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, units, exclude = (shared.value[c] for c in ("names", "units", "exclude"))
-        kept: list[list[tuple]] = [[] for _ in names]
-        for batch in batches:
-            batch = batch.filter(batch.column("vector").is_valid())
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            if not len(keys):
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _best_of_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by part, its vectors before the queries."""
+    part, held, keys, units = None, [], None, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        places = batch.column("part").to_numpy() * 2 + batch.column("side").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(batch)]
+        for start, end in zip(cuts, cuts[1:]):
+            rows = batch.slice(start, end - start)
+            if places[start] // 2 != part:
+                part, held, keys, units = places[start] // 2, [], None, None
+            if places[start] % 2 == 0:
+                held.append(rows)
                 continue
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            matrix = flat.astype(np.float64).reshape(len(keys), -1)
-            scores = np.round(_units(matrix) @ units.T, SIMILARITY_DIGITS)
-            for q in range(len(names)):
-                kept[q] = _merge(kept[q], keys, scores[:, q], k, exclude[q])
-        rows = [(names[q], key, s) for q, best_q in enumerate(kept) for s, key in best_q]
-        if rows:
-            query, key, similarity = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(query, type=arrow_types["query"]),
-                    pa.array(key, type=arrow_types["key"]),
-                    pa.array(similarity, type=pa.float64()),
-                ],
-                names=["query", "key", "similarity"],
-            )
+            if keys is None:
+                if not held:
+                    continue
+                keys = pa.concat_arrays([h.column("key") for h in held])
+                units = _units(np.concatenate([_matrix(h.column("vector")) for h in held]))
+                held = []
+            yield _best_of_block(rows, keys, units, k)
 
-    return best
-
-
-def _merge(kept: list, keys: np.ndarray, scores: np.ndarray, k: int, banned: set) -> list:
-    """Best k of the rows kept so far and a batch: high score, then low key."""
-    wanted = k + len(banned)
-    usable = ~np.isnan(scores)
-    if usable.sum() > wanted:
-        floor = np.partition(scores[usable], -wanted)[-wanted]
-        usable &= scores >= floor
-    rows = [
-        (float(scores[i]), keys[i].item() if hasattr(keys[i], "item") else keys[i])
-        for i in np.flatnonzero(usable)
-    ]
-    fresh = [r for r in rows if r[1] not in banned]
-    return sorted(kept + fresh, key=lambda r: (-r[0], r[1]))[:k]
+
+def _best_of_block(queries: pa.RecordBatch, keys: pa.Array, units: np.ndarray, k: int) -> pa.RecordBatch:
+    names, asked = queries.column("query"), _units(_matrix(queries.column("vector")))
+    listed = keys.to_pylist()
+    who, which, scores = [], [], []
+    for start in range(0, len(queries), QUERY_SLICE):
+        rough = asked[start : start + QUERY_SLICE] @ units.T
+        for i, row in enumerate(rough, start):
+            banned = set(queries.column("exclude")[i].as_py() or ())
+            usable = ~np.isnan(row)
+            if usable.sum() > k + len(banned):
+                least = np.partition(row[usable], -(k + len(banned)))[-(k + len(banned))]
+                # Rounding may differ by place in the product.
+                usable &= row >= least - 1e-9
+            at = np.flatnonzero(usable)
+            exact = (units[at] * asked[i]).sum(axis=1)
+            rows = sorted((-s, listed[j], j) for s, j in zip(exact.tolist(), at.tolist()) if listed[j] not in banned)
+            for s, _, j in rows[:k]:
+                who.append(i)
+                which.append(j)
+                scores.append(-s)
+    return pa.RecordBatch.from_arrays(
+        [
+            names.take(pa.array(who, pa.int64())),
+            keys.take(pa.array(which, pa.int64())),
+            pa.array(scores, pa.float64()),
+        ],
+        ["query", "key", "similarity"],
+    )
 
 
 def analogy_queries(

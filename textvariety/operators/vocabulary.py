@@ -13,7 +13,6 @@ from textvariety.functions.features import (
     feature_bucket,
     once,
     tokens,
-    word_ngrams,
 )
 from textvariety.operators.ordering import running_totals, with_position
 from textvariety.sources.scratch import broadcast_if_small, store
@@ -46,10 +45,26 @@ def word_ids(vocab: DataFrame) -> DataFrame:
     )
 
 
+def explode_word_ngrams(df: DataFrame, words: str, n: int, name: str) -> DataFrame:
+    """One row per n-gram of the array `words`, which is replaced by `name`.
+
+    The same n-grams as features.word_ngrams, made by a generator over shifted
+    slices: no function is called for each element.
+    """
+    others = [c for c in df.columns if c != words]
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    shifted = (F.slice(words, F.lit(i + 1), count).alias(f"__{i}") for i in range(n))
+    long_enough = df.filter(F.size(words) >= n)
+    return long_enough.select(*others, F.inline(F.arrays_zip(*shifted))).select(
+        *others, F.concat_ws(" ", *(F.col(f"__{i}") for i in range(n))).alias(name)
+    )
+
+
 def word_ngram_counts(df: DataFrame, n: int, text: str = "text") -> DataFrame:
     """(ngram, n) over all texts."""
+    words = df.select(tokens(text).alias("__words"))
     return (
-        df.select(F.explode(word_ngrams(tokens(text), n)).alias("ngram"))
+        explode_word_ngrams(words, "__words", n, "ngram")
         .groupBy("ngram")
         .agg(F.count("*").alias("n"))
     )
@@ -143,17 +158,17 @@ def feature_counts(
     if vocab is not None:
         listed = vocab.select(F.col("word").alias("feature"))
         named = words.join(listed, "feature", "left_semi").select(key, "feature", "n")
+    listed = docs.select(key, tokens(text).alias("__words"))
     grams = [
-        docs.select(
-            key, F.explode(word_ngrams(tokens(text), n)).alias("gram"), F.lit(1).alias("n")
-        )
+        explode_word_ngrams(listed, "__words", n, "gram").groupBy(key, "gram").agg(F.count("*").alias("n"))
         for n in range(2, word_n + 1)
     ]
     if maxn > 0:
-        grams.append(explode_char_ngrams(words, minn, maxn, word="feature"))
+        cut = explode_char_ngrams(words, minn, maxn, word="feature")
+        grams.append(cut.groupBy(key, "gram").agg(F.sum("n").alias("n")))
     if not grams:
         return named
-    # Bucket numbers make short, fixed-width keys; they are named afterwards.
+    # Hashed once for each gram of a document; buckets are named afterwards.
     hashed = (
         reduce(DataFrame.unionByName, grams)
         .select(key, feature_bucket("gram", bucket).alias("bucket"), "n")

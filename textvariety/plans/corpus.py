@@ -16,6 +16,7 @@ from textvariety.sources.scratch import broadcast_if_small
 from textvariety.sources.sinks import Throughput, write_table
 from textvariety.sources.tables import read_shards
 
+# Fixed value: chunks of a finished corpus.
 TARGET_ROWS = 6_000_000
 FIRST_WAVE = 8
 

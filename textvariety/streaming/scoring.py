@@ -7,7 +7,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from textvariety.functions.text import KEEP_THRESHOLD, keep_above
-from textvariety.operators.log_odds import LogOddsModel, broadcast_scorer, score_by_join
+from textvariety.operators.log_odds import (
+    LogOddsModel,
+    broadcast_scorer,
+    score_positive,
+)
 
 
 def read_stream(
@@ -26,6 +30,14 @@ def read_stream(
     return reader.parquet(path)
 
 
+_BATCH = "batch"
+
+
+def read_scored(spark: SparkSession, out: str) -> DataFrame:
+    """What `score_stream` has written so far."""
+    return spark.read.parquet(f"{out}/{_BATCH}=*")
+
+
 def score_stream(
     stream: DataFrame,
     model: LogOddsModel,
@@ -37,25 +49,25 @@ def score_stream(
     threshold: float = KEEP_THRESHOLD,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Append the rows scoring at or above the threshold to Parquet at `out`.
+    """Append the rows scoring at or above the threshold to Parquet below `out`.
 
-    Stateless: each row is scored on its own and the file sink's log makes
-    retries exact. A model too large to send to executors is joined per
-    micro-batch instead, each batch replacing its own folder on a retry.
+    Each micro-batch has its own folder and replaces it on a retry, so retries
+    are exact; `read_scored` reads them all. The model is stored once. A small
+    one travels to the texts, a larger one is joined batch by batch: rows, scores
+    and layout are the same.
     """
+    model = model.materialise()
     scorer = broadcast_scorer(model)
-    writer = stream.writeStream
-    if scorer is not None:
-        kept = scorer(stream, text, score).filter(keep_above(score, threshold))
-        writer = kept.writeStream.format("parquet").option("path", out)
-    else:
-
-        def write(batch: DataFrame, batch_id: int) -> None:
-            scores = score_by_join(batch, model, key, text, score)
-            kept = batch.join(scores.filter(keep_above(score, threshold)), key)
-            kept.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-        writer = writer.foreachBatch(write)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if scorer is not None:
+            scored = scorer(batch, text, score)
+        else:
+            scored = score_positive(batch, model, key, text, score)
+        kept = scored.filter(keep_above(score, threshold))
+        kept.write.mode("overwrite").parquet(f"{out}/{_BATCH}={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint).outputMode("append")
     if available_now:
         writer = writer.trigger(availableNow=True)
