@@ -52,11 +52,34 @@ def test_bad_shards_are_counted(spark, tmp_path):
     paths = [f"{tmp_path}/pt_{i}.parquet" for i in (1, 2, 3)]
     shards = tables.read_shards(spark, paths)
     assert sorted(r["text"] for r in shards.collect()) == ["one", "two"]
-    assert tuple(tables.count_skipped(shards, paths).first()) == (3, 2, 1)
+    assert tuple(tables.count_skipped(spark, paths).first()) == (3, 2, 1)
+    assert tables.failed_shards(spark, paths) == paths[2:]
     with pytest.raises(Exception):  # noqa: B017
         tables.read_shards(spark, paths, tolerate_bad=False).collect()
 
 
+def test_half_readable_shards_are_left_out(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = pa.table({"text": [f"text number {i} with words" for i in range(20_000)]})
+    paths = [f"{tmp_path}/pt_{i}.parquet" for i in (1, 2, 3)]
+    for path in paths[:2]:
+        pq.write_table(texts, path, row_group_size=4_000, use_dictionary=False)
+    pq.write_table(pa.table({"text": pa.array([None, None], pa.string())}), paths[2])
+    group = pq.ParquetFile(paths[0]).metadata.row_group(3).column(0)
+    raw = bytearray(Path(paths[0]).read_bytes())
+    start = group.data_page_offset
+    raw[start : start + group.total_compressed_size] = b"\xff" * group.total_compressed_size
+    Path(paths[0]).write_bytes(bytes(raw))
+    shards = tables.read_shards(spark, paths)
+    assert shards.count() == 20_000
+    assert shards.select("shard").distinct().count() == 1
+    assert tables.failed_shards(spark, paths) == paths[:1]
+    # A readable shard of nulls is no failure.
+    assert tuple(tables.count_skipped(spark, paths).first()) == (3, 2, 1)
+
+
 def test_labelled_lines_round_trip(spark, tmp_path):
     rows = [("__label__PT_PT a longer line é",), ("__label__PT_BR xxxxx",), (None,)]
     df = spark.createDataFrame(rows, "line string")
@@ -106,7 +129,7 @@ def test_corpus_is_exact_and_stops_early(spark, tmp_path):
     Path(paths[0]).write_bytes(b"not parquet")
     # "i.j This is … Four." is one chunk, "Five is here too now." another.
     per_shard = 10
-    files, plan = plan_shards(spark, "pt", paths, 3 * per_shard + 2)
+    files, plan, _ = plan_shards(spark, "pt", paths, 3 * per_shard + 2)
     good = sorted((Path(p).name for p in paths[1:]), key=order)
     assert [name for _, name, *_ in plan] == good[:4]
     assert sorted(Path(p).name for p in files) == sorted(good[:4])
@@ -117,6 +140,7 @@ def test_corpus_is_exact_and_stops_early(spark, tmp_path):
     assert got.filter(F.length("text") <= 20).count() == 0
     everything = build_corpus(spark, {"pt": paths}, f"{tmp_path}/all", 10**6)
     assert everything["pt"].rows == 29 * per_shard
+    assert everything["pt"].failed == (paths[0],)
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +15,24 @@ from textvariety.operators.generate import sentence_chunks
 from textvariety.operators.sampling import cap_by_plan
 from textvariety.sources.scratch import broadcast_if_small
 from textvariety.sources.sinks import Throughput, write_table
-from textvariety.sources.tables import read_shards
+from textvariety.sources.tables import failed_shards, read_shards
 
 # Fixed value: chunks of a finished corpus.
 TARGET_ROWS = 6_000_000
 FIRST_WAVE = 8
 
 
+@dataclass(frozen=True)
+class Built(Throughput):
+    """What was written, and the files that could not be read to their end."""
+
+    failed: tuple[str, ...] = ()
+
+
 def chunk_shards(spark: SparkSession, lang: str, paths: Sequence[str]) -> DataFrame:
-    """(lang, shard, row_no, chunk_no, text): chunks of the listed files."""
+    """(lang, shard, row_no, chunk_no, text): chunks of the listed whole files."""
     name = F.element_at(F.split("shard", "/"), -1)
-    raw = read_shards(spark, paths).select(
+    raw = read_shards(spark, paths, whole=True).select(
         F.lit(lang).alias("lang"), name.alias("shard"), "row_no", "text"
     )
     return sentence_chunks(raw)
@@ -49,8 +57,8 @@ def plan_shards(
     paths: Sequence[str],
     target: int,
     seed: int = SEED,
-) -> tuple[list[str], list[tuple[str, str, int, int]]]:
-    """Files to read and their (lang, shard, rows, room), stopping at the target.
+) -> tuple[list[str], list[tuple[str, str, int, int]], list[str]]:
+    """Files to read, their (lang, shard, rows, room), and the files that failed.
 
     Shards are counted in waves of doubling size, so a corpus far larger than
     the target is never read beyond about twice what is needed. Per wave, the
@@ -58,12 +66,18 @@ def plan_shards(
     """
     ordered = visit_order(paths, seed)
     visited: list[str] = []
+    failed: list[str] = []
     plan: list[tuple[str, str, int, int]] = []
     room, wave = target, FIRST_WAVE
     while room > 0 and len(visited) < len(ordered):
         files = ordered[len(visited) : len(visited) + wave]
-        counts = chunk_shards(spark, lang, files).groupBy("shard").count().collect()
-        rows = {r["shard"]: r["count"] for r in counts}
+        bad = failed_shards(spark, files)
+        failed += bad
+        good = [p for p in files if p not in set(bad)]
+        rows = {}
+        if good:
+            counts = chunk_shards(spark, lang, good).groupBy("shard").count().collect()
+            rows = {r["shard"]: r["count"] for r in counts}
         for path in files:
             name = PurePosixPath(path).name
             if name in rows and room > 0:
@@ -72,7 +86,7 @@ def plan_shards(
         visited += files
         wave *= 2
     names = {name for _, name, *_ in plan}
-    return [p for p in visited if PurePosixPath(p).name in names], plan
+    return [p for p in visited if PurePosixPath(p).name in names], plan, failed
 
 
 def build_corpus(
@@ -81,19 +95,21 @@ def build_corpus(
     out: str,
     target: int = TARGET_ROWS,
     seed: int = SEED,
-) -> dict[str, Throughput]:
+) -> dict[str, Built]:
     """Write `<out>/<lang>_split` with exactly `target` chunks per language.
 
-    Fewer chunks than the target are all kept.
+    Fewer chunks than the target are all kept. A file that cannot be read to its
+    end gives nothing and is listed as failed, if it was visited at all.
     """
     done = {}
     for lang, paths in shards.items():
-        files, rows = plan_shards(spark, lang, paths, target, seed)
+        files, rows, failed = plan_shards(spark, lang, paths, target, seed)
         if not files:
             raise ValueError(f"no usable shard for {lang}")
         schema = "lang string, shard string, rows bigint, room bigint"
         plan = broadcast_if_small(spark.createDataFrame(rows, schema))
         chunks = chunk_shards(spark, lang, files)
         kept = cap_by_plan(chunks, plan, ["row_no", "chunk_no"], seed=seed)
-        done[lang] = write_table(kept.select("text"), f"{out.rstrip('/')}/{lang}_split")
+        seen = write_table(kept.select("text"), f"{out.rstrip('/')}/{lang}_split")
+        done[lang] = Built(seen.rows, seen.seconds, tuple(failed))
     return done

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from textvariety.functions.features import tokens
@@ -58,43 +58,76 @@ def _file_path() -> Column:
     return F.col("_metadata.file_path")
 
 
+def _shard_reader(spark: SparkSession, text: str, tolerate_bad: bool) -> DataFrameReader:
+    flag = str(tolerate_bad).lower()
+    return (
+        spark.read.schema(f"`{text}` string")
+        .option("ignoreCorruptFiles", flag)
+        .option("ignoreMissingFiles", flag)
+    )
+
+
+def shard_rows(spark: SparkSession, paths: Sequence[str], text: str = "text") -> DataFrame:
+    """(shard, promised, read): rows by the file's own count, and rows that could
+    be read. A shard with a damaged page has fewer; one without a readable
+    footer has no row here. The count reads footers only.
+    """
+    files = _shard_reader(spark, text, True).parquet(*paths)
+    promised = files.groupBy(_file_path().alias("shard")).agg(F.count("*").alias("promised"))
+    # Both counts need the column, so every page is read.
+    seen = files.groupBy(_file_path().alias("shard")).agg(
+        (F.count(text) + F.count_if(F.col(text).isNull())).alias("read")
+    )
+    return promised.join(seen, "shard", "left").select(
+        "shard", "promised", F.coalesce("read", F.lit(0)).alias("read")
+    )
+
+
 def read_shards(
     spark: SparkSession,
     paths: Sequence[str],
     text: str = "text",
     tolerate_bad: bool = True,
+    whole: bool = False,
 ) -> DataFrame:
     """(shard, row_no, text) of many Parquet shards, null texts dropped.
 
     The shard is the file path and row_no the row's place in that file, which
-    identifies a row without a pass over the data. Unreadable and missing files are passed over
-    when `tolerate_bad`; `count_skipped` tells how many.
+    identifies a row without a pass over the data. With `tolerate_bad`, shards
+    that are missing or cannot be read to their end are passed over as a whole;
+    finding them takes one pass, unless they are known to be `whole`, and brings
+    one path for each damaged shard to the driver. `failed_shards` lists them.
     """
-    flag = str(tolerate_bad).lower()
-    return (
-        spark.read.schema(f"`{text}` string")
-        .option("ignoreCorruptFiles", flag)
-        .option("ignoreMissingFiles", flag)
-        .parquet(*paths)
-        .select(
-            _file_path().alias("shard"),
-            F.col("_metadata.row_index").alias("row_no"),
-            text,
-        )
-        .filter(F.col(text).isNotNull())
+    files = _shard_reader(spark, text, tolerate_bad).parquet(*paths)
+    rows = files.select(
+        _file_path().alias("shard"), F.col("_metadata.row_index").alias("row_no"), text
     )
+    if tolerate_bad and not whole:
+        short = shard_rows(spark, paths, text).filter("read < promised").collect()
+        if short:
+            rows = rows.filter(~F.col("shard").isin([r["shard"] for r in short]))
+    return rows.filter(F.col(text).isNotNull())
 
 
-def count_skipped(shards: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """One row: listed shards, shards that gave rows, and the difference.
+def failed_shards(
+    spark: SparkSession, paths: Sequence[str], text: str = "text"
+) -> list[str]:
+    """Those of `paths`, which name single files, that `read_shards` passes over.
 
-    A shard without a single usable text counts as skipped.
+    A shard that can be read but holds no text is none of them.
     """
-    listed = len({PurePosixPath(p).name for p in paths})
-    return shards.agg(
-        F.lit(listed).cast("bigint").alias("listed"),
-        F.count_distinct("shard").alias("read"),
-    ).withColumn("skipped", F.col("listed") - F.col("read"))
+    rows = shard_rows(spark, paths, text).filter("read = promised").collect()
+    whole = {unquote(PurePosixPath(r["shard"]).name) for r in rows}
+    return [p for p in paths if PurePosixPath(p).name not in whole]
+
+
+def count_skipped(
+    spark: SparkSession, paths: Sequence[str], text: str = "text"
+) -> DataFrame:
+    """One row: listed shards, shards that were read, and the difference."""
+    skipped = len(failed_shards(spark, paths, text))
+    row = [(len(paths), len(paths) - skipped, skipped)]
+    return spark.createDataFrame(row, "listed bigint, read bigint, skipped bigint")
 
 
 def parse_labelled_lines(df: DataFrame, line: str = "line") -> DataFrame:
