@@ -270,12 +270,11 @@ BUCKETS = 1_000_000
 
 @query(
     "subwords",
-    f"""WITH {SQL_WORDS}, frequent AS (SELECT * FROM words WHERE n >= 5),
-    grams AS ({sql_char_ngrams('frequent', 3, 5, 'word')})
+    f"""WITH {SQL_WORDS}, grams AS ({sql_char_ngrams('words', 3, 5, 'word')})
     SELECT word, ngram AS gram, {sql_md5_bucket('ngram', BUCKETS)} AS id FROM grams""",
 )
 def _subwords(spark, sf_dir):
-    words = vocabulary.vocabulary(_docs(spark, sf_dir), min_count=5)
+    words = vocabulary.vocabulary(_docs(spark, sf_dir))
     return words.select("word", F.inline(features.subwords("word", 3, 5, BUCKETS)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.columns import SQL_WORDS
+from registry.sampling import sql_split
 from registry.core import (
     BLANK,
     SQL_WEIGHTS,
@@ -26,7 +27,6 @@ from textvariety.operators.log_odds import (
     score_positive,
     train_log_odds,
 )
-from textvariety.operators.metrics import confusion, f1_variants
 from textvariety.operators.sampling import stratified_split
 from textvariety.operators.vocabulary import vocabulary
 from textvariety.plans.filtering import filter_corpus
@@ -151,29 +151,50 @@ def _score_pruned(spark, sf_dir):
     return score_positive(docs, model.pruned(CUTOFF), "doc_id").select("doc_id", "score")
 
 
-@query("train_logistic")
+# Recall a fitted model must reach on rows it has not seen.
+FLOOR = 0.9
+
+
+def _judged(tested):
+    """(label, support, reached): who was tested, and whether the floor is met."""
+    right = (F.col("score") >= 0.5).cast("int") == 1 - F.col("label")
+    counts = tested.filter("label < 2").groupBy("label").agg(
+        F.count("*").alias("support"), F.avg(right.cast("double")).alias("recall")
+    )
+    return counts.select("label", "support", (F.col("recall") >= FLOOR).alias("reached"))
+
+
+@query(
+    "train_logistic",
+    f"""SELECT label, count(*) AS support, TRUE AS reached FROM ({sql_split(0.2)})
+    WHERE split = 'test' AND label < 2 GROUP BY label""",
+)
 def _train_logistic(spark, sf_dir):
-    """F1 variants on the held-out fifth."""
-    rows = stratified_split(classed(spark, sf_dir), 0.2, "doc_id")
+    """Supports of the held-out fifth, and that both classes are recalled."""
+    rows = store(stratified_split(classed(spark, sf_dir), 0.2, "doc_id"))
     config = logistic.LogisticConfig(word_n=2, min_count=2)
     model = logistic.train_logistic(rows.filter("split = 'train'"), config)
-    tested = logistic.score_logistic(rows.filter("split = 'test'"), model, config)
-    said = tested.withColumn("pred", F.when(F.col("score") >= 0.5, 0).otherwise(1))
-    return f1_variants(confusion(said))
+    return _judged(logistic.score_logistic(rows.filter("split = 'test'"), model, config))
 
 
-@query("autotune")
+@query(
+    "autotune",
+    f"""SELECT label, count(*) AS support, TRUE AS reached, 4::BIGINT AS trials, 1::BIGINT AS best
+    FROM ({sql_split(0.2)}) WHERE split = 'test' AND label < 2 GROUP BY label""",
+)
 def _autotune(spark, sf_dir):
-    """Trials on a training, a validation and an untouched test part."""
-    rows = stratified_split(classed(spark, sf_dir), 0.2, "doc_id")
-    inner = stratified_split(
-        rows.filter("split = 'train'").drop("split"), 0.2, "doc_id", seed=43
-    )
+    """Trials on a training and a validation part; the best configuration,
+    trained on both, is judged on an untouched third part."""
+    rows = store(stratified_split(classed(spark, sf_dir), 0.2, "doc_id"))
+    known = rows.filter("split = 'train'").drop("split")
+    inner = store(stratified_split(known, 0.2, "doc_id", seed=43))
     train, valid = (inner.filter(F.col("split") == s) for s in ("train", "test"))
     space = logistic.grid(word_n=[1, 2], penalty=[1e-4, 1e-2])
-    base = logistic.LogisticConfig(bucket=1 << 16, epochs=10)
-    best, trials = logistic.autotune(train, valid, space, base)
-    return trials.withColumn("settings", F.to_json("settings"))
+    best, trials = logistic.autotune(train, valid, space)
+    model = logistic.train_logistic(known, best)
+    judged = _judged(logistic.score_logistic(rows.filter("split = 'test'"), model, best))
+    told = trials.agg(F.count("*").alias("trials"), F.count_if("best").alias("best"))
+    return judged.crossJoin(F.broadcast(told))
 
 
 @query(
@@ -190,10 +211,13 @@ def _score_external(spark, sf_dir):
     return rows.select("doc_id", "pred")
 
 
-@query("train_word_vectors")
+@query(
+    "train_word_vectors",
+    f"WITH {SQL_WORDS} SELECT word, 100 AS dim FROM words WHERE n >= 5",
+)
 def _train_word_vectors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    words = vectors.train_word_vectors(docs, dim=16, min_count=20)
+    words = vectors.train_word_vectors(docs)
     return words.select("word", F.size("vector").alias("dim"))
 
 

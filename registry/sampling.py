@@ -57,19 +57,19 @@ def _balance_capped(spark, sf_dir):
     return sampling.balance(rows, "doc_id", cap=BALANCE_CAP)
 
 
-def _sql_split(fraction: float) -> str:
+def sql_split(fraction: float) -> str:
     return f"""WITH {SQL_RANKED} SELECT doc_id, label,
       CASE WHEN r <= floor(size * {fraction}::DOUBLE) THEN 'test' ELSE 'train' END AS split
     FROM ranked"""
 
 
-@query("stratified_split_tenth", _sql_split(0.1))
+@query("stratified_split_tenth", sql_split(0.1))
 def _stratified_split_tenth(spark, sf_dir):
     rows = sampling.stratified_split(classed(spark, sf_dir), 0.1, "doc_id")
     return rows.select("doc_id", "label", "split")
 
 
-@query("stratified_split_fifth", _sql_split(0.2))
+@query("stratified_split_fifth", sql_split(0.2))
 def _stratified_split_fifth(spark, sf_dir):
     rows = sampling.stratified_split(classed(spark, sf_dir), 0.2, "doc_id")
     return rows.select("doc_id", "label", "split")

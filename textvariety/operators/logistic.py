@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timezone
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from textvariety.functions.features import char_ngrams, tokens, word_ngrams
 from textvariety.functions.text import known_label, non_empty_text, strip
-from textvariety.sources.scratch import store, scratch_path
+from textvariety.sources.scratch import discard, scratch_path, store
 
 
 @dataclass(frozen=True)
@@ -68,11 +69,10 @@ def train_logistic(
         F.col(label).cast("double").alias("label"),
         raw_features(config, text).alias("features_raw"),
     )
-    # Every pass of the solver reads balanced files of hashed features instead
-    # of splitting the texts again.
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    hashed = hashing.transform(texts).select("label", "counts").repartition(parts)
-    rows = store(hashed)
+    # Every pass of the solver reads files of hashed features instead of
+    # splitting the texts again; adaptive execution sizes them by bytes.
+    hashed = hashing.transform(texts).select("label", "counts")
+    rows = store(hashed.hint("rebalance"))
     stages = []
     averaged = "counts"
     if config.min_count > 1:
@@ -98,6 +98,7 @@ def train_logistic(
     fitted = PipelineModel([hashing, *fitted.stages])
     # A reloaded model carries no training summary, hence no session: such
     # models cannot be sent to tasks once the session has an Observation.
+    discard(rows)
     path = scratch_path(df.sparkSession, "logistic")
     fitted.save(path)
     return PipelineModel.load(path)
@@ -136,20 +137,28 @@ def autotune(
     text: str = "text",
     label: str = "label",
     parallelism: int = 2,
+    budget_seconds: float | None = None,
 ) -> tuple[LogisticConfig, DataFrame]:
     """Best config by class-0 F1 on `valid`, and the table of trials.
 
-    Trials are Spark jobs run `parallelism` at a time. Report quality on rows
-    that are in neither frame.
+    Trials are Spark jobs run `parallelism` at a time; both frames are stored
+    once. With a budget, no trial but the first starts after it is used up, and
+    the table holds the trials that ran. Report quality on rows that are in
+    neither frame.
     """
     base = base or LogisticConfig()
     trials = [replace(base, **point) for point in space]
-    held_out = valid.filter(known_label(label))
+    started = time.monotonic()
+    train = store(train.select(text, label))
+    held_out = store(valid.filter(known_label(label)).select(text, label))
     evaluator = MulticlassClassificationEvaluator(
         metricName="fMeasureByLabel", metricLabel=0.0, labelCol="y"
     )
 
-    def run(config: LogisticConfig) -> float:
+    def run(config: LogisticConfig) -> float | None:
+        late = budget_seconds is not None and time.monotonic() - started > budget_seconds
+        if late and config is not trials[0]:
+            return None
         model = train_logistic(train, config, text, label)
         scored = score_logistic(held_out, model, config, text)
         said = F.when(F.col("score") >= 0.5, 0.0).otherwise(1.0)
@@ -161,10 +170,11 @@ def autotune(
 
     with ThreadPool(parallelism) as pool:
         quality = pool.map(run, trials)
-    best = max(range(len(trials)), key=lambda i: (quality[i], -i))
+    ran = [i for i, q in enumerate(quality) if q is not None]
+    best = max(ran, key=lambda i: (quality[i], -i))
     rows = [
-        (i, {k: str(v) for k, v in asdict(c).items()}, q * 100, i == best)
-        for i, (c, q) in enumerate(zip(trials, quality, strict=True))
+        (i, {k: str(v) for k, v in asdict(trials[i]).items()}, quality[i] * 100, i == best)
+        for i in ran
     ]
     table = train.sparkSession.createDataFrame(
         rows, "trial int, settings map<string,string>, f1_class0 double, best boolean"

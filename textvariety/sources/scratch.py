@@ -53,3 +53,14 @@ def store(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a stored table whose size passes the check."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete the files of a table that `store` gave, once its job is done."""
+    spark = stored.sparkSession
+    root = scratch_root(spark).rstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in stored.inputFiles()}:
+        name = folder.rsplit("/", 1)[1]
+        if name.startswith("table-"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
