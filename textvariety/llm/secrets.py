@@ -89,10 +89,15 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Identifiers of at most n documents, those of smallest hash, outside of
-    what the fixed patterns match."""
+    what the fixed patterns match. Only hashes are ranked; rows that are equal
+    count once."""
     text = F.coalesce("text", F.lit(""))
-    rows = pick(docs, "text").select(text.alias("text"))
-    chosen = rows.orderBy(F.xxhash64("text"), "text").limit(n)
+    rows = pick(docs, "doc_id", "text").select(
+        F.xxhash64("doc_id", text).alias("lot"), text.alias("text")
+    )
+    last = rows.select("lot").orderBy("lot").limit(n).agg(F.max("lot")).first()[0]
+    below = rows.filter(F.col("lot") <= F.lit(last))
+    chosen = below.groupBy("lot").agg(F.first("text").alias("text"))
     cleared = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|[0-9a-f]{{32,}}", " ")
     found = F.regexp_extract_all(cleared, F.lit(IDENTIFIER), F.lit(0))
     return chosen.select(F.explode(found).alias("s"))
