@@ -102,6 +102,23 @@ def _confusion(spark, sf_dir):
     return _confusion_of(spark, sf_dir)
 
 
+@query(
+    "confusion_unmapped",
+    f"""WITH {SQL_PREDICTIONS} SELECT model, dataset,
+      count(*) FILTER (label = 0 AND pred = 0 AND doc_id % 3 <> 0) AS tp,
+      count(*) FILTER (label = 0 AND (pred = 1 OR doc_id % 3 = 0)) AS fn,
+      count(*) FILTER (label = 1 AND (pred = 0 OR doc_id % 3 = 0)) AS fp,
+      count(*) FILTER (label = 1 AND pred = 1 AND doc_id % 3 <> 0) AS tn, count(*) AS rows
+    FROM predictions GROUP BY model, dataset""",
+)
+def _confusion_unmapped(spark, sf_dir):
+    """Every third prediction is null or of a foreign class: all rows still count."""
+    foreign = F.when(F.col("doc_id") % 2 == 0, 7)
+    said = F.when(F.col("doc_id") % 3 == 0, foreign).otherwise(F.col("pred"))
+    counts = metrics.confusion(predictions(spark, sf_dir).withColumn("pred", said), KEYS)
+    return counts.withColumn("rows", F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn"))
+
+
 @query(
     "classification_report",
     f"""WITH {SQL_METRICS}, report AS (

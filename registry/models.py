@@ -30,6 +30,7 @@ from textvariety.operators.log_odds import (
 from textvariety.operators.sampling import stratified_split
 from textvariety.operators.vocabulary import vocabulary
 from textvariety.plans.filtering import filter_corpus
+from textvariety.plans.training import evaluation_counts
 from textvariety.sources.scratch import store, scratch_path
 from textvariety.streaming.scoring import read_scored, read_stream, score_stream
 
@@ -124,6 +125,36 @@ def _score_stream(spark, sf_dir):
     return read_scored(spark, f"{out}/rows").select("doc_id", "lang", "score")
 
 
+SQL_TWO_SETS = f"""WITH {sql_scores()}, judged AS (
+  SELECT 'all' AS dataset, label, CASE WHEN score >= 0.5::DOUBLE THEN 0 ELSE 1 END AS pred
+  FROM classed JOIN scores USING (doc_id) WHERE label < 2
+  UNION ALL
+  SELECT 'even', label, CASE WHEN score >= 0.5::DOUBLE THEN 0 ELSE 1 END
+  FROM classed JOIN scores USING (doc_id) WHERE label < 2 AND doc_id % 2 = 0)
+SELECT dataset, count(*) FILTER (label = 0 AND pred = 0) AS tp,
+  count(*) FILTER (label = 0 AND pred <> 0) AS fn,
+  count(*) FILTER (label = 1 AND pred <> 1) AS fp,
+  count(*) FILTER (label = 1 AND pred = 1) AS tn FROM judged GROUP BY dataset"""
+
+
+def _two_sets(spark, sf_dir, broadcast: bool):
+    """Two data sets that share their ids."""
+    docs = classed(spark, sf_dir)
+    sets = {"all": docs, "even": docs.filter("doc_id % 2 = 0")}
+    model = train_log_odds(docs)
+    return evaluation_counts(sets, model, "doc_id", broadcast=broadcast)
+
+
+@query("evaluate", SQL_TWO_SETS)
+def _evaluate(spark, sf_dir):
+    return _two_sets(spark, sf_dir, True)
+
+
+@query("evaluate_large_model", SQL_TWO_SETS)
+def _evaluate_large_model(spark, sf_dir):
+    return _two_sets(spark, sf_dir, False)
+
+
 CUTOFF = 300
 
 

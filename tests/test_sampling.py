@@ -127,3 +127,11 @@ def sampling_path(spark):
     from textvariety.sources.scratch import scratch_path
 
     return scratch_path(spark, "rows")
+
+
+def test_columns_named_like_intermediates(spark):
+    rows = [(i, i % 2, "x", "y") for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, label int, cut string, selected string")
+    out = sampling.stratified_split(df, 0.2, "id")
+    assert out.filter("split = 'test'").count() == 8
+    assert {"cut", "selected"} <= set(out.columns)

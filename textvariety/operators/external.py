@@ -33,10 +33,10 @@ def score_external(
         return_type=ArrayType(DoubleType()),
         batch_size=batch_size,
     )
-    scores = F.col("_scores")
+    scores = F.col("__textvariety_scores")
     best = (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
     mapped = remap_label(best, remap) if remap else best
-    return df.withColumn("_scores", predict(F.coalesce(text, F.lit("")))).select(
+    return df.withColumn("__textvariety_scores", predict(F.coalesce(text, F.lit("")))).select(
         *df.columns, fallback(text, mapped, FALLBACK_CLASS).cast("int").alias(pred)
     )
 

@@ -28,18 +28,18 @@ def sentence_chunks(
     """
     others = [c for c in df.columns if c != text]
     sentences = F.split(strip(text), SENTENCE_BREAK)
-    last = F.floor((F.size("_sentences") - 1) / F.lit(per_chunk)).cast("int")
+    last = F.floor((F.size("__textvariety_sentences") - 1) / F.lit(per_chunk)).cast("int")
     chunks = F.transform(
         F.sequence(F.lit(0), last),
         lambda i: strip(
             F.array_join(
-                F.slice("_sentences", i * per_chunk + 1, F.lit(per_chunk)), " "
+                F.slice("__textvariety_sentences", i * per_chunk + 1, F.lit(per_chunk)), " "
             )
         ),
     )
     return (
         df.filter(F.col(text).isNotNull())
-        .withColumn("_sentences", sentences)
+        .withColumn("__textvariety_sentences", sentences)
         .select(*others, F.posexplode(chunks).alias("chunk_no", text))
         .filter(F.length(text) > min_len)
     )

@@ -159,16 +159,18 @@ def score_positive(
     key: str,
     text: str = "text",
     score: str = "score",
+    broadcast: bool = True,
 ) -> DataFrame:
     """Add P(class 0) to every row, whatever `key` holds.
 
     The model decides how: weights within the broadcast bounds travel to the
     texts and nothing is shuffled; larger ones are joined feature by feature,
     after the rows were stored with a number of their own, so null and repeated
-    keys do no harm. Both give the same rows and scores.
+    keys do no harm. Both give the same rows and scores. Without `broadcast`
+    weights of any size are joined.
     """
     model = model.materialise()
-    scorer = broadcast_scorer(model)
+    scorer = broadcast_scorer(model) if broadcast else None
     if scorer is not None:
         return scorer(df, text, score)
     free_of(df, _ROW)

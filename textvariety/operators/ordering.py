@@ -20,6 +20,8 @@ BUCKET_DIGITS = 4
 # Equal-depth ranges used for running totals over numbers.
 RANGES = 255
 
+# Names no input column may have.
+CUT, SELECTED = "__textvariety_cut", "__textvariety_selected"
 _HASH = "_hash"
 _BUCKET = "_bucket"
 
@@ -95,7 +97,7 @@ def hash_cut(
         narrow.join(F.broadcast(edge) if small else edge, [*by, _BUCKET])
         .withColumn("_rank", F.row_number().over(inside))
         .filter(F.col("_rank") == F.col("_need"))
-        .select(*by, F.struct(_HASH, *keys).alias("cut"))
+        .select(*by, F.struct(_HASH, *keys).alias(CUT))
     )
 
 
@@ -111,7 +113,7 @@ def with_cut(
     by: Sequence[str],
     quota: Callable[[Column], Column],
     seed: int = SEED,
-    name: str = "selected",
+    name: str = SELECTED,
 ) -> DataFrame:
     """Mark the first quota(group size) rows of each of a few fixed groups.
 
@@ -122,10 +124,10 @@ def with_cut(
     cut = hash_cut(df, keys, by, quota, seed, small=True)
     if by:
         marked = df.join(F.broadcast(cut), list(by), "left")
-        limit = F.col("cut")
+        limit = F.col(CUT)
     else:
         marked = df
-        limit = cut.select("cut").scalar()
+        limit = cut.select(CUT).scalar()
     return marked.select(*df.columns, within_cut(keys, limit, seed).alias(name))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from textvariety.functions.hashing import SEED, shuffle_key
 from textvariety.functions.text import CLASSES, known_label
 from textvariety.operators.ordering import (
+    CUT,
+    SELECTED,
     hash_cut,
     with_cut,
     with_position,
@@ -51,7 +53,7 @@ def sample_per_class(
     marked = with_cut(
         known, _keys(key), [label], lambda size: F.lit(n), seed
     )
-    return marked.filter("selected").drop("selected")
+    return marked.filter(SELECTED).drop(SELECTED)
 
 
 def balance(
@@ -73,7 +75,7 @@ def balance(
     marked = with_cut(
         known, _keys(key), [label], lambda _: per_class.scalar(), seed
     )
-    return marked.filter("selected").drop("selected")
+    return marked.filter(SELECTED).drop(SELECTED)
 
 
 def stratified_split(
@@ -92,8 +94,8 @@ def stratified_split(
         lambda size: F.floor(size * F.lit(float(fraction))),
         seed,
     )
-    split = F.when(F.col("selected"), "test").otherwise("train")
-    return marked.withColumn("split", split).drop("selected")
+    split = F.when(F.col(SELECTED), "test").otherwise("train")
+    return marked.withColumn("split", split).drop(SELECTED)
 
 
 def sample_n(
@@ -104,7 +106,9 @@ def sample_n(
     if n <= TOP_N_LIMIT:
         return df.orderBy(shuffle_key(keys, seed), *keys).limit(n)
     marked = with_cut(df, keys, [], lambda size: F.lit(n), seed)
-    return marked.filter("selected").drop("selected")
+    # The same order as above; only ties of keys that repeat could differ.
+    chosen = marked.filter(SELECTED).drop(SELECTED)
+    return chosen.orderBy(shuffle_key(keys, seed), *keys)
 
 
 def cap_rows(
@@ -146,7 +150,7 @@ def cap_by_plan(
         crossing, keys, [language, shard, "room"], lambda _: F.col("room"), seed
     ).drop("room")
     rooms = broadcast_if_small(store(plan.join(cuts, [language, shard], "left")))
-    kept = (F.col("rows") <= F.col("room")) | within_cut(keys, F.col("cut"), seed)
+    kept = (F.col("rows") <= F.col("room")) | within_cut(keys, F.col(CUT), seed)
     return df.join(rooms, [language, shard]).filter(kept).select(*df.columns)
 
 

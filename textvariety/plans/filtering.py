@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textvariety.functions.hashing import SEED
 from textvariety.functions.text import KEEP_THRESHOLD, keep_above
-from textvariety.operators.log_odds import LogOddsModel, score_positive
+from textvariety.operators.log_odds import LogOddsModel, free_of, score_positive
 from textvariety.operators.metrics import kept_ratio, score_summary
 from textvariety.operators.sampling import sample_n
 from textvariety.sources.sinks import Throughput, write_table
@@ -73,6 +73,7 @@ def filter_corpus(
     and in separate folders. Summary, ratio and sample then read the narrow
     columns they need, and nothing is scored again.
     """
+    free_of(df, _FLAG)
     scored = score_positive(df, model, key, text, score)
     flagged = scored.withColumn(_FLAG, keep_above(score, threshold))
     narrow = [

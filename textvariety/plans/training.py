@@ -24,9 +24,14 @@ from textvariety.operators.log_odds import (
     train_log_odds,
 )
 from textvariety.operators.logistic import stamped_name
-from textvariety.operators.metrics import confusion, f1_variants
+from textvariety.operators.metrics import (
+    classification_report,
+    confusion,
+    f1_variants,
+)
 from textvariety.operators.sampling import balance, stratified_split
 from textvariety.sources.experiments import record_experiment
+from textvariety.sources.scratch import store
 
 
 def prepare(
@@ -51,27 +56,58 @@ def training_rows(df: DataFrame, text: str = "text", label: str = "label") -> Da
 
 
 def predict_class(
-    df: DataFrame, model: LogOddsModel, key: str, text: str = "text"
+    df: DataFrame,
+    model: LogOddsModel,
+    key: str,
+    text: str = "text",
+    broadcast: bool = True,
 ) -> DataFrame:
     """Add `score` and `pred`; text without known features gets the fallback."""
     clean = df.withColumn(text, newline_to_space(text))
-    scored = score_positive(clean, model, key, text)
+    scored = score_positive(clean, model, key, text, broadcast=broadcast)
     said = F.when(F.col("score") >= 0.5, 0).otherwise(FALLBACK_CLASS)
     return scored.withColumn("pred", fallback(text, said, FALLBACK_CLASS))
 
 
 def evaluate(
+    sets: Mapping[str, DataFrame],
+    model: LogOddsModel,
+    key: str,
+    text: str = "text",
+    broadcast: bool = True,
+) -> DataFrame:
+    """F1 variants per named evaluation set, all sets in one job.
+
+    Sets may share keys.
+    """
+    counts = evaluation_counts(sets, model, key, text, broadcast)
+    return f1_variants(counts, ["dataset"])
+
+
+def evaluation_report(
     sets: Mapping[str, DataFrame], model: LogOddsModel, key: str, text: str = "text"
 ) -> DataFrame:
-    """F1 variants per named evaluation set, all sets in one job."""
+    """The report by class per named evaluation set."""
+    counts = evaluation_counts(sets, model, key, text)
+    return classification_report(counts, ["dataset"])
+
+
+def evaluation_counts(
+    sets: Mapping[str, DataFrame],
+    model: LogOddsModel,
+    key: str,
+    text: str = "text",
+    broadcast: bool = True,
+) -> DataFrame:
+    """tp, fn, fp, tn per named evaluation set."""
     rows = None
     for name, df in sets.items():
         part = df.filter(known_label("label")).select(
             F.lit(name).alias("dataset"), key, text, "label"
         )
         rows = part if rows is None else rows.unionByName(part)
-    predicted = predict_class(rows, model, key, text)
-    return f1_variants(confusion(predicted, ["dataset"]), ["dataset"])
+    predicted = predict_class(rows, model, key, text, broadcast)
+    return confusion(predicted, ["dataset"])
 
 
 def train_and_evaluate(
@@ -91,7 +127,8 @@ def train_and_evaluate(
     Returns the model path and the table of scores. `benchmarks` share the key
     column of `df`.
     """
-    rows = prepare(df, key, fraction, balanced, cap)
+    # Stored, so that training and evaluation see the same cut.
+    rows = store(prepare(df, key, fraction, balanced, cap))
     config = config or FeatureConfig()
     train = training_rows(rows.filter("split = 'train'"))
     model = train_log_odds(train, config).materialise()
