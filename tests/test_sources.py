@@ -116,6 +116,17 @@ def test_experiments_append(spark, tmp_path):
     assert not any(r["is_best"] for r in missing)
 
 
+def test_runs_within_a_minute_keep_their_order(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    for second, value in ((50, "3"), (10, "1"), (30, "2")):
+        now = datetime(2026, 3, 4, 16, 41, second)
+        experiments.record_experiment(spark, path, "run", {"F1": value}, "s", now=now)
+    log = experiments.read_experiments(spark, path)
+    assert experiments.latest_runs(log).first()["details"]["F1"] == "3"
+    history = experiments.experiment_history(log, "F1").orderBy("run").collect()
+    assert [r["value"] for r in history] == [1.0, 2.0, 3.0]
+
+
 def order(name):
     return hashlib.md5(f"42:{name}".encode()).hexdigest()
 

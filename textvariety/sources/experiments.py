@@ -7,11 +7,12 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 from pathlib import PurePath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG_SCHEMA = (
-    "name string, ts timestamp_ntz, script string, details map<string,string>"
+    "name string, ts timestamp_ntz, script string, details map<string,string>,"
+    " at timestamp_ntz"
 )
 
 
@@ -23,17 +24,22 @@ def record_experiment(
     script: str | None = None,
     now: datetime | None = None,
 ) -> None:
-    """Append one run: name, UTC minute, calling script, ordered details."""
+    """Append one run: name, UTC minute, calling script, ordered details.
+
+    The full time is kept as `at`: runs within a minute keep their order.
+    """
     now = now or datetime.now(timezone.utc)
     script = script or PurePath(inspect.stack()[1].filename).name
     pairs = [F.lit(str(v)) for pair in details.items() for v in pair]
-    minute = now.replace(tzinfo=None, second=0, microsecond=0)
+    full = now.replace(tzinfo=None)
+    minute = full.replace(second=0, microsecond=0)
     # A map expression keeps its order; a Python dict would lose it on the way.
     row = spark.range(1).select(
         F.lit(name).alias("name"),
         F.lit(f"{minute:%Y-%m-%d %H:%M}").cast("timestamp_ntz").alias("ts"),
         F.lit(script).alias("script"),
         F.create_map(*pairs).cast("map<string,string>").alias("details"),
+        F.lit(full.isoformat(sep=" ")).cast("timestamp_ntz").alias("at"),
     )
     row.coalesce(1).write.mode("append").parquet(path)
 
@@ -46,10 +52,16 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
 def latest_runs(log: DataFrame) -> DataFrame:
     """Details of the last run of each name."""
     return log.groupBy("name").agg(
-        F.max("ts").alias("ts"), F.max_by("details", "ts").alias("details")
+        F.max("ts").alias("ts"), F.max_by("details", _order(log)).alias("details")
     )
 
 
+def _order(log: DataFrame) -> Column:
+    """Minute and full time; logs of older runs have the minute only."""
+    at = F.col("at") if "at" in log.columns else F.lit(None)
+    return F.struct("ts", F.coalesce(at, F.col("ts")), "script")
+
+
 def experiment_history(log: DataFrame, metric: str) -> DataFrame:
     """Runs in time order per name, with one metric as a number.
 
@@ -62,12 +74,12 @@ def experiment_history(log: DataFrame, metric: str) -> DataFrame:
     runs = log.withColumn("_n", number).select(
         "name",
         "ts",
-        "script",
+        _order(log).alias("__textvariety_order"),
         F.when(F.col("_n") != "", F.col("_n").cast("double")).alias("value"),
     )
     name = Window.partitionBy("name")
-    in_time = name.orderBy("ts", "script")
-    best_first = name.orderBy(F.col("value").desc_nulls_last(), "ts", "script")
+    in_time = name.orderBy("__textvariety_order")
+    best_first = name.orderBy(F.col("value").desc_nulls_last(), "__textvariety_order")
     return runs.select(
         "name",
         F.row_number().over(in_time).alias("run"),
