@@ -10,6 +10,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from textvariety.llm import bpe, queries, token_files
+from textvariety.llm.chunks import Cache
 from tests.llm.helpers import sha
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -122,3 +123,15 @@ def test_crc32_combine():
     a, b = b"some bytes", b"others" * 1000
     assert token_files.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
     assert token_files.crc32_combine(0, zlib.crc32(b), len(b)) == zlib.crc32(b)
+
+
+def test_a_cache_that_forgets_gives_the_same_ids():
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    cache = Cache(token_files._chunk_encoder(TOKENIZER), most=5)
+    texts = [t or "" for t in ODD[:-1]] + ["word. word, word! Word's wörd. x.y. 1. a.. ɒ."] * 2
+    for _ in range(3):
+        for part in (texts[::2], texts[1::2], texts):
+            got = [np.frombuffer(i, "<u4").tolist() for i in cache.encode(part)]
+            assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+    assert len(cache._before) + len(cache._inner) < 200

@@ -13,8 +13,10 @@ import types
 from collections.abc import Callable, Iterable, Iterator
 
 _SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-# Chunks a worker remembers at most, and characters of texts encoded together.
-MOST_CHUNKS, STRETCH = 800_000, 24 << 20
+# Chunks of a generation, and characters of texts encoded together.
+MOST_CHUNKS, STRETCH = 120_000, 4 << 20
+# Marks that are a piece of their own at the end of a chunk, after a letter.
+TAILS = ".,;:!?"
 
 
 def of_worker(name: str, make: Callable):
@@ -28,22 +30,29 @@ def of_worker(name: str, make: Callable):
     return getattr(kept, name)
 
 
-def _loose(chunk: str) -> bool:
+def loose(chunk: str) -> bool:
+    """Whether a chunk touches white space besides its single blanks."""
     return not chunk or chunk[0].isspace() or chunk[-1].isspace()
 
 
 class Cache:
     """Encoded chunks: little-endian 32-bit ids by chunk.
 
-    `encode` turns a list of strings into such ids. Forgets all when it holds
-    `most` chunks, so its memory is bounded.
+    `encode` turns a list of strings into such ids. Chunks are kept in two
+    generations of at most `most` each (and what one stretch adds); those not
+    asked for in a generation are forgotten, so memory is bounded.
     """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = MOST_CHUNKS):
         self._encode, self._most = encode, most
-        # Chunks after a blank, and chunks at the start of a text.
+        # Chunks after a blank, and those of the generation before.
         self._inner: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
+        # Chunks at the start of a text.
         self._first: dict[str, bytes] = {}
+        # What a text falls into at a blank that is not always a cut.
+        self._odd: set[str] = set()
+        self._tails = dict(zip(TAILS, encode(list(TAILS))))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, texts of about STRETCH characters at a time."""
@@ -56,30 +65,43 @@ class Cache:
             yield from self._stretch(texts[start:end])
             start = end
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Encode chunks that follow a blank, words without their last mark."""
+        known, before = self._inner, self._before
+        for c in chunks & before.keys():
+            known[c] = before[c]
+        new = chunks - known.keys()
+        marked = [c for c in new if c[-1:] in self._tails and c[-2:-1].isalpha() and c[-2] < "\u0250"]
+        words = {c[:-1] for c in marked}
+        for c in words & before.keys():
+            known[c] = before[c]
+        asked = sorted((new.difference(marked) | words) - known.keys())
+        known.update(zip(asked, self._encode([" " + c for c in asked])))
+        for c in marked:
+            known[c] = known[c[:-1]] + self._tails[c[-1]]
+
     def _stretch(self, texts: list[str]) -> Iterator[bytes]:
-        asked: set[str] = set()
-        for text in texts:
-            asked.update(text.split(" "))
-        loose = {c for c in asked if _loose(c)}
-
-        def split(text: str) -> list[str]:
-            parts = text.split(" ")
-            return parts if loose.isdisjoint(parts) else _SINGLE_BLANK.split(text)
-
-        if loose:
-            asked -= loose
-            for text in texts:
-                if not loose.isdisjoint(text.split(" ")):
-                    asked.update(_SINGLE_BLANK.split(text))
-        firsts = {split(text)[0] for text in texts}
-        if len(self._inner) + len(self._first) > self._most:
-            self._inner, self._first = {}, {}
-        new = sorted(asked - self._inner.keys())
-        self._inner.update(zip(new, self._encode([" " + c for c in new])))
-        new = sorted(firsts - self._first.keys())
-        self._first.update(zip(new, self._encode(new)))
-        for text in texts:
-            chunks = split(text)
-            ids = list(map(self._inner.__getitem__, chunks))
+        if len(self._inner) > self._most:
+            self._inner, self._before = {}, self._inner
+            self._first, self._odd = {}, set()
+        cut = [text.split(" ") for text in texts]
+        asked = set().union(*cut)
+        new = asked - self._inner.keys()
+        self._odd.update(c for c in new if loose(c))
+        odd = asked & self._odd
+        if odd:
+            for i, parts in enumerate(cut):
+                if not odd.isdisjoint(parts):
+                    cut[i] = _SINGLE_BLANK.split(texts[i])
+                    new.update(cut[i])
+            # Of the odd ones, only what is a chunk all the same.
+            new -= odd
+            new.update(c for p in cut for c in p if c in odd)
+        self._learn(new)
+        firsts = sorted({parts[0] for parts in cut} - self._first.keys())
+        self._first.update(zip(firsts, self._encode(firsts)))
+        get = self._inner.__getitem__
+        for chunks in cut:
+            ids = list(map(get, chunks))
             ids[0] = self._first[chunks[0]]
             yield b"".join(ids)

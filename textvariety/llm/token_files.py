@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textvariety.llm.chunks import Cache, of_worker
+from textvariety.llm.chunks import Cache, loose, of_worker
 from textvariety.llm.common import pick
 from textvariety.sources.scratch import store
 
 # Fixed value: the id that ends a document.
 END_ID = 2
-LANES, SEGMENT_STEPS, BLOCK_IDS = 256, 256, 1 << 18
+LANES, SEGMENT_STEPS, BLOCK_IDS = 512, 128, 1 << 18
 SCALE_BITS = 20
+# Chunks a worker keeps: this tokenizer takes longer for a word than memory costs.
+KEPT_CHUNKS = 400_000
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -162,23 +164,52 @@ _BLOCKS = (
 )
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """Rows of _BLOCKS from texts in order; a document may go on in further blocks."""
+def _chunk_encoder(path: str):
+    """A function from chunks to their ids as bytes, little-endian.
 
-    def make() -> Cache:
-        os.environ.update(TOKENIZERS_PARALLELISM="false", RAYON_NUM_THREADS="1")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+    Chunks that start with their only blank are encoded many at a time as one
+    text: there, a token starts with a blank just where a chunk does. The rest
+    is encoded one by one, a few at a time, for their memory.
+    """
+    os.environ.update(TOKENIZERS_PARALLELISM="false", RAYON_NUM_THREADS="1")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    opens = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    for token, i in tokenizer.get_vocab().items():
+        opens[i] = token.startswith("\u0120")
+
+    def one_by_one(chunks: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def together(chunks: list[str]) -> list[bytes]:
+        (found,) = tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        at = np.flatnonzero(opens[ids])
+        if len(at) != len(chunks):
+            return one_by_one(chunks)
+        raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+        return [raw[s:e] for s, e in zip((4 * at).tolist(), ends)]
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        plain = [c[:1] == " " and " " not in c[1:] and not loose(c[1:]) for c in chunks]
+        out: dict[int, bytes] = {}
+        for want, size, how in ((True, 8192, together), (False, 1024, one_by_one)):
+            at = [i for i, p in enumerate(plain) if p == want]
+            for i in range(0, len(at), size):
+                part = at[i : i + size]
+                out.update(zip(part, how([chunks[k] for k in part])))
+        return [out[i] for i in range(len(chunks))]
+
+    return encode
 
-        def encode(chunks: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-        return Cache(encode)
+def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Rows of _BLOCKS from texts in order; a document may go on in further blocks."""
 
-    cache = of_worker(f"tokenizer {path}", make)
+    cache = of_worker(f"tokenizer {path}", lambda: Cache(_chunk_encoder(path), KEPT_CHUNKS))
     part, block, before, doc = TaskContext.get().partitionId(), 0, 0, 0
     end = np.array([end_id], "<u4").tobytes()
     pieces: list[tuple[int, int | None, bytes]] = []
@@ -327,9 +358,12 @@ def token_report(pieces: DataFrame) -> DataFrame:
 
     n = (F.length("ids") / 4).cast("bigint")
     piece = F.struct("block", F.crc32("ids").alias("crc"), n.alias("n"))
-    docs = pieces.groupBy("part", "doc_no", "doc_id").agg(
-        F.min("before").alias("before"), F.sum(n).alias("n_tokens"),
-        F.array_sort(F.collect_list(piece)).alias("pieces"),
+    # Stored, as it is used twice: a narrow row for each document.
+    docs = store(
+        pieces.groupBy("part", "doc_no", "doc_id").agg(
+            F.min("before").alias("before"), F.sum(n).alias("n_tokens"),
+            F.array_sort(F.collect_list(piece)).alias("pieces"),
+        )
     )
     sizes = docs.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row for each part of the files.
