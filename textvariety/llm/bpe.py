@@ -25,6 +25,7 @@ from textvariety.llm.chunks import Cache, of_worker
 from textvariety.llm.common import pick
 
 _SHIFT = 24  # room for a token id in the key of a pair
+ROWS = 2000  # rows whose texts are Python strings at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -181,26 +182,37 @@ def _encode(
         return Cache(encoder(ranks, pattern)), {rank: t for t, rank in ranks.items()}
 
     cache, tokens = of_worker(f"bpe {path} {pattern}", make)
-    for batch in batches:
-        kept = [n for n in batch.schema.names if n != "text"]
-        rows = batch.select(kept)
-        done = 0
-        for part in _parts(cache.encode(batch.column("text").to_pylist())):
-            ids = np.frombuffer(b"".join(part), "<i4")
-            ends = np.cumsum([0] + [len(p) // 4 for p in part]).astype(np.int32)
-            texts = [hashlib.sha256(decode(np.frombuffer(p, "<i4").tolist(), tokens)).hexdigest() for p in part]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *rows.slice(done, len(part)).columns,
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
-                    pa.array(texts, pa.string()),
-                ],
-                [*kept, "ids", "decoded_sha256"],
-            )
-            done += len(part)
-
-
-def _parts(rows: Iterator[bytes], most: int = 8 << 20) -> Iterator[list[bytes]]:
+    for whole in batches:
+        # Texts become Python strings a slice at a time.
+        for start in range(0, len(whole), ROWS):
+            yield from _encode_slice(whole.slice(start, ROWS), cache, tokens)
+
+
+def _encode_slice(
+    batch: pa.RecordBatch, cache: Cache, tokens: dict[int, bytes]
+) -> Iterator[pa.RecordBatch]:
+    kept = [n for n in batch.schema.names if n != "text"]
+    rows = batch.select(kept)
+    done = 0
+    for part in _parts(cache.encode(batch.column("text").to_pylist())):
+        ids = np.frombuffer(b"".join(part), "<i4")
+        ends = np.cumsum([0] + [len(p) // 4 for p in part]).astype(np.int32)
+        texts = [
+            hashlib.sha256(decode(np.frombuffer(p, "<i4").tolist(), tokens)).hexdigest()
+            for p in part
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *rows.slice(done, len(part)).columns,
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
+                pa.array(texts, pa.string()),
+            ],
+            [*kept, "ids", "decoded_sha256"],
+        )
+        done += len(part)
+
+
+def _parts(rows: Iterator[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
     """Rows of about `most` bytes at a time."""
     part, size = [], 0
     for row in rows:
