@@ -403,7 +403,8 @@ def _linked_nodes(read: DataFrame, nodes: DataFrame, percent: int, miss: float)
     split = hub_of.join(counted.filter("__low <> __high and size > 2"), "bucket").select(
         "bucket", "hub", "hub_component", "size"
     )
-    marked = store(named.join(split, "bucket"))
+    # Where few buckets are left, their members need not meet in one task.
+    marked = store(named.join(broadcast_if_small(store(split)), "bucket"))
     outside = marked.filter("component <> hub_component")
     outsiders = outside.groupBy("bucket").agg(F.count("*").alias("outside"))
 
@@ -413,7 +414,7 @@ def _linked_nodes(read: DataFrame, nodes: DataFrame, percent: int, miss: float)
     def every(count: str):
         return F.explode(F.sequence(F.lit(0), (F.ceil(F.col(count) / BLOCK) - 1).cast("int")))
 
-    sized = outsiders.select("bucket", "outside")
+    sized = broadcast_if_small(store(outsiders))
     left = outside.join(sized, "bucket").select(
         "bucket", "node", "component", F.lit(0).alias("side"), chunk("outside").alias("l"), every("size").alias("r")
     )
