@@ -64,7 +64,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model)
 
 
-@query("op6_chat_examples")
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length('<s>[INST][/INST]</s>') + length(r) + length(t)
+    + len(regexp_extract_all(r, '(\[/?|</?)(\\*)(INST\]|s>)'))
+    + len(regexp_extract_all(t, '(\[/?|</?)(\\*)(INST\]|s>)')) AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), ''))
+    AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op6_chat_examples", CHAT_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     said = "</s>[INST] ok [/INST]"
