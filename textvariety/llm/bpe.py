@@ -179,13 +179,16 @@ def _encode(
 ) -> Iterator[pa.RecordBatch]:
     def make():
         ranks = read_ranks(path)
-        return Cache(encoder(ranks, pattern)), {rank: t for t, rank in ranks.items()}
+        return encoder(ranks, pattern), {rank: t for t, rank in ranks.items()}
 
-    cache, tokens = of_worker(f"bpe {path} {pattern}", make)
+    encode_chunks, tokens = of_worker(f"bpe {path} {pattern}", make)
+    # Known chunks go with the task, so that later stages have their memory.
+    cache = Cache(encode_chunks)
     for whole in batches:
         # Texts become Python strings a slice at a time.
         for start in range(0, len(whole), ROWS):
             yield from _encode_slice(whole.slice(start, ROWS), cache, tokens)
+    pa.default_memory_pool().release_unused()
 
 
 def _encode_slice(

@@ -102,11 +102,19 @@ def fewest_matches(
     return out
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches a few rows at a time, for what Python makes of them."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, text_hash, n, set_a, set_b, signature) from texts."""
     import xxhash
 
-    for batch in batches:
+    for batch in _sliced(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         done = 0
         while done < len(texts):
@@ -134,7 +142,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [batch.column("node"), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())],

@@ -342,6 +342,7 @@ def _scan(batches: Iterator[pa.RecordBatch], model: SkipChain) -> Iterator[pa.Re
                 [*part.columns, column([f[0] for f in fixed]), column(added)],
                 [*batch.schema.names, "base", "added"],
             )
+    pa.default_memory_pool().release_unused()
 
 
 def find_pii(docs: DataFrame, model: SkipChain, *keep: str) -> DataFrame:
