@@ -39,8 +39,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every span of personal data replaced by its kind."""
-    found = pii.find_pii(docs, pii.train_skip_chain(docs), *DOCUMENT)
-    masked = pii.mask_pii(found)
+    masked = pii.mask_pii(docs, pii.train_skip_chain(docs), *DOCUMENT)
     return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(*DOCUMENT)
 
 
