@@ -266,3 +266,35 @@ def test_posterior_bounds():
     matches = rng.random((20_000, 192)) < 0.85
     counts = np.stack([matches[:, : 32 * (k + 1)].sum(1) for k in range(6)])
     assert (counts >= np.array(needed)[:, None]).all()
+
+
+@pytest.mark.parametrize(("percent", "shingle"), [(80, 5), (85, 3), (80, 1)])
+def test_what_stays_at_other_shingles(spark, percent, shingle):
+    """Texts with a passage put in or scattered edits, next to brute force."""
+    rows = []
+    for k in range(40):
+        words = [f"v{k}_{i}" for i in range(150)]
+        cut = 6 + k % 20
+        rows += [
+            (10 * k, " ".join(words)),
+            (10 * k + 1, " ".join([*words, *(f"more{k}_{i}" for i in range(cut + 10))])),
+            (10 * k + 2, edited(words, set(range(5, 150, 150 // (1 + k % 8))))),
+        ]
+
+    def sets_of(text):
+        words = text.split()
+        return {tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1)}
+
+    sets = {d: sets_of(t) for d, t in rows}
+    root = {d: d for d in sets}
+    for k in range(40):
+        trio = [10 * k + i for i in range(3)]
+        for _ in trio:
+            for a in trio:
+                for b in trio:
+                    if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = near_dedup.drop_near_duplicates(frame, percent, shingle).collect()
+    assert {r["doc_id"] for r in stay} == {d for d in root if root[d] == d}
+    assert {r["doc_id"]: r["text"] for r in stay}.items() <= dict(rows).items()

@@ -28,9 +28,10 @@ from textvariety.llm.common import pick
 from textvariety.sources.scratch import broadcast_if_small, store
 
 # Three words to a shingle; linked at a similarity of 85 percent.
+# Others are passed as arguments.
 SHINGLE, PERCENT = 3, 85
 # Signature of BANDS * ROWS values of 16 bits. At a similarity of 0.85 a pair
-# shares no band with probability (1 - 0.85^6)^32 = 2.6e-7.
+# shares no band with probability (1 - 0.85^6)^32 = 2.6e-7; at 0.8 it is 6e-5.
 BANDS, ROWS = 32, 6
 # Values compared at a time, and the posterior bound below which a pair goes.
 BATCH, MISS = 32, 1e-7
@@ -110,7 +111,7 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
     pa.default_memory_pool().release_unused()
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, text_hash, n, set_a, set_b, signature) from texts."""
     import xxhash
 
@@ -121,7 +122,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets: list[np.ndarray] = []
             size, first = 0, done
             while done < len(texts) and (not sets or size < _TASK_SHINGLES):
-                sets.append(shingle_set(texts[done]))
+                sets.append(shingle_set(texts[done], shingle))
                 size += len(sets[-1])
                 done += 1
             kept = [s for s in sets if len(s)]
@@ -141,11 +142,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in _sliced(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())],
+            [batch.column("node"), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())],
             ["node", "shingles"],
         )
 
@@ -304,7 +305,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = store(small.filter("high <> low").distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, miss: float = MISS, shingle: int = SHINGLE
+) -> DataFrame:
     """(row, doc_id, text_hash, n_shingles, component_id, kept_row).
 
     Every row of `docs` is one row; `component_id` is the smallest doc_id of its
@@ -313,14 +316,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     Repeated rows are copies of each other. Null ids count as larger than all
     others, and a group of null ids only has a null id. Other columns are left
     out. A link is missed with a probability of about the band miss (2.6e-7 at
-    the threshold) plus `miss`.
+    85 percent, 6e-5 at 80) plus `miss`. `shingle` is the number of words to a
+    shingle.
     """
     text = F.coalesce("text", F.lit(""))
     read = pick(docs, "doc_id", "text", doc_id="bigint", text="string").select(
         "doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")
     )
     signed = read.mapInArrow(
-        _signed,
+        partial(_signed, shingle=shingle),
         "doc_id long, text_hash long, n long, set_a long, set_b long, signature binary",
     )
     rows = store(signed.select(F.monotonically_increasing_id().alias("row"), "*"))
@@ -333,7 +337,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
             "x.n", "x.signature",
         )
     )
-    found = _linked_nodes(read, nodes, percent, miss)
+    found = _linked_nodes(read, nodes, percent, miss, shingle)
     members = filled.select("row", "set_a", "set_b").join(
         nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]
     )
@@ -354,7 +358,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     )
 
 
-def _linked_nodes(read: DataFrame, nodes: DataFrame, percent: int, miss: float) -> DataFrame:
+def _linked_nodes(
+    read: DataFrame, nodes: DataFrame, percent: int, miss: float, shingle: int
+) -> DataFrame:
     """(node, component) of the nodes with links."""
     width = 2 * ROWS
     bands = F.transform(
@@ -381,7 +387,9 @@ def _linked_nodes(read: DataFrame, nodes: DataFrame, percent: int, miss: float)
     narrow = broadcast_if_small(wanted.select("node", "__id", "__hash"))
     texts = read.join(narrow, same).select("node", "text")
     # Repeated rows give the same set several times.
-    sets = texts.mapInArrow(_with_sets, "node long, shingles binary").dropDuplicates(["node"])
+    sets = texts.mapInArrow(
+        partial(_with_sets, shingle=shingle), "node long, shingles binary"
+    ).dropDuplicates(["node"])
     whole = store(wanted.select("node", "n", "signature").join(sets, "node"))
 
     needed = fewest_matches(BANDS * ROWS // BATCH, percent, miss)
@@ -445,12 +453,14 @@ def dedup_report(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
+) -> DataFrame:
     """The rows of `docs` that stay, one of each group; columns as they are.
 
     Rows that are equal in id and text are told apart by counting them.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, percent, shingle=shingle)
     kept = (
         found.filter("row = kept_row")
         .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
