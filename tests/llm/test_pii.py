@@ -101,3 +101,32 @@ def test_messages_are_exact_on_a_chain():
 def test_masked():
     assert pii.masked("mail a@b.c or", [(5, 10, "email")]) == "mail [EMAIL] or"
     assert pii.masked("0123456789", [(2, 6, "card"), (4, 8, "phone")]) == "01[CARD]89"
+
+
+def test_hundreds_of_repeats_share_the_label_of_one_match(model):
+    full, short = "call +1 (017) 555-7713 now", ", or later just 555-7713"
+    for n in (4, 12, 300):
+        assert added(model, full + short * n) == [("phone", "555-7713")] * n
+        assert added(model, short * n + " or " + full) == [("phone", "555-7713")] * n
+        spread = full + ", then 98 more and 555-7713 again" * n
+        assert added(model, spread) == [("phone", "555-7713")] * n
+
+
+def test_failed_checks_do_not_hide_a_match():
+    assert pii._links_of_equals([0, 1, 2, 3], [-1, 0, 4, -1]) == [(1, 2), (0, 2), (2, 3)]
+    assert pii._links_of_equals([0, 1, 2], [-1, 0, -1]) == [(0, 1), (1, 2)]
+    assert pii._links_of_equals([0, 1, 2], [-1, -1, -1]) == [(0, 1), (0, 2)]
+
+
+def test_labels_reach_the_end_of_long_runs():
+    n = 200
+    chain = 12.0 * np.eye(pii.LABELS)
+    model = pii.SkipChain(np.zeros((pii.HASHES, pii.LABELS)), chain, np.zeros_like(chain))
+    near = np.array([(i, i + 1) for i in range(n - 1)])
+    known = np.array([4] + [-1] * (n - 1))
+    none = np.zeros(n, bool)
+    graph = pii.Graph(
+        [(0, i, i + 1) for i in range(n)], np.zeros((n, 5), np.int64), known,
+        near, np.zeros((0, 2), np.int64), none, none,
+    )
+    assert pii.marginals(model, graph)[:, 4].min() > 0.95

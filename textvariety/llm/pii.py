@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -41,7 +42,9 @@ SAMPLE_DOCUMENTS, SAMPLE_CHARS = 1500, 20_000
 STEPS, RATE, DECAY = 150, 0.5, 1e-3
 # Before training, linked tokens are taken to share their label that much.
 SKIP_PRIOR = 6.0
-ROUNDS, DAMPING, CERTAIN = 12, 0.5, 0.95
+DAMPING, CERTAIN = 0.5, 0.95
+# Messages are settled when none moves further; loops that never settle end after ROUNDS.
+SETTLED, ROUNDS = 1e-4, 1000
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 _HAS = re.compile("[0-9@]")
 _TOKEN = re.compile(r"[^ \t-\r]+")
@@ -135,11 +138,28 @@ def _linked_key(token: str) -> str | None:
     return digits if len(digits) >= 4 else None
 
 
+def _links_of_equals(nodes: list[int], known: list[int]) -> list[tuple[int, int]]:
+    """Links between the equal tokens of a text, so that no label has a way to go.
+
+    Tokens of a known label are linked to the next such; each other one is linked
+    to the pattern match nearest to it, or without any to the nearest place that
+    failed its check, or without either to the first of its like.
+    """
+    given = [n for n in nodes if known[n] >= 0]
+    links = list(zip(given, given[1:]))
+    centres = [n for n in given if known[n] != OUTSIDE] or given or nodes[:1]
+    for n in nodes:
+        if known[n] < 0 and n != centres[0]:
+            i = bisect(centres, n)
+            near = min(centres[max(i - 1, 0) : i + 1], key=lambda c: abs(c - n))
+            links.append((min(near, n), max(near, n)))
+    return links
+
+
 def build_graph(texts: list[str], spans: list[list[Span]], failed: list[list[tuple[int, int]]]) -> Graph:
     """Tokens that hold a digit or an @, with what is known of them.
 
-    Equal tokens are linked to the next of their like, so a token repeated n
-    times makes n - 1 links.
+    A token repeated n times makes at most n - 1 links: see _links_of_equals.
     """
     where, rows, known, near, linked, left, right = [], [], [], [], [], [], []
     for t, text in enumerate(texts):
@@ -147,7 +167,7 @@ def build_graph(texts: list[str], spans: list[list[Span]], failed: list[list[tup
             continue
         tokens = [m.span() for m in _TOKEN.finditer(text)]
         shapes: dict[int, str] = {}
-        last: dict[str, int] = {}
+        equals: dict[str, list[int]] = {}
         marks = [(s, e, r + 1) for s, r, e, _ in spans[t]] + [(s, e, OUTSIDE) for s, e in failed[t]]
         marks.sort()
         mark, before = 0, -2
@@ -181,11 +201,11 @@ def build_graph(texts: list[str], spans: list[list[Span]], failed: list[list[tup
             right.append(True)
             key = _linked_key(token)
             if key is not None:
-                if key in last:
-                    linked.append((last[key], node))
-                last[key] = node
+                equals.setdefault(key, []).append(node)
             where.append((t, start, end))
             before = k
+        for nodes in equals.values():
+            linked += _links_of_equals(nodes, known)
     pairs = (np.array(e, np.int64).reshape(-1, 2) for e in (near, linked))
     return Graph(
         where, np.array(rows, np.int64).reshape(-1, 5), np.array(known, np.int64), *pairs,
@@ -217,7 +237,12 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def marginals(model: SkipChain, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy sum-product with damping over both kinds of edges."""
+    """Loopy sum-product with damping over both kinds of edges, until messages settle.
+
+    Only messages that still move, or whose sender has met one that does, are
+    made anew, so a text takes its own number of rounds whatever is beside it.
+    Known tokens take no messages: many repeats of one would outvote it.
+    """
     unary = model.unary(graph)
     edges = np.concatenate([graph.near, graph.linked])
     if len(edges):
@@ -233,13 +258,22 @@ def marginals(model: SkipChain, graph: Graph, rounds: int = ROUNDS) -> np.ndarra
         target = np.concatenate([edges[:, 1], edges[:, 0]])
         back = np.concatenate([np.arange(size, 2 * size), np.arange(size)])
         sent = np.zeros((2 * size, LABELS))
+        takes = graph.known[target] < 0
+        (active,) = np.nonzero(takes)
         for _ in range(rounds):
-            belief = unary.copy()
-            np.add.at(belief, target, sent)
-            out = _log_sum((belief[source] - sent[back])[:, :, None] + tables, 1)
+            out = _log_sum((unary[source[active]] - sent[back[active]])[:, :, None] + tables[active], 1)
             out -= _log_sum(out, 1)[:, None]
-            sent = DAMPING * sent + (1 - DAMPING) * out
-        np.add.at(unary, target, sent)
+            step = (1 - DAMPING) * (out - sent[active])
+            sent[active] += step
+            np.add.at(unary, target[active], step)
+            moved = active[np.abs(step).max(1) > SETTLED]
+            if not len(moved):
+                break
+            met = np.zeros(len(unary), bool)
+            met[target[moved]] = True
+            again = met[source]
+            again[moved] = True
+            (active,) = np.nonzero(again & takes)
     return np.exp(unary - _log_sum(unary, 1)[:, None])
 
 
