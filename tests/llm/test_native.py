@@ -1,5 +1,7 @@
 """Secrets, chat examples and fingerprints next to plain-Python versions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +169,33 @@ def test_fingerprints_of_the_table(spark):
 
 
 
+def check_short(made, rows):
+    """Texts of ten pieces or more keep anchors when their last third changes."""
+    pieces = {d: len(re.findall(r"[^ \t-\r]{1,4}", t or "")) for d, t in rows}
+    short = [r for r in made if pieces[r["doc_id"]] >= 10 and r["n_chars"] < 1000]
+    assert len(short) > 50
+    assert [r["doc_id"] for r in short if r["near_edited"] <= r["near_next"] < 1] == []
+    assert [r["doc_id"] for r in short if r["near_edited"] == 0] == []
+
+
+def test_short_documents_of_the_table_are_near_their_edits(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    check_short(queries.op10(spark, SF_DIR).collect(), rows)
+
+
+def test_short_texts_are_near_their_edits(spark):
+    rows = [(i, " ".join(f"w{i}{j}" for j in range(10 + i % 15))) for i in range(10, 90)]
+    check_short(fingerprints.fingerprints(spark.createDataFrame(rows, DOCS)).collect(), rows)
+
+
+def test_repeats_count_in_likeness(spark):
+    frame = spark.createDataFrame(
+        [([5, 5, 5, -1], [5, 5, 7]), ([], []), ([1], []), ([-1, -1], [-1, -1])], "a array<int>, b array<int>"
+    )
+    got = [r[0] for r in frame.select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()]
+    assert got == [2 / 5, 1.0, 0.0, 1.0]
+
 
 def test_anchors_are_context_free(spark):
     middle = " ".join(f"word{i}" for i in range(200))

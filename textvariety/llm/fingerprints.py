@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textvariety.llm.common import indices, let, pick
 
-PIECE, K, S = 4, 12, 3
+PIECE, K, S = 4, 4, 1
 # Neighbours are found inside of ranges of ids; so many ranges to a shuffle partition.
 RANGES_PER_PARTITION = 4
 MAX_RANGES = 16_384
@@ -68,18 +68,36 @@ def fingerprint(anchored: Column) -> Column:
     return F.lower(F.array_join(hexes, ""))
 
 
+def _numbered(anchored: Column) -> Column:
+    """Every anchor with how many of its like came before it, as one long each."""
+
+    def starts(x: Column) -> Column:
+        first = F.filter(
+            indices(F.size(x)), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1))
+        )
+        ends = F.concat(first, F.array(F.size(x)))
+        return let(F.struct(x.alias("x"), ends.alias("at")), numbered)
+
+    def numbered(s: Column) -> Column:
+        def run(j: Column) -> Column:
+            start = F.get(s["at"], j)
+            value = F.shiftleft(F.get(s["x"], start).cast("bigint"), 32)
+            return F.transform(indices(F.get(s["at"], j + 1) - start), lambda i: value + i)
+
+        return F.flatten(F.transform(indices(F.size(s["at"]) - 1), run))
+
+    return let(F.sort_array(anchored), starts)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Shared distinct anchors over all distinct ones; 1 for two empty texts."""
+    """Shared anchors over all, repeats counted; 1 for two empty texts."""
 
     def share(x: Column) -> Column:
         both = F.size(F.array_intersect(x["a"], x["b"]))
         either = F.size(x["a"]) + F.size(x["b"]) - both
         return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
-    distinct = F.struct(
-        F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b")
-    )
-    return let(distinct, share)
+    return let(F.struct(_numbered(a).alias("a"), _numbered(b).alias("b")), share)
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
