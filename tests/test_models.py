@@ -299,3 +299,17 @@ def test_analogies(spark):
     asked = spark.createDataFrame([("q", "king", "man", "woman")], "query string, a string, b string, c string")
     got = vectors.analogies(asked, table, 2).orderBy("rank").collect()
     assert [r["id"] for r in got] == ["queen", "tree"]
+
+
+def test_autotune_reaches_the_floor_on_held_out_rows(spark):
+    """The query returns what the inputs fix; the recall floor is checked here,
+    on sf0.1, where each class has enough held-out rows to judge it."""
+    from registry.models import FLOOR, _judged, tuned
+
+    rows, best, _ = tuned(spark, "/root/testdata/sf0.1")
+    known = rows.filter("split = 'train'").drop("split")
+    model = logistic.train_logistic(known, best)
+    judged = _judged(logistic.score_logistic(rows.filter("split = 'test'"), model, best))
+    got = {r["label"]: (r["support"], r["reached"]) for r in judged.collect()}
+    assert set(got) == {0, 1} and all(support >= 20 for support, _ in got.values())
+    assert all(reached for _, reached in got.values()), (got, FLOOR)
