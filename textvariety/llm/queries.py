@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textvariety.llm import (
     bpe,
     chat,
+    collocations,
     fingerprints,
     mixing,
     near_dedup,
@@ -154,3 +155,49 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_hilbert_neighbours")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+COLLOCATION_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+cut AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+pieces AS (
+  SELECT lang, ws FROM (SELECT lang,
+    list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM cut)
+  WHERE len(ws) > 0),
+lengths AS (SELECT unnest(range(1, 6)) AS len_),
+grams AS (
+  SELECT lang, len_, unnest(list_transform(range(1, len(ws) - len_ + 2),
+    lambda i: array_to_string(ws[i:i + len_ - 1], ' '))) AS phrase
+  FROM pieces, lengths),
+counts AS (SELECT lang, len_, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+cand AS (SELECT lang, len_, phrase, f AS a FROM counts WHERE len_ >= 2 AND f >= 100),
+ks AS (SELECT unnest(range(1, 5)) AS k),
+cuts AS (
+  SELECT c.*, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lp,
+    array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rp
+  FROM cand c, ks WHERE k < len_),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.len_, a, k, l.f AS l, r.f AS r, n,
+    (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts JOIN counts l ON l.lang = cuts.lang AND l.phrase = lp
+  JOIN counts r ON r.lang = cuts.lang AND r.phrase = rp JOIN totals t ON t.lang = cuts.lang),
+best AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM cand q WHERE q.lang = b.lang AND q.len_ > b.len_ AND q.a >= b.a
+      AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT
+    AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATION_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
