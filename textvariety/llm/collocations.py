@@ -3,10 +3,14 @@
 Texts are lower-cased (A-Z only), cut into pieces at `[.,;:!?\\x0A-\\x0D]` and
 pieces into words `[^\\x20\\x09]+`. Every count is per language (null: `und`).
 
-1. Each piece gives the 64-bit keys of its phrases of 1 to 5 words (Spark's
-   xxhash64 of language and words; no phrase text is built). A task counts its
-   keys exactly in bounded memory and writes partial counts whenever its table
-   is full; these are stored in the shared scratch folder.
+1. Words are counted exactly (a grouped count; n per language comes from it).
+   A phrase cannot occur more often than any of its words, so only runs of
+   words that occur `threshold` times can hold a candidate; their 64-bit hashes
+   (at most n / threshold of them, a bound checked before they are broadcast)
+   mark them. Each piece's word hashes go to Arrow batches, where numpy forms
+   two independent 64-bit keys of every phrase of 2 to 5 such words. A task
+   counts keys exactly in bounded memory, writes partial counts whenever its
+   table is full, and these are stored in the shared scratch folder.
 2. Keys are cut into B hash buckets. A bucket of mass M (all its occurrences)
    gets a Misra-Gries summary of k = floor(M / threshold) + 1 counters. Partial
    counts are merged into it and reduced by the (k+1)-th largest counter, which
@@ -14,9 +18,10 @@ pieces into words `[^\\x20\\x09]+`. Every count is per language (null: `und`).
    than M / (k+1) < threshold: every phrase that occurs `threshold` times keeps
    a positive counter. Colliding keys only add candidates. B grows with the
    mass, so a summary holds at most COUNTERS counters plus one batch.
-3. The survivors' phrases are counted exactly in a second pass. Their number is
-   at most the sum of k, a bound known before the join; below BROADCAST_KEYS they
-   are broadcast, else joined by a shuffle.
+3. The survivors' phrases are counted exactly in a second pass, grouped by
+   their text (a task gives one row for each distinct phrase). Their number is
+   at most the sum of k, a bound known before; below BROADCAST_KEYS they are
+   broadcast and tested in the task, else joined by key in Spark.
 
 Scores, cuts, containment and ranks are joins and windows over the candidates.
 
@@ -51,7 +56,7 @@ TOP = 2000
 # Parameters of the method (not of the result).
 COUNTERS = 1 << 20  # counters one bucket's summary is sized for
 FLUSH = 1 << 22  # keys a task holds before it writes partial counts
-BROADCAST_KEYS = 1 << 23  # survivors joined by broadcast below this bound
+BROADCAST_KEYS = 1 << 22  # key sets broadcast to tasks below this proven bound
 SALTS = 64  # first ranking step: per language and salt
 
 
@@ -67,21 +72,47 @@ def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     return cut.select("lang", words.alias("words")).filter(F.size("words") > 0)
 
 
-def _of_length(words: Column, length: int, each) -> Column:
-    starts = indices(F.greatest(F.size(words) - length + 1, F.lit(0)))
-    return F.transform(starts, lambda i: each(i, F.slice(words, i + 1, length)))
-
-
-def phrase_keys(lang: Column, words: Column) -> Column:
-    """Keys of all phrases of 1 to LONGEST words, overlaps included."""
-    return F.flatten(
-        F.array(
-            *(
-                _of_length(words, n, lambda i, part: F.xxhash64(lang, part))
-                for n in range(1, LONGEST + 1)
-            )
-        )
-    )
+# Odd 64-bit multipliers of the two independent phrase keys (any odd values do).
+_KEY_A = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
+          0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+_KEY_B = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3,
+          0x1D8E4E27C47D124F, 0xBF58476D1CE4E5B9)
+
+
+def word_hashes(lang: Column, words: Column) -> Column:
+    """64-bit hash of each word together with its language."""
+    return F.transform(words, lambda w: F.xxhash64(lang, w))
+
+
+def _runs(hashes: pa.ListArray, frequent: np.ndarray | None):
+    """Flat word hashes, their piece, and whether each word is frequent."""
+    values = pc.list_flatten(hashes).to_numpy(zero_copy_only=False).astype(np.uint64)
+    sizes = pc.list_value_length(hashes).to_numpy(zero_copy_only=False)
+    piece = np.repeat(np.arange(len(sizes)), sizes)
+    if frequent is None:
+        ok = np.ones(len(values), bool)
+    else:
+        ok = np.isin(values.view(np.int64), frequent.value)
+    return values, piece, ok
+
+
+def phrase_positions(values, piece, ok, length):
+    """Starts of phrases of `length` words inside one piece, all words frequent,
+    and their two keys."""
+    m = len(values) - length + 1
+    if m <= 0:
+        empty = np.empty(0, np.int64)
+        return empty, empty, empty
+    good = piece[: m] == piece[length - 1 : length - 1 + m]
+    key_a = np.full(m, (_KEY_A[5] * length) % (1 << 64), np.uint64)
+    key_b = np.full(m, (_KEY_B[5] * length) % (1 << 64), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(length):
+            good &= ok[j : j + m]
+            key_a += values[j : j + m] * np.uint64(_KEY_A[j])
+            key_b += values[j : j + m] * np.uint64(_KEY_B[j])
+    starts = np.flatnonzero(good)
+    return starts, key_a[starts].view(np.int64), key_b[starts].view(np.int64)
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,40 +125,46 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def _partial_counts(batches):
-    """Exact counts of a task's keys, written whenever FLUSH keys are held."""
-    held_keys = np.empty(0, np.int64)
-    held_counts = np.empty(0, np.int64)
-    pending: list[np.ndarray] = []
-    waiting = 0
+def _partial_counts(frequent):
+    """Exact counts of a task's phrase keys, written whenever FLUSH are held."""
 
-    def table(keys, counts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "cnt"]
-        )
+    def run(batches):
+        held_keys = np.empty(0, np.int64)
+        held_counts = np.empty(0, np.int64)
+        pending: list[np.ndarray] = []
+        waiting = 0
 
-    for batch in batches:
-        flat = pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False)
-        pending.append(flat.astype(np.int64, copy=False))
-        waiting += len(flat)
-        if waiting < FLUSH:
-            continue
-        new = np.concatenate(pending)
-        pending, waiting = [], 0
-        held_keys, held_counts = _merged(
+        def table(keys, counts):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "cnt"]
+            )
+
+        for batch in batches:
+            values, piece, ok = _runs(batch.column(0), frequent)
+            for length in range(SHORTEST, LONGEST + 1):
+                keys = phrase_positions(values, piece, ok, length)[1]
+                pending.append(keys)
+                waiting += len(keys)
+            if waiting < FLUSH:
+                continue
+            new = np.concatenate(pending)
+            pending, waiting = [], 0
+            held_keys, held_counts = _merged(
+                np.concatenate([held_keys, new]),
+                np.concatenate([held_counts, np.ones(len(new), np.int64)]),
+            )
+            if len(held_keys) >= FLUSH // 2:
+                yield table(held_keys, held_counts)
+                held_keys, held_counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        new = np.concatenate(pending) if pending else np.empty(0, np.int64)
+        keys, counts = _merged(
             np.concatenate([held_keys, new]),
             np.concatenate([held_counts, np.ones(len(new), np.int64)]),
         )
-        if len(held_keys) >= FLUSH // 2:
-            yield table(held_keys, held_counts)
-            held_keys, held_counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    new = np.concatenate(pending) if pending else np.empty(0, np.int64)
-    keys, counts = _merged(
-        np.concatenate([held_keys, new]),
-        np.concatenate([held_counts, np.ones(len(new), np.int64)]),
-    )
-    if len(keys):
-        yield table(keys, counts)
+        if len(keys):
+            yield table(keys, counts)
+
+    return run
 
 
 def reduce_summary(keys: np.ndarray, counts: np.ndarray, capacity: int):
@@ -168,12 +205,29 @@ def _summaries(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["key"])
 
 
-def frequent_keys(texts: DataFrame, threshold: int | None = None) -> tuple[DataFrame, int]:
-    """Stored keys that include every phrase key occurring `threshold` times
-    (default THRESHOLD), and the bound on their number."""
-    threshold = threshold or THRESHOLD
-    keyed = texts.select(phrase_keys(F.col("lang"), F.col("words")).alias("keys"))
-    partial = store(keyed.mapInArrow(_partial_counts, "key long, cnt long"))
+def frequent_words(texts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Stored exact counts (lang, length 1, phrase, f) of words occurring
+    `threshold` times, and the total n of word occurrences per language."""
+    words = texts.select("lang", F.explode("words").alias("phrase"))
+    counted = words.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
+    counted = store(counted.select("lang", F.lit(1).alias("length"), "phrase", "f"))
+    totals = counted.groupBy("lang").agg(F.sum("f").cast("long").alias("n"))
+    return counted.filter(F.col("f") >= threshold), totals
+
+
+def _known(table: DataFrame, column: str, bound: int):
+    """Broadcast sorted values of a stored column, if its proven bound allows."""
+    if bound > BROADCAST_KEYS:
+        return None
+    values = np.asarray(table.select(column).toArrow().column(0).to_numpy(), np.int64)
+    return table.sparkSession.sparkContext.broadcast(np.sort(values))
+
+
+def frequent_keys(texts, frequent, threshold):
+    """Stored keys that include every phrase key of 2 to LONGEST frequent words
+    occurring `threshold` times, and the bound on their number."""
+    keyed = texts.select(word_hashes(F.col("lang"), F.col("words")).alias("hashes"))
+    partial = store(keyed.mapInArrow(_partial_counts(frequent), "key long, cnt long"))
     mass = partial.agg(F.sum("cnt")).first()[0] or 0
     spark = texts.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -191,32 +245,70 @@ def frequent_keys(texts: DataFrame, threshold: int | None = None) -> tuple[DataF
     return survivors, bound
 
 
-def exact_counts(texts: DataFrame, survivors: DataFrame, bound: int) -> DataFrame:
+def _exact_counts(frequent, survivors):
+    """Per task and distinct phrase of frequent words whose key survived:
+    lang, length, phrase, cnt."""
+
+    def run(batches):
+        for batch in batches:
+            values, piece, ok = _runs(batch.column("hashes"), frequent)
+            words = pc.list_flatten(batch.column("words"))
+            langs = batch.column("lang").to_numpy(zero_copy_only=False)
+            out = {"lang": [], "length": [], "phrase": [], "cnt": [], "key": []}
+            for length in range(SHORTEST, LONGEST + 1):
+                starts, key_a, key_b = phrase_positions(values, piece, ok, length)
+                if survivors is not None:
+                    hit = np.isin(key_a, survivors.value)
+                    starts, key_a, key_b = starts[hit], key_a[hit], key_b[hit]
+                if not len(starts):
+                    continue
+                pairs = np.stack([key_a, key_b], axis=1)
+                _, first, counts = np.unique(pairs, axis=0, return_index=True, return_counts=True)
+                out["key"].extend(key_a[first].tolist())
+                for at, cnt in zip(starts[first].tolist(), counts.tolist()):
+                    part = words.slice(at, length).to_pylist()
+                    out["lang"].append(langs[piece[at]])
+                    out["length"].append(length)
+                    out["phrase"].append(" ".join(part))
+                    out["cnt"].append(cnt)
+            if out["cnt"]:
+                yield pa.RecordBatch.from_pydict(
+                    out,
+                    pa.schema([("lang", pa.string()), ("length", pa.int32()),
+                               ("phrase", pa.string()), ("cnt", pa.int64()),
+                               ("key", pa.int64())]),
+                )
+
+    return run
+
+
+def exact_counts(texts, frequent, survivors, bound):
     """(lang, length, phrase, f) of every surviving phrase, counted exactly."""
-
-    def occurrence(i, part):
-        return F.struct(
-            F.xxhash64(F.col("lang"), part).alias("key"),
-            F.size(part).alias("length"),
-            F.array_join(part, " ").alias("phrase"),
-        )
-
-    every = F.flatten(
-        F.array(*(_of_length(F.col("words"), n, occurrence) for n in range(1, LONGEST + 1)))
+    known = _known(survivors, "key", bound)
+    hashed = texts.select(
+        "lang", "words", word_hashes(F.col("lang"), F.col("words")).alias("hashes")
+    )
+    found = hashed.mapInArrow(
+        _exact_counts(frequent, known),
+        "lang string, length int, phrase string, cnt long, key long",
     )
-    grams = texts.select("lang", F.inline(every))
-    wanted = F.broadcast(survivors) if bound <= BROADCAST_KEYS else survivors
-    found = grams.join(wanted, "key", "left_semi")
-    return found.groupBy("lang", "length", "phrase").agg(F.count("*").alias("f"))
+    if known is None:  # too many to carry to every task: joined by key in Spark
+        found = found.join(survivors, "key", "left_semi")
+    return found.groupBy("lang", "length", "phrase").agg(F.sum("cnt").cast("long").alias("f"))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Per language the TOP phrases of 2 to 5 words by association score:
     lang, rank, phrase, a, l, r, n, score (longs)."""
     texts = pieces(docs, text, lang)
-    survivors, bound = frequent_keys(texts)
-    counts = store(exact_counts(texts, survivors, bound).filter(F.col("f") >= THRESHOLD))
-    totals = texts.groupBy("lang").agg(F.sum(F.size("words")).cast("long").alias("n"))
+    threshold = THRESHOLD
+    singles, totals = frequent_words(texts, threshold)
+    bound = int(totals.agg(F.sum("n")).first()[0] or 0) // threshold
+    known = store(singles.select(F.xxhash64("lang", "phrase").alias("key")))
+    frequent = _known(known, "key", bound)
+    survivors, survivor_bound = frequent_keys(texts, frequent, threshold)
+    phrases = exact_counts(texts, frequent, survivors, survivor_bound)
+    counts = store(phrases.filter(F.col("f") >= threshold).unionByName(singles))
     candidates = counts.filter(F.col("length").between(SHORTEST, LONGEST)).select(
         "lang", "phrase", "length", F.col("f").alias("a")
     )
