@@ -19,7 +19,7 @@ from registry.core import (
 )
 from textvariety.functions.features import feature_bucket
 from textvariety.functions.text import keep_above
-from textvariety.operators import external, logistic, vectors
+from textvariety.operators import classes, external, logistic, vectors
 from textvariety.operators.log_odds import (
     predict_top_k,
     prune_features,
@@ -384,3 +384,65 @@ def _analogies(spark, sf_dir):
     triples = side("a", 0).join(side("b", 1), "query").join(side("c", 2), "query")
     embeddings = table(spark, sf_dir, "embeddings")
     return rounded(vectors.analogies(triples, embeddings, 5, "vec_id", "embedding"), "similarity")
+
+
+# --- Classes beyond two: the four languages ---
+
+SQL_CLASSES = f"""
+docs AS (SELECT doc_id, lang AS label, text FROM documents),
+toks AS (SELECT label, unnest({sql_tokens('text')}) AS feature FROM docs WHERE label IS NOT NULL),
+pairs AS (SELECT feature, label, count(*) AS n FROM toks GROUP BY ALL),
+vocab AS (SELECT feature FROM pairs GROUP BY feature HAVING sum(n) >= 2),
+kept AS (SELECT * FROM pairs SEMI JOIN vocab USING (feature)),
+v AS (SELECT count(*) AS v FROM vocab),
+class_docs AS (SELECT label, count(*) AS docs FROM docs WHERE label IS NOT NULL GROUP BY label),
+totals AS (SELECT label, sum(n) AS total FROM kept GROUP BY label),
+cls AS (
+  SELECT c.label, coalesce(total, 0) AS total,
+    ln(docs / (SELECT sum(docs) FROM class_docs)) AS prior, -ln(coalesce(total, 0) + v) AS dflt
+  FROM class_docs c LEFT JOIN totals USING (label), v),
+weights AS (
+  SELECT feature, label, n, ln((n + 1) / (total + v)) AS weight,
+    ln((n + 1) / (total + v)) - dflt AS delta
+  FROM kept JOIN cls USING (label), v)"""
+
+
+@query(
+    "train_log_odds_classes",
+    f"""WITH {SQL_CLASSES}
+    SELECT feature, label, n, round(weight, 9) AS weight FROM weights""",
+)
+def _train_classes(spark, sf_dir):
+    """(feature, label, n, weight) of a model over the four languages."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "label")
+    model = classes.train_log_odds_classes(docs)
+    return rounded(model.weights.select("feature", "label", "n", "weight"), "weight", digits=9)
+
+
+@query(
+    "predict_top_k_classes",
+    f"""WITH {SQL_CLASSES},
+doc_feats AS (
+  SELECT doc_id, feature, count(*) AS n
+  FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS feature FROM documents) GROUP BY ALL),
+known AS (SELECT * FROM doc_feats SEMI JOIN vocab USING (feature)),
+sizes AS (SELECT doc_id, sum(n) AS known FROM known GROUP BY doc_id),
+sums AS (
+  SELECT doc_id, label, sum(k.n * w.delta) AS s FROM known k JOIN weights w USING (feature)
+  GROUP BY ALL),
+raw AS (
+  SELECT d.doc_id, c.label, CASE WHEN sz.known > 0
+    THEN (c.prior + c.dflt) + coalesce(s.s, 0) / sz.known ELSE c.prior END AS s
+  FROM documents d CROSS JOIN cls c LEFT JOIN sizes sz ON sz.doc_id = d.doc_id
+  LEFT JOIN sums s ON s.doc_id = d.doc_id AND s.label = c.label),
+tops AS (SELECT doc_id, max(s) AS top FROM raw GROUP BY doc_id),
+e AS (SELECT raw.doc_id, label, exp(s - top) AS e FROM raw JOIN tops USING (doc_id)),
+p AS (SELECT doc_id, label, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS prob FROM e)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY prob DESC, label)::INTEGER AS rank,
+  label, prob FROM p QUALIFY rank <= 3""",
+)
+def _predict_classes(spark, sf_dir):
+    """The three likeliest languages of every document, by a model of all four."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "label")
+    model = classes.train_log_odds_classes(docs)
+    return classes.predict_top_k_classes(docs, model, "doc_id", k=3)

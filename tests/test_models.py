@@ -313,3 +313,34 @@ def test_autotune_reaches_the_floor_on_held_out_rows(spark):
     got = {r["label"]: (r["support"], r["reached"]) for r in judged.collect()}
     assert set(got) == {0, 1} and all(support >= 20 for support, _ in got.values())
     assert all(reached for _, reached in got.values()), (got, FLOOR)
+
+
+def test_classes_beyond_two(spark):
+    from textvariety.operators import classes
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = classes.train_log_odds_classes(docs.filter(~held).withColumnRenamed("lang", "label"))
+    top = classes.predict_top_k_classes(docs.filter(held), model, "doc_id", k=3)
+    best = top.filter("rank = 1").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = best.collect()
+    assert len(rows) == docs.filter(held).count()
+    assert sum(r["label"] == r["lang"] for r in rows) / len(rows) >= 0.9
+    vectors = classes.score_vectors(docs.filter(held), model, "doc_id").collect()
+    assert all(abs(sum(x["prob"] for x in v["scores"]) - 1) < 1e-5 for v in vectors)
+    assert all(len(v["scores"]) == 4 for v in vectors)
+
+
+def test_classes_edge_cases(spark):
+    from textvariety.operators import classes
+
+    rows = [(1, "a b c", "x"), (2, "a b", "x"), (3, "c d", None), (4, None, "x"), (5, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    model = classes.train_log_odds_classes(df)
+    got = {r["doc_id"]: r for r in classes.predict_top_k_classes(df, model, "doc_id", k=2).collect() if r["rank"] == 1}
+    assert set(got) == {1, 2, 3, 4, 5} and got[1]["label"] == "x"
+    # A text without known features gets the priors alone: 3 of 4 labelled rows are x.
+    assert got[4]["prob"] == pytest.approx(0.75, abs=1e-6) and got[5]["prob"] == pytest.approx(0.75, abs=1e-6)
+    one = classes.train_log_odds_classes(df.filter("label = 'x'"))
+    probs = [r["prob"] for r in classes.predict_top_k_classes(df, one, "doc_id").collect()]
+    assert probs == [1.0] * 5
