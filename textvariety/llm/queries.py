@@ -20,6 +20,7 @@ from textvariety.llm import (
     quality,
     secrets,
     token_files,
+    variants,
 )
 from textvariety.llm.common import table
 from textvariety.sources.scratch import scratch_path
@@ -201,3 +202,9 @@ FROM kept QUALIFY rank <= 2000
 @query("op11_collocations", COLLOCATION_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: DuckDB has no crc32; tests/llm/test_variants.py holds a brute force."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
