@@ -275,7 +275,7 @@ def _train_word_vectors(spark, sf_dir):
 SQL_VECTORS = f"""{SQL_WORDS}, word_vectors AS (
   SELECT word, embedding FROM (SELECT word, {sql_md5_bucket('word', 1)} AS x,
     ('0x' || substr(md5(word), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id
-    FROM words WHERE n >= 2) JOIN embeddings USING (vec_id))"""
+    FROM words) JOIN embeddings USING (vec_id))"""
 
 
 @query(
@@ -293,7 +293,7 @@ def _doc_vectors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     embeddings = table(spark, sf_dir, "embeddings")
     size = embeddings.agg(F.count("*")).scalar()
-    words = vocabulary(docs, min_count=2).withColumn(
+    words = vocabulary(docs, min_count=1).withColumn(
         "vec_id", feature_bucket("word", 1 << 32) % size
     )
     given = store(
