@@ -16,6 +16,7 @@ from textvariety.llm import (
     mixing,
     near_dedup,
     neighbours,
+    pieces,
     pii,
     quality,
     secrets,
@@ -208,3 +209,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: DuckDB has no crc32; tests/llm/test_variants.py holds a brute force."""
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_sentencepiece")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tests/llm/test_pieces.py compares with the library on every text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), model, "doc_id"))
