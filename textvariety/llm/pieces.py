@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,14 +94,17 @@ class PieceModel:
         self.mark_id = self.ids.get(MARK)
         import ahocorasick  # noqa: PLC0415  (workers import it once)
 
+        self.size = len(self.pieces)
         self.automaton = ahocorasick.Automaton()
         for piece in self.rank:
             if len(piece) > 1:
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, (self.ids[piece], len(piece)))
         self.automaton.make_automaton()
         self._segments: dict[str, list[int]] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        self._led: dict[str, list[int]] = {}
+        self._pairs: dict[int, bool] = {}
+        self._whole: dict[int, bool] = {}
+        self._codes: dict[str, int] = {}
 
     # --- plain BPE of short strings: the meaning of compatibility ---
 
@@ -119,52 +123,77 @@ class PieceModel:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
+    # Tokens as codes: a piece's id, or len(pieces) + the code point of a
+    # character that is no piece.
+
+    def _text(self, code: int) -> str:
+        return self.pieces[code] if code < self.size else chr(code - self.size)
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether the pair, joined and encoded, gives itself again."""
+        key = left << 22 | right
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) > CACHED:
                 self._pairs.clear()
-            known = self._pairs[key] = self.plain(left + right) == [left, right]
+            a, b = self._text(left), self._text(right)
+            known = self._pairs[key] = self.plain(a + b) == [a, b]
         return known
 
-    def whole(self, piece: str) -> bool:
+    def whole(self, code: int) -> bool:
         """Whether a piece is what its own string encodes to."""
-        known = self._whole.get(piece)
+        known = self._whole.get(code)
         if known is None:
-            known = self._whole[piece] = self.plain(piece) == [piece]
+            text = self._text(code)
+            known = self._whole[code] = self.plain(text) == [text]
         return known
 
     # --- the prefix table ---
 
-    def segment(self, text: str) -> list[str]:
-        """Tokens of a segment, by the last token of every prefix."""
-        if text in self.rank and self.whole(text):
-            return [text]
-        n = len(text)
-        ending: dict[int, list[str]] = {}
-        for end, piece in self.automaton.iter(text):
-            ending.setdefault(end + 1, []).append(piece)
-        last: list[str] = [""] * (n + 1)
-        compatible, whole = self.compatible, self.whole
+    def segment(self, text: str) -> list[int]:
+        """Token codes of a segment, by the last token of every prefix."""
+        n, size, codes = len(text), self.size, self._codes
+        if text in self.rank and self.whole(self.ids[text]):
+            return [self.ids[text]]
+        last = [0] * (n + 1)  # code of the last token of each prefix
+        width = [0] * (n + 1)  # its length
+        pairs, wholes = self._pairs, self._whole
+        matches = self.automaton.iter(text)
+        pending = next(matches, None)
         for i in range(1, n + 1):
-            found = None
-            for t in ending.get(i, ()):
-                j = i - len(t)
-                if whole(t) if j == 0 else compatible(last[j], t):
-                    found = t
-                    break
-            else:  # the single character is always a candidate
-                t = text[i - 1]
-                if i == 1 or compatible(last[i - 1], t):
-                    found = t
-            if found is None:  # cannot happen for BPE; kept as a loud guard
+            found = -1
+            while pending is not None and pending[0] + 1 == i:
+                if found < 0:
+                    code, length = pending[1]
+                    j = i - length
+                    if j == 0:
+                        ok = wholes.get(code)
+                        ok = self.whole(code) if ok is None else ok
+                    else:
+                        ok = pairs.get(last[j] << 22 | code)
+                        ok = self.compatible(last[j], code) if ok is None else ok
+                    if ok:
+                        found, wide = code, length
+                pending = next(matches, None)
+            if found < 0:  # the single character is always a candidate
+                c = text[i - 1]
+                code = codes.get(c)
+                if code is None:
+                    code = self.ids[c] if c in self.rank else size + ord(c)
+                    codes[c] = code
+                if i == 1:
+                    found, wide = code, 1
+                else:
+                    ok = pairs.get(last[i - 1] << 22 | code)
+                    if ok if ok is not None else self.compatible(last[i - 1], code):
+                        found, wide = code, 1
+            if found < 0:  # cannot happen for BPE; kept as a loud guard
                 raise RuntimeError(f"no last token at {i} of {text[:40]!r}")
-            last[i] = found
+            last[i], width[i] = found, wide
         out, i = [], n
         while i > 0:
             out.append(last[i])
-            i -= len(last[i])
+            i -= width[i]
         return out[::-1]
 
     def segment_ids(self, text: str) -> list[int]:
@@ -172,13 +201,12 @@ class PieceModel:
         if ids is None:
             if len(self._segments) > CACHED:
                 self._segments.clear()
-            ids = []
-            for t in self.segment(text):
-                got = self.ids.get(t)
-                if got is None:
-                    ids.extend(self.byte_ids[b] for b in t.encode("utf-8"))
+            ids, size = [], self.size
+            for code in self.segment(text):
+                if code < size:
+                    ids.append(code)
                 else:
-                    ids.append(got)
+                    ids.extend(self.byte_ids[b] for b in chr(code - size).encode("utf-8"))
             self._segments[text] = ids
         return ids
 
@@ -194,14 +222,33 @@ class PieceModel:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
+        if MARK in text or not self.dummy:
+            return self._encode_marked(text)
+        # Blanks only: the parts between blanks, each led by a mark.
+        known, ids = self._led, []
+        for p in text.split(" "):
+            got = known.get(p)
+            if got is None:
+                if len(known) > CACHED:
+                    known.clear()
+                got = known[p] = self.segment_ids(MARK + p)
+            ids.extend(got)
+        # Lone marks meet only after a blank that follows the start or a blank.
+        if text[0] == " " or "  " in text:
+            return self._merge_blanks(ids)
+        return ids
+
+    def _encode_marked(self, text: str) -> list[int]:
         marked = (MARK if self.dummy else "") + text.replace(" ", MARK)
         parts = marked.split(MARK)
-        known, ids = self._segments, []
+        ids = []
         if parts[0]:
-            ids.extend(known.get(parts[0]) or self.segment_ids(parts[0]))
+            ids.extend(self.segment_ids(parts[0]))
         for p in parts[1:]:
-            s = MARK + p
-            ids.extend(known.get(s) or self.segment_ids(s))
+            ids.extend(self.segment_ids(MARK + p))
+        return self._merge_blanks(ids)
+
+    def _merge_blanks(self, ids: list[int]) -> list[int]:
         mark = self.mark_id
         if mark is None or not self.run_sizes or not self._lone_pairs(ids, mark):
             return ids
@@ -250,12 +297,31 @@ class PieceModel:
 
 def _encode(batches, path: str, keep: list[str]):
     model = of_worker(f"pieces:{path}", lambda: PieceModel(path))
+    table = model._table
+    lengths = np.array([len(b) for b in table], np.int64)
+    starts = np.r_[0, np.cumsum(lengths)[:-1]]
+    pool = np.frombuffer(b"".join(table), np.uint8)
+    dropped = np.array(
+        [model.dummy and p.startswith(MARK) for p in model.pieces], bool
+    )
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        lists = [model.encode(t or "") for t in texts]
+        lists = [model.encode(t or "") for t in batch.column("text").to_pylist()]
         sizes = np.cumsum([0] + [len(x) for x in lists]).astype(np.int32)
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes[-1]))
-        digests = [hashlib.sha256(model.decode_bytes(x)).hexdigest() for x in lists]
+        flat = np.array(list(chain.from_iterable(lists)), np.int32)
+        # Decoded bytes of all rows at once: each id's bytes gathered from a pool.
+        size = lengths[flat]
+        ends = np.cumsum(size)
+        gather = np.repeat(starts[flat] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        raw = pool[gather].tobytes()
+        row_ends = np.r_[0, ends][sizes]
+        digests = []
+        for r in range(len(lists)):
+            a, b = int(row_ends[r]), int(row_ends[r + 1])
+            if b > a and dropped[flat[sizes[r]]] and raw[a : a + 1] == b" ":
+                a += 1
+            # As the library decodes: a broken byte sequence becomes U+FFFD.
+            text = raw[a:b].decode("utf-8", "replace").encode("utf-8")
+            digests.append(hashlib.sha256(text).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(k) for k in keep),
              pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)),
