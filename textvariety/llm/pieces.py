@@ -158,13 +158,13 @@ class PieceModel:
         last = [0] * (n + 1)  # code of the last token of each prefix
         width = [0] * (n + 1)  # its length
         pairs, wholes = self._pairs, self._whole
-        matches = self.automaton.iter(text)
-        pending = next(matches, None)
+        matches = list(self.automaton.iter(text))
+        at, count = 0, len(matches)
         for i in range(1, n + 1):
             found = -1
-            while pending is not None and pending[0] + 1 == i:
+            while at < count and matches[at][0] + 1 == i:
                 if found < 0:
-                    code, length = pending[1]
+                    code, length = matches[at][1]
                     j = i - length
                     if j == 0:
                         ok = wholes.get(code)
@@ -174,7 +174,7 @@ class PieceModel:
                         ok = self.compatible(last[j], code) if ok is None else ok
                     if ok:
                         found, wide = code, length
-                pending = next(matches, None)
+                at += 1
             if found < 0:  # the single character is always a candidate
                 c = text[i - 1]
                 code = codes.get(c)
@@ -201,13 +201,20 @@ class PieceModel:
         if ids is None:
             if len(self._segments) > CACHED:
                 self._segments.clear()
-            ids, size = [], self.size
-            for code in self.segment(text):
-                if code < size:
-                    ids.append(code)
-                else:
-                    ids.extend(self.byte_ids[b] for b in chr(code - size).encode("utf-8"))
-            self._segments[text] = ids
+            ids = self._segments[text] = self._ids_of(text)
+        return ids
+
+    def _ids_of(self, text: str) -> list[int]:
+        """Ids of a segment, characters that are no piece as their bytes."""
+        codes, size = self.segment(text), self.size
+        if max(codes) < size:
+            return codes
+        ids = []
+        for code in codes:
+            if code < size:
+                ids.append(code)
+            else:
+                ids.extend(self.byte_ids[b] for b in chr(code - size).encode("utf-8"))
         return ids
 
     def blanks(self, count: int) -> list[int]:
@@ -231,7 +238,7 @@ class PieceModel:
             if got is None:
                 if len(known) > CACHED:
                     known.clear()
-                got = known[p] = self.segment_ids(MARK + p)
+                got = known[p] = self._ids_of(MARK + p)
             ids.extend(got)
         # Lone marks meet only after a blank that follows the start or a blank.
         if text[0] == " " or "  " in text:
