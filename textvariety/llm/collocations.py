@@ -10,14 +10,18 @@ pieces into words `[^\\x20\\x09]+`. Every count is per language (null: `und`).
    mark them. Each piece's word hashes go to Arrow batches, where numpy forms
    two independent 64-bit keys of every phrase of 2 to 5 such words. A task
    counts keys exactly in bounded memory, writes partial counts whenever its
-   table is full, and these are stored in the shared scratch folder.
+   table is full, and at its end the mass of every bucket it met.
 2. Keys are cut into B hash buckets. A bucket of mass M (all its occurrences)
-   gets a Misra-Gries summary of k = floor(M / threshold) + 1 counters. Partial
-   counts are merged into it and reduced by the (k+1)-th largest counter, which
+   gets a Misra-Gries summary of k = floor(M / threshold) + 1 counters. Rows are
+   shuffled by bucket and sorted within partitions so that a bucket's mass rows
+   come before its counts: k is known before the summary starts, nothing is
+   stored on the way, and one bucket is held at a time. Partial counts are
+   merged into it and reduced by the (k+1)-th largest counter, which
    removes at least (k+1) times what any one key loses, so no key loses more
    than M / (k+1) < threshold: every phrase that occurs `threshold` times keeps
-   a positive counter. Colliding keys only add candidates. B grows with the
-   mass, so a summary holds at most COUNTERS counters plus one batch.
+   a positive counter. Colliding keys only add candidates. B grows with a
+   bound of the mass (every word starts at most four phrases), so a summary
+   holds about COUNTERS counters plus one batch.
 3. The survivors' phrases are counted exactly in a second pass, grouped by
    their text (a task gives one row for each distinct phrase). Their number is
    at most the sum of k, a bound known before; below BROADCAST_KEYS they are
@@ -125,24 +129,35 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def _partial_counts(frequent):
-    """Exact counts of a task's phrase keys, written whenever FLUSH are held."""
+def _partial_counts(frequent, buckets: int):
+    """Exact counts of a task's phrase keys, written whenever FLUSH are held,
+    as (bucket, key, cnt, data); then one row (bucket, null, mass, false) for
+    each bucket the task met, mass being all its occurrences there."""
 
     def run(batches):
         held_keys = np.empty(0, np.int64)
         held_counts = np.empty(0, np.int64)
         pending: list[np.ndarray] = []
         waiting = 0
+        mass = np.zeros(buckets, np.int64)
 
-        def table(keys, counts):
+        def table(keys, counts, data=True):
+            bucket = np.mod(keys, buckets).astype(np.int32) if data else keys.astype(np.int32)
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "cnt"]
+                [
+                    pa.array(bucket, pa.int32()),
+                    pa.array(keys, pa.int64(), mask=np.full(len(keys), not data)),
+                    pa.array(counts, pa.int64()),
+                    pa.array(np.full(len(keys), data), pa.bool_()),
+                ],
+                ["bucket", "key", "cnt", "data"],
             )
 
         for batch in batches:
             values, piece, ok = _runs(batch.column(0), frequent)
             for length in range(SHORTEST, LONGEST + 1):
                 keys = phrase_positions(values, piece, ok, length)[1]
+                mass += np.bincount(np.mod(keys, buckets), minlength=buckets)
                 pending.append(keys)
                 waiting += len(keys)
             if waiting < FLUSH:
@@ -163,6 +178,9 @@ def _partial_counts(frequent):
         )
         if len(keys):
             yield table(keys, counts)
+        met = np.flatnonzero(mass)
+        if len(met):
+            yield table(met.astype(np.int64), mass[met], data=False)
 
     return run
 
@@ -180,29 +198,47 @@ def reduce_summary(keys: np.ndarray, counts: np.ndarray, capacity: int):
     return keys, counts
 
 
-def _summaries(batches):
-    """Survivors of the Misra-Gries summary of every bucket in this partition."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        bucket = batch.column("bucket").to_numpy()
-        key = batch.column("key").to_numpy()
-        cnt = batch.column("cnt").to_numpy()
-        capacity = batch.column("capacity").to_numpy()
-        order = np.argsort(bucket, kind="stable")
-        bucket, key, cnt, capacity = bucket[order], key[order], cnt[order], capacity[order]
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        ends = np.r_[starts[1:], len(bucket)]
-        for s, e in zip(starts, ends):
-            b, k = int(bucket[s]), int(capacity[s])
-            state = held.setdefault(b, [np.empty(0, np.int64), np.empty(0, np.int64), k])
-            state[0] = np.concatenate([state[0], key[s:e]])
-            state[1] = np.concatenate([state[1], cnt[s:e]])
-            if len(state[0]) > 2 * k:
-                state[0], state[1] = reduce_summary(state[0], state[1], k)
-    for b, (keys, counts, k) in held.items():
-        keys, _ = reduce_summary(keys, counts, k)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["key"])
+def _summaries(threshold: int):
+    """Survivors of each bucket's Misra-Gries summary. Rows come sorted by
+    (bucket, data): a bucket's mass rows first, so its capacity
+    floor(mass / threshold) + 1 is known before its counts arrive, and one
+    bucket is held at a time."""
+
+    def run(batches):
+        current, mass, capacity = None, 0, 0
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def done():
+            kept, _ = reduce_summary(keys, counts, capacity)
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["key"])
+
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            key = batch.column("key").fill_null(0).to_numpy()
+            cnt = batch.column("cnt").to_numpy()
+            data = batch.column("data").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (data[1:] != data[:-1])])
+            ends = np.r_[starts[1:], len(bucket)]
+            for s, e in zip(starts, ends):
+                b = int(bucket[s])
+                if b != current:
+                    if current is not None:
+                        yield from done()
+                    current, mass = b, 0
+                    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+                if not data[s]:
+                    mass += int(cnt[s:e].sum())
+                    capacity = mass // threshold + 1
+                    continue
+                keys = np.concatenate([keys, key[s:e]])
+                counts = np.concatenate([counts, cnt[s:e]])
+                if len(keys) > 2 * capacity:
+                    keys, counts = reduce_summary(keys, counts, capacity)
+        if current is not None:
+            yield from done()
+
+    return run
 
 
 def frequent_words(texts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
@@ -223,26 +259,24 @@ def _known(table: DataFrame, column: str, bound: int):
     return table.sparkSession.sparkContext.broadcast(np.sort(values))
 
 
-def frequent_keys(texts, frequent, threshold):
+def frequent_keys(texts, frequent, threshold, words: int):
     """Stored keys that include every phrase key of 2 to LONGEST frequent words
-    occurring `threshold` times, and the bound on their number."""
-    keyed = texts.select(word_hashes(F.col("lang"), F.col("words")).alias("hashes"))
-    partial = store(keyed.mapInArrow(_partial_counts(frequent), "key long, cnt long"))
-    mass = partial.agg(F.sum("cnt")).first()[0] or 0
+    occurring `threshold` times, and the bound on their number.
+
+    `words` (all word occurrences) bounds the mass: a word starts at most
+    LONGEST - 1 phrases. Buckets are as many as keep a summary near COUNTERS.
+    """
     spark = texts.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(width, -(-mass // (threshold * COUNTERS)))
-    bucketed = partial.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
-    sizes = bucketed.groupBy("bucket").agg(
-        (F.floor(F.sum("cnt") / threshold) + 1).cast("long").alias("capacity")
-    )
-    bound = mass // threshold + buckets
-    # `sizes` has at most `buckets` rows, a number fixed above.
-    summed = bucketed.join(F.broadcast(sizes), "bucket").repartition(buckets, "bucket")
-    survivors = store(
-        summed.select("bucket", "key", "cnt", "capacity").mapInArrow(_summaries, "key long")
+    most = words * (LONGEST - SHORTEST + 1)
+    buckets = int(max(width, -(-most // (threshold * COUNTERS))))
+    keyed = texts.select(word_hashes(F.col("lang"), F.col("words")).alias("hashes"))
+    partial = keyed.mapInArrow(
+        _partial_counts(frequent, buckets), "bucket int, key long, cnt long, data boolean"
     )
-    return survivors, bound
+    ordered = partial.repartition(buckets, "bucket").sortWithinPartitions("bucket", "data")
+    survivors = store(ordered.mapInArrow(_summaries(threshold), "key long"))
+    return survivors, most // threshold + buckets
 
 
 def _exact_counts(frequent, survivors):
@@ -303,10 +337,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
     texts = pieces(docs, text, lang)
     threshold = THRESHOLD
     singles, totals = frequent_words(texts, threshold)
-    bound = int(totals.agg(F.sum("n")).first()[0] or 0) // threshold
+    words = int(totals.agg(F.sum("n")).first()[0] or 0)
     known = store(singles.select(F.xxhash64("lang", "phrase").alias("key")))
-    frequent = _known(known, "key", bound)
-    survivors, survivor_bound = frequent_keys(texts, frequent, threshold)
+    frequent = _known(known, "key", words // threshold)
+    survivors, survivor_bound = frequent_keys(texts, frequent, threshold, words)
     phrases = exact_counts(texts, frequent, survivors, survivor_bound)
     counts = store(phrases.filter(F.col("f") >= threshold).unionByName(singles))
     candidates = counts.filter(F.col("length").between(SHORTEST, LONGEST)).select(
