@@ -173,3 +173,68 @@ def _experiment_history(spark, sf_dir):
     runs = log.select(F.col("lang").alias("name"), "ts", F.col("source").alias("script"), "details")
     history = experiments.experiment_history(runs, "mean")
     return history.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm"))
+
+
+# Shards per language the documents are written to, and the damaged one.
+SHARDS_PER_LANG = 8
+
+
+def _list_files(spark, folder: str) -> list[str]:
+    """Parquet files directly in `folder` (one path per shard, not their rows)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(
+        str(s.getPath()) for s in fs.listStatus(path) if s.getPath().getName().endswith(".parquet")
+    )
+
+
+def _damage(spark, path: str) -> None:
+    """A file that looks like Parquet and cannot be read: a short, broken one."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(b"PAR1 no footer follows PAR1"))
+    out.close()
+
+
+@query(
+    "build_corpus",
+    f"""WITH {SQL_CHUNKS}
+    SELECT lang, count(*) AS chunks, sum(length(text))::BIGINT AS chars,
+      (lang = (SELECT min(lang) FROM documents))::INTEGER AS failed
+    FROM chunks WHERE lang IS NOT NULL GROUP BY lang""",
+)
+def _build_corpus(spark, sf_dir):
+    """All documents as shards of their language, one damaged file beside the
+    first language's; the corpus built in one scan with its manifest."""
+    from textvariety.plans.corpus import build_corpus_once
+
+    root = scratch_path(spark, "shards")
+    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isNotNull())
+    # A task writes one file per language, so names differ within a language.
+    docs.select("lang", "source", "text").repartition(
+        SHARDS_PER_LANG * 4, "lang", "source"
+    ).write.partitionBy("lang").parquet(root)
+    langs = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    shards = {lang: _list_files(spark, f"{root}/lang={lang}") for lang in langs}
+    _damage(spark, f"{root}/lang={langs[0]}/damaged.parquet")
+    shards[langs[0]].append(f"{root}/lang={langs[0]}/damaged.parquet")
+    out = scratch_path(spark, "corpus")
+    built = build_corpus_once(spark, shards, out)
+    parts = [
+        spark.read.parquet(f"{out}/{lang}_split").select(
+            F.lit(lang).alias("lang"), F.length("text").alias("n")
+        )
+        for lang in langs
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    failed = spark.createDataFrame(
+        [(lang, len(b.failed)) for lang, b in built.items()], "lang string, failed int"
+    )
+    sums = every.groupBy("lang").agg(
+        F.count("*").alias("chunks"), F.sum("n").cast("long").alias("chars")
+    )
+    return sums.join(failed, "lang").select("lang", "chunks", "chars", "failed")

@@ -174,3 +174,30 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
         scratch.scratch_root(Session())
     Conf.value = "hdfs://shared/tmp"
     assert scratch.scratch_path(Session(), "x").startswith("hdfs://shared/tmp/x-")
+
+
+def test_corpus_in_one_scan_equals_the_plan_and_resumes(spark, tmp_path):
+    from textvariety.plans.corpus import build_corpus_once
+
+    text = "This is sentence number one. And two! And three? Four. Five is here too now."
+    paths = []
+    for i in range(30):
+        paths.append(f"{tmp_path}/pt/pt_{i}.parquet")
+        single_file(spark, Path(paths[-1]), [f"{i}.{j} {text}" for j in range(5)] + [None, ""])
+    Path(paths[0]).write_bytes(b"not parquet")
+    target = 3 * 10 + 2
+    before = build_corpus(spark, {"pt": paths}, f"{tmp_path}/old", target)
+    with pytest.raises(InterruptedError):
+        build_corpus_once(spark, {"pt": paths}, f"{tmp_path}/new", 10**6, stop_after=2)
+    first = Path(f"{tmp_path}/new/_waves/pt/manifest-0/_SUCCESS").stat().st_mtime_ns
+    again = build_corpus_once(spark, {"pt": paths}, f"{tmp_path}/new", 10**6)
+    # Waves committed before the stop are not read again.
+    assert Path(f"{tmp_path}/new/_waves/pt/manifest-0/_SUCCESS").stat().st_mtime_ns == first
+    clean = build_corpus_once(spark, {"pt": paths}, f"{tmp_path}/clean", 10**6)
+    rows = lambda p: sorted(r["text"] for r in spark.read.parquet(p).collect())
+    assert rows(f"{tmp_path}/new/pt_split") == rows(f"{tmp_path}/clean/pt_split")
+    assert again["pt"].rows == clean["pt"].rows == 29 * 10
+    assert again["pt"].failed == clean["pt"].failed == (paths[0],)
+    cut = build_corpus_once(spark, {"pt": paths}, f"{tmp_path}/cut", target)
+    assert cut["pt"].rows == before["pt"].rows == target
+    assert rows(f"{tmp_path}/cut/pt_split") == rows(f"{tmp_path}/old/pt_split")

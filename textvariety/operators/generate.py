@@ -15,6 +15,28 @@ SENTENCES_PER_CHUNK = 4
 MIN_CHUNK_LENGTH = 20
 
 
+def chunk_array(
+    text: str = "text", per_chunk: int = SENTENCES_PER_CHUNK, min_len: int = MIN_CHUNK_LENGTH
+):
+    """(chunk_no, text) of the chunks of a text that are longer than min_len;
+    null for a null text."""
+    sentences = F.split(strip(text), SENTENCE_BREAK)
+
+    def chunked(parts):
+        last = F.floor((F.size(parts) - 1) / F.lit(per_chunk)).cast("int")
+        every = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.struct(
+                i.alias("chunk_no"),
+                strip(F.array_join(F.slice(parts, i * per_chunk + 1, F.lit(per_chunk)), " "))
+                .alias("text"),
+            ),
+        )
+        return F.filter(every, lambda c: F.length(c["text"]) > min_len)
+
+    return F.element_at(F.transform(F.array(sentences), chunked), 1)
+
+
 def sentence_chunks(
     df: DataFrame,
     text: str = "text",
@@ -27,21 +49,11 @@ def sentence_chunks(
     characters or fewer are dropped (their numbers stay unused).
     """
     others = [c for c in df.columns if c != text]
-    sentences = F.split(strip(text), SENTENCE_BREAK)
-    last = F.floor((F.size("__textvariety_sentences") - 1) / F.lit(per_chunk)).cast("int")
-    chunks = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: strip(
-            F.array_join(
-                F.slice("__textvariety_sentences", i * per_chunk + 1, F.lit(per_chunk)), " "
-            )
-        ),
-    )
+    chunks = chunk_array(text, per_chunk, min_len)
     return (
         df.filter(F.col(text).isNotNull())
-        .withColumn("__textvariety_sentences", sentences)
-        .select(*others, F.posexplode(chunks).alias("chunk_no", text))
-        .filter(F.length(text) > min_len)
+        .select(*others, F.inline(chunks))
+        .select(*others, "chunk_no", text)
     )
 
 

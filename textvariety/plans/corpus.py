@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textvariety.functions.hashing import SEED
-from textvariety.operators.generate import sentence_chunks
+from textvariety.operators.generate import chunk_array, sentence_chunks
 from textvariety.operators.sampling import cap_by_plan
 from textvariety.sources.scratch import broadcast_if_small
 from textvariety.sources.sinks import Throughput, write_table
@@ -113,3 +113,112 @@ def build_corpus(
         seen = write_table(kept.select("text"), f"{out.rstrip('/')}/{lang}_split")
         done[lang] = Built(seen.rows, seen.seconds, tuple(failed))
     return done
+
+
+# --- One scan of each shard, committed by a manifest ---
+
+WAVES = "_waves"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _wave(spark: SparkSession, files: Sequence[str], data: str, manifest: str) -> list:
+    """Write the chunks of `files` in one scan, then their manifest; the rows of
+    the manifest: (shard, promised, read, chunks)."""
+    reader = (
+        spark.read.schema("text string")
+        .option("ignoreCorruptFiles", "true")
+        .option("ignoreMissingFiles", "true")
+    )
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    raw = reader.parquet(*files).select(
+        name.alias("shard"), F.col("_metadata.row_index").alias("row_no"), "text"
+    )
+    # A row without chunks leaves one marker row, so rows read are counted later
+    # from the written table instead of from the texts.
+    chunks = raw.select(
+        "shard", "row_no", F.explode_outer(chunk_array("text")).alias("c")
+    ).select("shard", "row_no", "c.chunk_no", "c.text")
+    chunks.write.mode("overwrite").parquet(data)
+    written = spark.read.parquet(data)
+    read = written.groupBy("shard").agg(
+        F.count_distinct("row_no").alias("read"), F.count("chunk_no").alias("chunks")
+    )
+    # Row counts of the files' footers; a file without a readable footer has none.
+    promised = reader.parquet(*files).groupBy(name.alias("shard")).agg(
+        F.count("*").alias("promised")
+    )
+    listed = spark.createDataFrame([(PurePosixPath(f).name,) for f in files], "shard string")
+    rows = listed.join(promised, "shard", "left").join(read, "shard", "left").select(
+        "shard",
+        F.coalesce("promised", F.lit(0)).alias("promised"),
+        F.coalesce("read", F.lit(0)).alias("read"),
+        F.coalesce("chunks", F.lit(0)).alias("chunks"),
+    )
+    rows.coalesce(1).write.mode("overwrite").parquet(manifest)
+    return spark.read.parquet(manifest).collect()
+
+
+def build_corpus_once(
+    spark: SparkSession,
+    shards: Mapping[str, Sequence[str]],
+    out: str,
+    target: int = TARGET_ROWS,
+    seed: int = SEED,
+    stop_after: int | None = None,
+) -> dict[str, Built]:
+    """Write `<out>/<lang>_split` with exactly `target` chunks per language,
+    reading every visited shard once.
+
+    Shards are visited in seeded hash order, in waves of doubling size. A wave
+    writes the chunks of its shards below `<out>/_waves/<lang>` in one scan and
+    then its manifest: rows promised by each file's footer, rows read and
+    chunks. Only shards read to their end count; the others are listed as
+    failed. A wave whose manifest is there is not read again, so a build that
+    stopped goes on where it was (`stop_after` waves stops one on purpose, for
+    tests). Whole shards are kept in visiting order until the target is met;
+    of the one that crosses it, the chunks first in hash order of (row_no,
+    chunk_no), read from the stored wave, not from the shard. The same rows as
+    `build_corpus`.
+    """
+    done = {}
+    for lang, paths in shards.items():
+        ordered = visit_order(paths, seed)
+        root = f"{out.rstrip('/')}/{WAVES}/{lang}"
+        plan: list[tuple[str, str, int, int]] = []
+        failed: list[str] = []
+        waves: list[str] = []
+        room, start, size, k = target, 0, FIRST_WAVE, 0
+        while room > 0 and start < len(ordered):
+            files = ordered[start : start + size]
+            data, manifest = f"{root}/wave-{k}", f"{root}/manifest-{k}"
+            if _exists(spark, f"{manifest}/_SUCCESS"):
+                rows = spark.read.parquet(manifest).collect()
+            else:
+                if stop_after is not None and k >= stop_after:
+                    raise InterruptedError(f"stopped before wave {k}")
+                rows = _wave(spark, files, data, manifest)
+            counts = {r["shard"]: r for r in rows}
+            for path in files:
+                r = counts[PurePosixPath(path).name]
+                if r["promised"] == 0 or r["read"] < r["promised"]:
+                    failed.append(path)
+                elif r["chunks"] > 0 and room > 0:
+                    plan.append((lang, r["shard"], r["chunks"], room))
+                    room -= r["chunks"]
+            waves.append(data)
+            start, size, k = start + size, size * 2, k + 1
+        if not plan:
+            raise ValueError(f"no usable shard for {lang}")
+        schema = "lang string, shard string, rows bigint, room bigint"
+        rooms = broadcast_if_small(spark.createDataFrame(plan, schema))
+        stored = spark.read.parquet(*waves).filter(F.col("chunk_no").isNotNull())
+        chunks = stored.select(F.lit(lang).alias("lang"), "shard", "row_no", "chunk_no", "text")
+        kept = cap_by_plan(chunks, rooms, ["row_no", "chunk_no"], seed=seed)
+        seen = write_table(kept.select("text"), f"{out.rstrip('/')}/{lang}_split")
+        done[lang] = Built(seen.rows, seen.seconds, tuple(failed))
+    return done
