@@ -19,7 +19,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     None, "", " ", "  ", "\n", " a", "a ", "a  b", "a \n b", "x\ty  z", "don't I'll 'S",
-    "é😀 ½²x٣", "<|endoftext|> hi", "a" * 5000, "ab" * 3000 + " " + "1" * 3000,
+    "é😀 ½²x٣", "<|endoftext|> hi", "a<|endoftext|>b", "x <|endoftext|> y",
+    "<|endoftext|><|endoftext|>", "a  <|endoftext|>\n b", "a" * 5000, "ab" * 3000 + " " + "1" * 3000,
     " a   b\x1c c\x85d \x1f e", "é 日本語 テスト  한국어", "a\r\n\r\n  b", "same text", "same text",
     "a b " * 150_000,
 ]
@@ -66,7 +67,7 @@ def test_merges_that_make_way_for_lower_ones():
 
 def check_files(frame, path):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
+
     token_files.write_tokens(frame, TOKENIZER, path)
     got = token_files.token_report(token_files.read_tokens(frame.sparkSession, path)).collect()
     rows = sorted(frame.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -127,7 +128,7 @@ def test_crc32_combine():
 
 def test_a_cache_that_forgets_gives_the_same_ids():
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
+
     cache = Cache(token_files._chunk_encoder(TOKENIZER), most=5)
     texts = [t or "" for t in ODD[:-1]] + ["word. word, word! Word's wörd. x.y. 1. a.. ɒ."] * 2
     for _ in range(3):

@@ -175,7 +175,6 @@ def _chunk_encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     opens = np.zeros(tokenizer.get_vocab_size() + 1, bool)
     for token, i in tokenizer.get_vocab().items():
         opens[i] = token.startswith("\u0120")
@@ -195,6 +194,8 @@ def _chunk_encoder(path: str):
 
     def encode(chunks: list[str]) -> list[bytes]:
         plain = [c[:1] == " " and " " not in c[1:] and not loose(c[1:]) for c in chunks]
+        # An added token's string in a chunk: that chunk goes alone.
+        plain = [p and not any(s in c for s in added) for p, c in zip(plain, chunks)]
         out: dict[int, bytes] = {}
         for want, size, how in ((True, 8192, together), (False, 1024, one_by_one)):
             at = [i for i, p in enumerate(plain) if p == want]
@@ -203,13 +204,17 @@ def _chunk_encoder(path: str):
                 out.update(zip(part, how([chunks[k] for k in part])))
         return [out[i] for i in range(len(chunks))]
 
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    encode.added = added
+    encode.whole = lambda text: one_by_one([text])[0]
     return encode
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows of _BLOCKS from texts in order; a document may go on in further blocks."""
 
-    cache = of_worker(f"tokenizer {path}", lambda: Cache(_chunk_encoder(path), KEPT_CHUNKS))
+    chunks = of_worker(f"chunks {path}", lambda: _chunk_encoder(path))
+    cache = of_worker(f"tokenizer {path}", lambda: Cache(chunks, KEPT_CHUNKS))
     part, block, before, doc = TaskContext.get().partitionId(), 0, 0, 0
     end = np.array([end_id], "<u4").tobytes()
     pieces: list[tuple[int, int | None, bytes]] = []
@@ -229,9 +234,21 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
         names = ["part", "block", "before", "n", "doc_no", "doc_id", "sizes", "ids"]
         return pa.RecordBatch.from_arrays(columns, names)
 
+    def encoded(texts: list[str]) -> Iterator[bytes]:
+        """Texts that hold an added token's string are encoded whole, as the
+        library cuts them there first; the rest chunk by chunk."""
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in chunks.added)]
+        if not odd:
+            yield from cache.encode(texts)
+            return
+        alone = set(odd)
+        rest = iter(cache.encode([t for i, t in enumerate(texts) if i not in alone]))
+        for i, t in enumerate(texts):
+            yield chunks.whole(t) if i in alone else next(rest)
+
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
-        for doc_id, coded in zip(ids, cache.encode(batch.column("text").to_pylist())):
+        for doc_id, coded in zip(ids, encoded(batch.column("text").to_pylist())):
             coded += end
             for i in range(0, len(coded), 4 * BLOCK_IDS):
                 piece = coded[i : i + 4 * BLOCK_IDS]
