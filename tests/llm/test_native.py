@@ -114,6 +114,18 @@ def test_chats(spark, rows):
             assert r["text"][r["loss_end"]:] == chat.END
 
 
+def test_chat_digests_read_the_loss_mask(spark):
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", "fine, and you?"),
+            (1, 2, "user", "ok"), (1, 3, "assistant", CONTROL)]
+    made = chat.format_examples(spark.createDataFrame(rows, CHATS))
+    right = chat.read_back(made).first()
+    for shift in (-1, 1):
+        moved = made.withColumn("context_chars", F.col("context_chars") + shift)
+        wrong = chat.read_back(moved).first()
+        assert wrong["loss_sha256"] != right["loss_sha256"]
+        assert wrong["turns_sha256"] == right["turns_sha256"]
+
+
 def test_chats_of_the_table(spark):
     rows = spark.read.parquet(f"{SF_DIR}/conversations.parquet")
     rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in rows.collect()]
