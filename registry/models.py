@@ -119,7 +119,8 @@ def _score_stream(spark, sf_dir):
     model = train_log_odds(classed(spark, sf_dir))
     docs = table(spark, sf_dir, "documents")
     out = scratch_path(spark, "stream")
-    arriving = read_stream(spark, sf_dir, docs.schema, files="documents.parquet")
+    # A pattern, as a stream's path may not be a file but a table may be one.
+    arriving = read_stream(spark, f"{sf_dir}/documents.parque[t]", docs.schema)
     run = score_stream(arriving, model, f"{out}/rows", f"{out}/checkpoint", "doc_id")
     run.awaitTermination()
     return read_scored(spark, f"{out}/rows").select("doc_id", "lang", "score")

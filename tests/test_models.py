@@ -190,6 +190,15 @@ def test_stream_equals_batch(spark, docs, model, monkeypatch, broadcast):
     assert got == scores_of(score_positive(docs, model, "doc_id").filter("score >= 0.7"))
 
 
+def test_stream_query_reads_tables_of_several_files(spark, docs, tmp_path):
+    from registry import QUERIES
+
+    table = docs.drop("label")
+    table.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    small = scores_of(QUERIES["score_stream"](spark, DOCS.rsplit("/", 1)[0]))
+    assert small and scores_of(QUERIES["score_stream"](spark, f"{tmp_path}/many")) == small
+
+
 def test_train_and_evaluate_logs_a_run(spark, docs):
     root = scratch_path(spark, "work")
     bench = {"all": docs.select("doc_id", "text", "label")}
