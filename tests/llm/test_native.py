@@ -126,6 +126,29 @@ def test_chat_digests_read_the_loss_mask(spark):
         assert wrong["turns_sha256"] == right["turns_sha256"]
 
 
+def test_chat_examples_carry_their_context(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(6)]
+    made = chat.format_examples(spark.createDataFrame(rows, CHATS)).collect()
+    whole = next(r["formatted"] for r in made if r["example"] == 0)
+    examples = sorted((r for r in made if r["example"] > 0), key=lambda r: r["example"])
+    assert [r["reply"] for r in examples] == ["turn 1", "turn 3", "turn 5"]
+    for r in examples:
+        size = r["context_chars"]
+        assert r["formatted"] == whole[:size] + r["reply"] + chat.END
+        assert whole.startswith(r["formatted"])
+
+
+def test_chat_digests_read_the_expanded_texts(spark):
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", "fine, and you?")]
+    made = chat.format_examples(spark.createDataFrame(rows, CHATS))
+    broken = made.withColumn(
+        "formatted", F.when(F.col("example") > 0, F.upper("formatted")).otherwise(F.col("formatted"))
+    )
+    right, wrong = chat.read_back(made).first(), chat.read_back(broken).first()
+    assert wrong["loss_sha256"] != right["loss_sha256"]
+    assert wrong["turns_sha256"] == right["turns_sha256"]
+
+
 def test_chats_of_the_table(spark):
     rows = spark.read.parquet(f"{SF_DIR}/conversations.parquet")
     rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in rows.collect()]

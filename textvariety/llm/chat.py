@@ -1,11 +1,11 @@
 """Chat formatting: every assistant turn becomes a training example.
 
-An example's context is all that precedes its reply, and only the reply is
-trained on. As the template only ever appends, each context is a prefix of the
-formatted conversation: the conversation is written once, and an example names
-the length of its prefix and holds its reply. So the output grows with the
-input, also for one conversation of very many turns; `materialise` joins the two
-for a trainer that wants whole texts.
+An example's text is its context, all that precedes its reply, then the reply
+and the end mark; only the reply is trained on. As the template only ever
+appends, each context is a prefix of the formatted conversation. So a
+conversation of n turns gives examples of about n²/2 turns in all: they are cut
+from the formatted text one by one, as they are read, and never lie side by side
+in one row.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ def format_examples(conversations: DataFrame) -> DataFrame:
     """(conv_id, example, formatted, context_chars, reply).
 
     Row 0 of a conversation holds its formatted text; rows 1, 2, … are its
-    assistant turns: the model reads left(formatted, context_chars) followed by
-    `reply` (escaped, with the end mark outside of the loss). Turns go by
+    assistant turns, expanded: `formatted` is the context of `context_chars`
+    characters, `reply` (escaped) and the end mark, outside of the loss. Turns go by
     `turn`, nulls first, ties by role and text; null roles and texts are empty.
     Rows with a null conv_id make up one conversation. A repeated row is a
     further turn. The texts of one conversation meet in one row, as its digest
@@ -83,7 +83,6 @@ def format_examples(conversations: DataFrame) -> DataFrame:
         replies = F.transform(
             s["ps"],
             lambda p, i: F.struct(
-                F.lit(None).cast("string").alias("formatted"),
                 F.when(
                     p["trained"],
                     F.get(s["ends"], i) - F.length(p["body"]) - len(END),
@@ -92,32 +91,34 @@ def format_examples(conversations: DataFrame) -> DataFrame:
             ),
         )
         conversation = F.struct(
-            whole.alias("formatted"),
             F.lit(None).cast("bigint").alias("context_chars"),
             F.lit(None).cast("string").alias("reply"),
         )
         kept = F.filter(replies, lambda r: r["context_chars"].isNotNull())
-        return F.concat(F.array(conversation), kept)
-
-    return grouped.select(
-        "conv_id", F.posexplode(let(F.col("__turns"), pieces)).alias("example", "__row")
-    ).select("conv_id", "example", "__row.*")
+        rows = F.concat(F.array(conversation), kept)
+        return F.struct(whole.alias("whole"), rows.alias("rows"))
+
+    # Two steps, so that an example's text is made when its row is.
+    made = grouped.select("conv_id", F.explode(F.array(let(F.col("__turns"), pieces))).alias("__m"))
+    rows = made.select(
+        "conv_id", F.col("__m.whole").alias("__whole"),
+        F.posexplode("__m.rows").alias("example", "__row"),
+    )
+    context = F.substring("__whole", F.lit(1), F.col("__row.context_chars").cast("int"))
+    expanded = F.concat(context, F.col("__row.reply"), F.lit(END))
+    return rows.select(
+        "conv_id", "example",
+        F.when(F.col("example") == 0, F.col("__whole")).otherwise(expanded).alias("formatted"),
+        "__row.*",
+    )
 
 
 def materialise(examples: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_end): whole texts.
-
-    Every context is written out, so a conversation of n turns takes n² room.
-    """
-    wholes = examples.filter("example = 0").select("conv_id", "formatted")
-    replies = examples.filter("example > 0").drop("formatted")
-    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))
-    joined = replies.alias("a").join(wholes.alias("b"), same)
-    context = F.substring(F.col("b.formatted"), F.lit(1), F.col("context_chars").cast("int"))
-    return joined.select(
-        "a.conv_id",
+    """(conv_id, example, text, loss_start, loss_end) of the expanded examples."""
+    return examples.filter("example > 0").select(
+        "conv_id",
         "example",
-        F.concat(context, "reply", F.lit(END)).alias("text"),
+        F.col("formatted").alias("text"),
         F.col("context_chars").alias("loss_start"),
         (F.col("context_chars") + F.length("reply")).alias("loss_end"),
     )
@@ -142,21 +143,22 @@ def read_turns(formatted: Column) -> Column:
 def read_back(examples: DataFrame) -> DataFrame:
     """What the output of `format_examples` says about each conversation.
 
-    The trained text is read from the formatted conversation where each
-    example's loss mask lies, [context_chars, context_chars + length(reply)),
-    not from the reply column, so a wrong mask shows in the digest. The rows of
-    a conversation are still together, so this adds no shuffle.
+    The trained text is read from each example's own text where its loss mask
+    lies, [context_chars, context_chars + length(reply)), not from the reply
+    column, so a wrong context or mask shows in the digest. The rows of a
+    conversation are still together, so this adds no shuffle.
     """
-    masks = F.array_sort(
-        F.collect_list(
-            F.when(
-                F.col("example") > 0,
-                F.struct("example", "context_chars", F.length("reply").alias("size")),
-            )
-        )
+    whole = F.col("example") == 0
+    under = F.substr("formatted", (F.col("context_chars") + 1).cast("int"), F.length("reply"))
+    # One row a conversation; of the expanded texts only what the masks cover is kept.
+    masked = examples.select(
+        "conv_id",
+        F.when(whole, F.col("formatted")).alias("__formatted"),
+        F.when(~whole, F.struct("example", unescape(under).alias("text"))).alias("__loss"),
     )
-    rows = examples.groupBy("conv_id").agg(
-        F.max("formatted").alias("__formatted"), masks.alias("__masks")
+    rows = masked.groupBy("conv_id").agg(
+        F.max("__formatted").alias("__formatted"),
+        F.array_sort(F.collect_list("__loss")).alias("__losses"),
     )
     told = F.array_join(
         F.transform(
@@ -164,17 +166,11 @@ def read_back(examples: DataFrame) -> DataFrame:
         ),
         "",
     )
-    under = F.transform(
-        "__masks",
-        lambda m: unescape(
-            F.substr(F.col("__formatted"), (m["context_chars"] + 1).cast("int"), m["size"])
-        ),
-    )
     parsed = rows.select(
         "conv_id",
         F.length("__formatted").cast("bigint").alias("formatted_chars"),
         read_turns(F.col("__formatted")).alias("__turns"),
-        F.array_join(under, "").alias("__loss"),
+        F.array_join(F.transform("__losses", lambda m: m["text"]), "").alias("__loss"),
     )
     return parsed.select(
         "conv_id",
