@@ -23,7 +23,7 @@ from textvariety.functions.features import (
     word_ngrams,
 )
 from textvariety.functions.text import NEGATIVE_TAG, POSITIVE_TAG, known_label
-from textvariety.operators.feature_join import feature_join
+from textvariety.operators.feature_blocks import feature_sums
 from textvariety.sources.scratch import store, scratch_root
 
 SCORE_DIGITS = 6
@@ -196,21 +196,15 @@ def score_by_join(
 ) -> DataFrame:
     """(key, score) through a join of features and weights of any size.
 
-    `key` must tell rows apart and hold no null. Texts are placed by document,
-    so the counts of a document are taken in place, once; they also tell which
-    features are common, see feature_join.
+    `key` must tell rows apart and hold no null. Texts meet the weights of their
+    features block by block, see feature_blocks.
     """
-    counts = store(
-        df.select(key, F.col(text).alias("text"))
-        .repartition(key)
-        .select(key, F.explode(model.config.features("text")).alias("feature"))
-        .groupBy(key, "feature")
-        .agg(F.count("*").alias("n"))
+    table = model.weights.select(
+        "feature", F.lit(None).cast("array<int>").alias("at"), F.array("weight").alias("value")
     )
-    weights = model.weights.select("feature", "weight")
-    known = feature_join(counts, weights, counts.select("feature"), "feature")
-    sums = known.groupBy(key).agg(
-        (F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("_mean")
+    met = feature_sums(df, table, model.config.features, 1, key, text)
+    sums = met.groupBy(key).agg(
+        (F.sum(F.get("sums", F.lit(0))) / F.sum("n")).alias("_mean")
     )
     every_key = df.select(key).join(sums, key, "left")
     return every_key.select(key, _logistic(F.col("_mean"), model.prior).alias(score))
