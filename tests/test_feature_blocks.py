@@ -39,3 +39,9 @@ def test_a_block_is_sent_each_feature_once(spark):
     table = spark.createDataFrame([("a", 1.0), ("c", 2.0)], "feature string, value double")
     met = fb.in_blocks(docs, 2, tokens, table)
     assert met.filter("side = 0").count() == 2 and met.filter("side = 1").count() == 100
+
+
+def test_models_of_many_megabytes_are_not_broadcast(spark):
+    name = F.concat(F.lit("a feature of some length "), F.col("id").cast("string"))
+    weights = spark.range(1_000_000).select(name.alias("feature"), F.lit(1.0).alias("weight"))
+    assert broadcast_scorer(LogOddsModel(weights, F.lit(0.0), FeatureConfig())) is None

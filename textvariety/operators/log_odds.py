@@ -27,9 +27,12 @@ from textvariety.operators.feature_blocks import feature_sums
 from textvariety.sources.scratch import store, scratch_root
 
 SCORE_DIGITS = 6
-# Weights up to this many features and bytes are sent to every executor.
+# Weights up to this many features and bytes are sent to every executor. Each of
+# its Python workers holds them and a table to look them up, some ten times as much.
 BROADCAST_FEATURES = 2_000_000
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 32 << 20
+# Rows of a batch whose occurrences are summed at a time.
+SUMMED_ROWS = 256
 # Names no input column may have.
 _ROW, _LISTED = "__textvariety_row", "__textvariety_features"
 
@@ -260,11 +263,17 @@ def _mean_weight_function(shared, split: bool):
             # Unknown features point at the extra zero weight.
             index = found.fill_null(len(names)).to_numpy(zero_copy_only=False)
             sizes = pc.fill_null(pc.list_value_length(features), 0).to_numpy()
-            rows = np.repeat(np.arange(len(sizes)), sizes)
-            sums = np.bincount(rows, weights=weights[index], minlength=len(sizes))
-            counts = np.bincount(rows, weights=known, minlength=len(sizes))
-            mean = sums / np.maximum(counts, 1)
-            yield pa.array(mean, mask=counts == 0)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            means, counts = np.zeros(len(sizes)), np.zeros(len(sizes))
+            for i in range(0, len(sizes), SUMMED_ROWS):
+                here = slice(i, i + SUMMED_ROWS)
+                n = len(sizes[here])
+                part = slice(ends[i], ends[i + n])
+                rows = np.repeat(np.arange(n), sizes[here])
+                sums = np.bincount(rows, weights=weights[index[part]], minlength=n)
+                counts[here] = np.bincount(rows, weights=known[part], minlength=n)
+                means[here] = sums / np.maximum(counts[here], 1)
+            yield pa.array(means, mask=counts == 0)
 
     return mean_weight
 
