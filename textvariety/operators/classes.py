@@ -12,7 +12,8 @@ features in the vocabulary (features seen `min_count` times in all):
 
 Only pairs seen in training are stored, as delta = weight - default_c: the
 mean of weights is default_c plus the mean of deltas, so a text's vector is one
-sparse product of its feature counts with that table. A mean, as in the
+sparse product of its feature counts with that table; it is taken block by
+block of texts, see feature_blocks. A mean, as in the
 two-class model, keeps long texts from saturating.
 
 Defined results: rows with a null label are not learned from; a null or empty
@@ -27,15 +28,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textvariety.operators.feature_join import feature_join
+from textvariety.operators.feature_blocks import feature_sums
 from textvariety.operators.log_odds import FeatureConfig, free_of
 from textvariety.sources.scratch import store
 
 SCORE_DIGITS = 6
 # Classes travel inside every row's plan as one literal array up to this many.
 MAX_CLASSES = 10_000
-# Weights up to this many bytes are broadcast; larger tables are joined.
-BROADCAST_BYTES = 128 << 20
 _KEY = "__textvariety_key"
 
 
@@ -110,29 +109,33 @@ def score_vectors(df: DataFrame, model: ClassModel, key: str, text: str = "text"
     best first. `key` must tell rows apart."""
     free_of(df, _KEY)
     rows = df.select(F.col(key).alias(_KEY), F.col(text).alias("text"))
-    counts = store(
-        rows.select(_KEY, F.explode(model.config.features("text")).alias("feature"))
-        .groupBy(_KEY, "feature")
-        .agg(F.count("*").alias("n"))
+    names = model.classes.select("label").orderBy("label").collect()
+    labels = F.array(*(F.lit(r["label"]) for r in names))
+    # At most MAX_CLASSES rows, checked in training.
+    places = F.broadcast(
+        model.classes.select(
+            "label", (F.array_position(labels, F.col("label")) - 1).cast("int").alias("place")
+        )
+    )
+    table = (
+        model.weights.join(places, "label")
+        .groupBy("feature")
+        .agg(F.collect_list(F.struct("place", "delta")).alias("e"))
+        .select("feature", F.col("e.place").alias("at"), F.col("e.delta").alias("value"))
+    )
+    met = feature_sums(rows, table, model.config.features, len(names), _KEY)
+    zeros = F.array_repeat(F.lit(0.0), len(names))
+    added = F.aggregate(
+        F.collect_list("sums"), zeros, lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     )
-    vocabulary = model.weights.select("feature").distinct()
-    known = counts.join(vocabulary, "feature", "left_semi")
-    sizes = known.groupBy(_KEY).agg(F.sum("n").alias("known"))
-    table = model.weights.select("feature", "label", "delta")
-    taken = table.agg(F.sum(F.octet_length("feature") + 24)).first()[0] or 0
-    if taken <= BROADCAST_BYTES:
-        product = known.join(F.broadcast(table), "feature")
-    else:
-        product = feature_join(store(known), table, known.select("feature"), "feature")
-    sums = product.groupBy(_KEY, "label").agg(F.sum(F.col("n") * F.col("delta")).alias("s"))
-    by_row = sums.groupBy(_KEY).agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("m"))
-    every = rows.select(_KEY).join(sizes, _KEY, "left").join(by_row, _KEY, "left")
+    by_row = met.groupBy(_KEY).agg(F.sum("n").alias("known"), added.alias("sums"))
+    every = rows.select(_KEY).join(by_row, _KEY, "left")
     classes = _class_array(model)
 
-    def score(c: Column) -> Column:
-        extra = F.coalesce(F.try_element_at(F.col("m"), c["label"]), F.lit(0.0))
-        mean = F.when(F.col("known") > 0, c["base"] + extra / F.col("known")).otherwise(c["prior"])
-        return F.struct(c["label"].alias("label"), mean.alias("s"))
+    def score(c: Column, i: Column) -> Column:
+        mean = c["base"] + F.get("sums", i) / F.col("known")
+        s = F.when(F.col("known") > 0, mean).otherwise(c["prior"])
+        return F.struct(c["label"].alias("label"), s.alias("s"))
 
     raw = F.transform(classes, score)
     top = F.array_max(F.transform(raw, lambda x: x["s"]))

@@ -24,6 +24,8 @@ from textvariety.sources.scratch import store
 # Bytes of text in a block; smaller corpora are spread over the cluster's tasks,
 # in blocks of no less than LEAST_BYTES.
 BLOCK_BYTES, LEAST_BYTES = 32 << 20, 2 << 20
+# Numbers of a batch of sums.
+SUMS_AT_ONCE = 1 << 20
 
 
 def block_count(df: DataFrame, text: str) -> int:
@@ -152,7 +154,7 @@ def _sums(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBat
         sizes = pc.fill_null(pc.list_value_length(features), 0).to_numpy(zero_copy_only=False)
         found = pc.fill_null(pc.index_in(features.flatten(), value_set=part.names), -1).to_numpy()
         ends = np.cumsum(sizes)
-        some, counts, sums = [], [], []
+        keys, some, counts, sums = rows.column("key"), [], [], []
         for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
             which = found[end - size : end]
             which = which[which >= 0]
@@ -160,11 +162,18 @@ def _sums(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBat
                 some.append(i)
                 counts.append(len(which))
                 sums.append(part.total(which))
-        yield pa.RecordBatch.from_arrays(
-            [
-                rows.column("key").take(pa.array(some, pa.int64())),
-                pa.array(counts, pa.int64()),
-                pa.array(sums, pa.list_(pa.float64())),
-            ],
-            ["key", "n", "sums"],
-        )
+            if len(sums) * dims >= SUMS_AT_ONCE:
+                yield _summed(keys, some, counts, sums)
+                some, counts, sums = [], [], []
+        yield _summed(keys, some, counts, sums)
+
+
+def _summed(keys: pa.Array, some: list, counts: list, sums: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            keys.take(pa.array(some, pa.int64())),
+            pa.array(counts, pa.int64()),
+            pa.array(sums, pa.list_(pa.float64())),
+        ],
+        ["key", "n", "sums"],
+    )
