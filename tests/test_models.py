@@ -254,6 +254,29 @@ def test_word_vectors(spark, docs):
     assert got.select(F.size("vector")).distinct().first()[0] == 8
 
 
+@pytest.mark.parametrize("epochs", [1, 8])
+def test_word_vectors_are_trained_in_blocks(spark, epochs):
+    """No table of vectors passes the driver: they come out of the blocks' tasks."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(1500):
+        topic = "ab"[i % 2]
+        rows.append((" ".join(f"{topic}{j}" for j in rng.integers(0, 20, 30)) + f" once{i}",))
+    rows += [(None,), ("",)]
+    df = spark.createDataFrame(rows, "text string").repartition(4)
+    got = vectors.train_word_vectors(df, dim=12, partitions=3, epochs=epochs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "LocalTableScan" not in plan
+    found = {r["word"]: np.array(r["vector"]) for r in got.collect()}
+    assert sorted(found) == sorted(f"{t}{j}" for t in "ab" for j in range(20))
+    assert all(v.shape == (12,) and np.isfinite(v).all() for v in found.values())
+    if epochs == 8:
+        unit = {w: v / np.linalg.norm(v) for w, v in found.items()}
+        own = np.mean([unit["a1"] @ unit[f"a{j}"] for j in range(2, 20)])
+        other = np.mean([unit["a1"] @ unit[f"b{j}"] for j in range(2, 20)])
+        assert own > other + 0.3
+
+
 def test_doc_vectors(spark):
     df = spark.createDataFrame([(1, "a a b q"), (2, "q"), (3, "b")], "i int, text string")
     given = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "word string, vector array<float>")

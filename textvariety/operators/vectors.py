@@ -8,8 +8,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -21,6 +19,7 @@ from pyspark.sql.types import (
 )
 
 from textvariety.functions.features import tokens
+from textvariety.operators import skip_gram
 from textvariety.operators.feature_join import feature_join
 from textvariety.sources.scratch import store
 
@@ -42,26 +41,11 @@ def train_word_vectors(
 ) -> DataFrame:
     """Skip-gram vectors: (word, vector array<float>).
 
-    `partitions` defaults to the tasks the cluster runs at once. The trainer
-    keeps two numbers for each word and dimension on the driver, so the
-    vocabulary must fit there: raise `min_count` for very large corpora.
+    `partitions` is the number of blocks the texts are trained in; by default it
+    grows with their size, so that neither the driver nor a task holds more
+    vectors when the vocabulary grows. See operators/skip_gram.py.
     """
-    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
-    words = df.select(tokens(text).alias("words"))
-    trainer = Word2Vec(
-        vectorSize=dim,
-        minCount=min_count,
-        windowSize=window,
-        maxIter=epochs,
-        numPartitions=partitions,
-        seed=seed,
-        inputCol="words",
-        outputCol="vector",
-    )
-    vectors = trainer.fit(words).getVectors()
-    return vectors.select(
-        "word", vector_to_array("vector", "float32").alias("vector")
-    )
+    return skip_gram.train(df, text, dim, min_count, window, epochs, partitions, seed)
 
 
 def doc_vectors(
