@@ -300,6 +300,22 @@ def test_doc_vectors_by_join_agree(spark, docs, monkeypatch):
     assert means() == in_place and len(in_place) == 200
 
 
+def test_doc_vectors_in_blocks_keep_repeated_keys_and_words(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame(
+        [(1, "a a b q"), (1, "b"), (2, "q"), (None, "c b"), (3, None)], "i int, text string"
+    )
+    given = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", [0.0, 3.0]), ("c", [1.0, 1.0]), ("c", [3.0, 1.0])],
+        "word string, vector array<float>",
+    )
+    made = vectors.doc_vectors(df, given, "i")
+    # The vectors meet the texts in tasks, not in a row for each word of a text.
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: (r["n"], *(round(x, 6) for x in r["vector"])) for r in made.collect()}
+    assert got == {1: (4, 0.5, 1.5), None: (3, 1.333333, 1.666667)}
+
+
 def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     points = rng.normal(size=(300, 8))

@@ -89,14 +89,18 @@ def feature_sums(
     occurrences its text has, and the sum of their values in `dims` dimensions.
 
     The table is (feature, at, value): `value` holds the numbers of the
-    dimensions `at`, of all of them in order where `at` is null. One row per
-    feature.
+    dimensions `at`, of all of them in order where `at` is null. A feature with
+    several rows counts once for each. Rows travel with their numbers as bytes.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     parts = block_count(rows, "text")
     block = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
     docs = store(rows.withColumn("block", block).repartition(parts, "block"))
-    met = in_blocks(docs, parts, features, table.select("feature", "at", "value"))
+    wide = table.schema["value"].dataType.elementType == DoubleType()
+    packed = table.select("feature", F.col("at").cast("array<int>"), "value").mapInArrow(
+        _packed, "feature string, at binary, value binary"
+    )
+    met = in_blocks(docs, parts, features, packed)
     sorted_ = met.sortWithinPartitions("block", "side")
     listed = F.when(F.col("side") == 1, features("text")).alias("features")
     fed = sorted_.select("block", "side", "key", listed, "feature", "at", "value")
@@ -107,25 +111,58 @@ def feature_sums(
             StructField("sums", ArrayType(DoubleType())),
         ]
     )
-    return fed.mapInArrow(partial(_sums, dims=dims), schema).withColumnRenamed("key", key)
+    return fed.mapInArrow(partial(_sums, dims=dims, kind="<f8" if wide else "<f4"), schema).withColumnRenamed("key", key)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("feature"), _bytes(batch.column("at")), _bytes(batch.column("value"))],
+            ["feature", "at", "value"],
+        )
+
+
+def _bytes(lists: pa.ListArray) -> pa.Array:
+    """The numbers of each list as bytes; null lists stay null."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    raw, width = flat.tobytes(), flat.itemsize
+    starts = [0, *(ends[:-1] * width).tolist()]
+    cut = [raw[s:e] for s, e in zip(starts, (ends * width).tolist())]
+    return pa.array(cut, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False))
 
 
 class _Part:
     """A block's rows of the table."""
 
-    def __init__(self, held: list[pa.RecordBatch], dims: int):
+    def __init__(self, held: list[pa.RecordBatch], dims: int, kind: str):
         rows = pa.Table.from_batches(held).combine_chunks()
         self.dims = dims
-        self.names = rows.column("feature").combine_chunks()
-        values, at = rows.column("value").combine_chunks(), rows.column("at").combine_chunks()
-        self.values = values.flatten().to_numpy(zero_copy_only=False)
-        sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+        told = rows.column("feature").combine_chunks().dictionary_encode()
+        self.names = told.dictionary
+        # Rows of a feature that has several; most often none has.
+        self.rows = None
+        if len(self.names) < len(rows):
+            codes = told.indices.to_numpy()
+            self.rows, self.sizes = np.argsort(codes, kind="stable"), np.bincount(codes)
+            self.firsts = np.cumsum(self.sizes) - self.sizes
+        values, at = rows.column("value"), rows.column("at")
+        self.values = np.frombuffer(b"".join(values.to_pylist()), kind)
+        sizes = pc.binary_length(values).to_numpy() // self.values.itemsize
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.dense = at.null_count == len(at)
-        self.at = None if self.dense else at.flatten().to_numpy(zero_copy_only=False)
+        self.at = None if self.dense else np.frombuffer(b"".join(at.to_pylist()), "<i4")
         if self.dense:
             self.values = self.values.reshape(len(rows), dims)
 
+    def rows_of(self, names: np.ndarray) -> np.ndarray:
+        """The rows of these features, all of those that have several."""
+        if self.rows is None:
+            return names
+        sizes = self.sizes[names]
+        at = np.repeat(self.firsts[names] - (np.cumsum(sizes) - sizes), sizes)
+        return self.rows[at + np.arange(len(at))]
+
     def total(self, which: np.ndarray) -> np.ndarray:
         """Sum of the values of these rows, repeats counted."""
         rows, counts = np.unique(which, return_counts=True)
@@ -138,7 +175,7 @@ class _Part:
         return np.bincount(self.at[at], weights=weights, minlength=self.dims)
 
 
-def _sums(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch], dims: int, kind: str) -> Iterator[pa.RecordBatch]:
     block, held, part = None, [], None
     for place, side, rows in runs_of_blocks(batches):
         if place != block:
@@ -149,7 +186,7 @@ def _sums(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBat
         if part is None:
             if not held:  # no text of the block has a known feature
                 continue
-            part, held = _Part(held, dims), []
+            part, held = _Part(held, dims, kind), []
         features = rows.column("features")
         sizes = pc.fill_null(pc.list_value_length(features), 0).to_numpy(zero_copy_only=False)
         found = pc.fill_null(pc.index_in(features.flatten(), value_set=part.names), -1).to_numpy()
@@ -157,7 +194,7 @@ def _sums(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBat
         keys, some, counts, sums = rows.column("key"), [], [], []
         for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
             which = found[end - size : end]
-            which = which[which >= 0]
+            which = part.rows_of(which[which >= 0])
             if len(which):
                 some.append(i)
                 counts.append(len(which))

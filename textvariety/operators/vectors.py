@@ -20,8 +20,7 @@ from pyspark.sql.types import (
 
 from textvariety.functions.features import tokens
 from textvariety.operators import skip_gram
-from textvariety.operators.feature_join import feature_join
-from textvariety.sources.scratch import store
+from textvariety.operators.feature_blocks import feature_sums
 
 # Vectors of a block, and queries multiplied with it at a time.
 BLOCK_VECTORS, QUERY_SLICE = 8_192, 256
@@ -55,28 +54,26 @@ def doc_vectors(
 
     `vectors` is read more than once: pass a stored table. Vectors of at most
     BROADCAST_BYTES travel to the texts, which are then averaged where they lie.
-    More of them are joined word by word: texts are placed by document and their
-    words counted there, once. Texts without a known word have no row.
+    More of them meet the texts block by block, each block being sent the
+    vectors of its own words. Texts without a known word have no row.
     """
     given = vectors.select("word", "vector")
     size = F.octet_length("word") + 8 * F.size("vector") + 32
     if (given.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
         return _means_in_place(df, given, key, text)
-    counts = store(
-        df.select(key, text)
-        .repartition(key)
-        .select(key, F.explode(tokens(text)).alias("word"))
-        .groupBy(key, "word")
-        .agg(F.count("*").alias("n"))
+    table = given.select(
+        F.col("word").alias("feature"), F.lit(None).cast("array<int>").alias("at"),
+        F.col("vector").alias("value"),
     )
-    known = feature_join(counts, given, counts.select("word"), "word")
-    dims = range(given.select(F.size("vector")).first()[0])
-    sums = known.groupBy(key).agg(
+    dims = given.select(F.size("vector")).first()[0]
+    sums = feature_sums(df, table, tokens, dims, key, text)
+    # Rows of one key are one document.
+    whole = sums.groupBy(key).agg(
         F.sum("n").alias("n"),
-        *(F.sum(F.col("vector")[i] * F.col("n").cast("double")).alias(f"_{i}") for i in dims),
+        *(F.sum(F.get("sums", F.lit(i))).alias(f"_{i}") for i in range(dims)),
     )
-    mean = F.array(*(F.col(f"_{i}") / F.col("n") for i in dims))
-    return sums.select(key, "n", mean.cast("array<double>").alias("vector"))
+    mean = F.array(*(F.col(f"_{i}") / F.col("n") for i in range(dims)))
+    return whole.select(key, "n", mean.alias("vector"))
 
 
 def _means_in_place(df: DataFrame, given: DataFrame, key: str, text: str) -> DataFrame:
