@@ -30,33 +30,41 @@ def anchors(text: Column) -> Column:
     pieces = F.regexp_extract_all(
         text, F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0)
     )
-    hashes = F.transform(pieces, lambda p: F.xxhash64(p))
     width = K - S + 1
 
-    def inner(h: Column) -> Column:
-        runs = F.transform(
+    def inner(p: Column) -> Column:
+        if S == 1:  # a run is a piece
+            runs = F.transform(p, lambda x: F.xxhash64(F.xxhash64(x)))
+        else:
+            runs = let(F.transform(p, lambda x: F.xxhash64(x)), several)
+        return let(F.struct(p.alias("p"), runs.alias("runs")), chosen)
+
+    def several(h: Column) -> Column:
+        return F.transform(
             indices(F.size(h) - (S - 1)),
             lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(S))),
         )
-        return let(F.struct(h.alias("h"), runs.alias("runs")), chosen)
 
     def chosen(x: Column) -> Column:
         runs = x["runs"]
 
         def closed(i: Column) -> Column:
-            least = F.array_min(F.slice(runs, i + 1, width))
-            return (least == F.get(runs, i)) | (least == F.get(runs, i + (width - 1)))
+            first, last = F.get(runs, i), F.get(runs, i + (width - 1))
+            least = F.least(*(F.get(runs, i + j) for j in range(width)))
+            return (least == first) | (least == last)
 
         at = F.filter(indices(F.size(runs) - (width - 1)), closed)
         found = F.transform(
             at, lambda i: F.hash(*(F.get(runs, i + j) for j in range(0, width, S)))
         )
-        whole = F.when(F.size(x["h"]) > 0, F.array(F.hash(x["h"]))).otherwise(
+        # Only for texts without an anchor.
+        hashes = F.transform(x["p"], lambda p: F.xxhash64(p))
+        whole = F.when(F.size(x["p"]) > 0, F.array(F.hash(hashes))).otherwise(
             F.array().cast("array<int>")
         )
         return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
 
-    return let(hashes, inner)
+    return let(pieces, inner)
 
 
 def fingerprint(anchored: Column) -> Column:
@@ -91,13 +99,18 @@ def _numbered(anchored: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Shared anchors over all, repeats counted; 1 for two empty texts."""
+    return numbered_likeness(_numbered(a), _numbered(b))
+
+
+def numbered_likeness(a: Column, b: Column) -> Column:
+    """`likeness` of anchors that were numbered before."""
 
     def share(x: Column) -> Column:
         both = F.size(F.array_intersect(x["a"], x["b"]))
         either = F.size(x["a"]) + F.size(x["b"]) - both
         return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
-    return let(F.struct(_numbered(a).alias("a"), _numbered(b).alias("b")), share)
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
@@ -168,13 +181,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited_text"),
         "__anchors", "__next_anchors",
     )
-    both = F.struct("edited_text", anchors(F.col("edited_text")).alias("anchors"))
+    # Its own anchors are numbered once for both comparisons.
+    both = F.struct(
+        "edited_text",
+        anchors(F.col("edited_text")).alias("anchors"),
+        _numbered(F.col("__anchors")).alias("own"),
+    )
 
     def compared(e: Column) -> Column:
         return F.struct(
             e["edited_text"].alias("edited_text"),
             fingerprint(e["anchors"]).alias("edited_fingerprint"),
-            likeness(F.col("__anchors"), e["anchors"]).alias("near_edited"),
+            numbered_likeness(e["own"], _numbered(e["anchors"])).alias("near_edited"),
+            numbered_likeness(e["own"], _numbered(F.col("__next_anchors"))).alias("near_next"),
         )
 
     return told.select(
@@ -182,8 +201,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "n_chars",
         fingerprint(F.col("__anchors")).alias("fingerprint"),
         let(both, compared).alias("__e"),
-        likeness(F.col("__anchors"), F.col("__next_anchors")).alias("near_next"),
     ).select(
         "doc_id", "n_chars", "__e.edited_text", "fingerprint",
-        "__e.edited_fingerprint", "__e.near_edited", "near_next",
+        "__e.edited_fingerprint", "__e.near_edited", "__e.near_next",
     )
