@@ -104,3 +104,27 @@ def test_collocations_edge_cases(spark, monkeypatch):
     assert got == sorted(brute([("a b a b", "x"), (None, None)] * 2, 2))
     long_text = " ".join(["alpha beta"] * 20000)
     assert co.collocations(spark.createDataFrame([(long_text, "en")], "text string, lang string")).count() >= 1
+
+
+def test_only_phrases_of_frequent_shorter_ones_are_counted(spark, monkeypatch):
+    """Frequent words in ever new order: their longer phrases take no disk."""
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(f"w{j}" for j in rng.integers(0, 60, 50)), "en") for _ in range(60)]
+    rows += [("one two three four. five\vOne two three", None)] * 20
+    monkeypatch.setattr(co, "THRESHOLD", 20)
+    stored, store = [], co.store
+    monkeypatch.setattr(co, "store", lambda df: stored.append(store(df)) or stored[-1])
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = _rows(co.collocations(docs))
+    assert got == sorted(brute(rows, 20)) and got
+    mass = [t.agg({"cnt": "sum"}).first()[0] or 0 for t in stored if "cnt" in t.columns]
+    # Counted all at once, lengths 2 to 5 would be four times the pairs.
+    assert sum(mass) < 1.2 * (60 * 49 + 20 * 5)
+
+
+def test_more_keys_than_are_broadcast(spark, fixture_rows, monkeypatch):
+    monkeypatch.setattr(co, "THRESHOLD", 50)
+    monkeypatch.setattr(co, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(co, "SLICE", 40)
+    docs = spark.createDataFrame(fixture_rows, "text string, lang string").repartition(3)
+    assert _rows(co.collocations(docs)) == sorted(brute(fixture_rows, 50))

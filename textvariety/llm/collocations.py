@@ -6,22 +6,26 @@ pieces into words `[^\\x20\\x09]+`. Every count is per language (null: `und`).
 1. Words are counted exactly (a grouped count; n per language comes from it).
    A phrase cannot occur more often than any of its words, so only runs of
    words that occur `threshold` times can hold a candidate; their 64-bit hashes
-   (at most n / threshold of them, a bound checked before they are broadcast)
-   mark them. Each piece's word hashes go to Arrow batches, where numpy forms
-   two independent 64-bit keys of every phrase of 2 to 5 such words. A task
-   counts keys exactly in bounded memory, writes partial counts whenever its
-   table is full, and these are stored in the shared scratch folder.
-2. Keys are cut into B hash buckets. A bucket of mass M (all its occurrences)
-   gets a Misra-Gries summary of k = floor(M / threshold) + 1 counters. Partial
-   counts are merged into it and reduced by the (k+1)-th largest counter, which
-   removes at least (k+1) times what any one key loses, so no key loses more
-   than M / (k+1) < threshold: every phrase that occurs `threshold` times keeps
-   a positive counter. Colliding keys only add candidates. B grows with the
-   mass, so a summary holds at most COUNTERS counters plus one batch.
-3. The survivors' phrases are counted exactly in a second pass, grouped by
-   their text (a task gives one row for each distinct phrase). Their number is
-   at most the sum of k, a bound known before; below BROADCAST_KEYS they are
-   broadcast and tested in the task, else joined by key in Spark.
+   are broadcast, if they are few enough. The texts are stored once more as the
+   numbers of these words, with a break where a run ends.
+2. Lengths go up one by one, from 2 words to 5. A phrase cannot occur more often
+   than the two phrases one word shorter inside of it, so only places where both
+   survived the step before are counted. numpy forms a 64-bit key of every such
+   phrase; a task counts keys exactly in bounded memory, writes partial counts
+   whenever its table is full, and these are stored in the shared scratch folder.
+   Keys are cut into B hash buckets. A bucket of mass M (all its occurrences)
+   gets a Misra-Gries summary of k = floor(SLACK * M / threshold) + 1 counters.
+   Partial counts are merged into it and reduced by the (k+1)-th largest
+   counter, which removes at least (k+1) times what any one key loses, so no key
+   loses more than D <= M / (k+1) < threshold / SLACK. A counter and the D that
+   was really taken add up to at least a key's count: keys where they reach
+   `threshold` survive, every phrase of `threshold` occurrences among them.
+   Colliding keys only add candidates. B grows with the mass, so a summary holds
+   at most twice COUNTERS counters plus one batch.
+3. The survivors' phrases are counted exactly in a last pass over the texts,
+   grouped by their text (a task gives one row for each distinct phrase of a
+   slice). Up to BROADCAST_KEYS keys are broadcast and tested in the task, more
+   are joined by key in Spark.
 
 Scores, cuts, containment and ranks are joins and windows over the candidates.
 
@@ -29,19 +33,21 @@ Defined results: null or empty texts and pieces without words add nothing; a
 table without any phrase of `threshold` occurrences gives no rows; repeated rows
 count as often as they occur; ties of score and count go to the smaller phrase
 in UTF-8 byte order; columns beside `text` and `lang`, also with clashing
-names, are ignored; very long texts are handled like short ones (one row per
-piece).
+names, are ignored; very long texts are handled like short ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textvariety.llm.common import indices, pick
+from textvariety.llm.common import pick
 from textvariety.sources.scratch import store
 
 # Fixed by the contract: piece and word breaks, phrase lengths, threshold, top.
@@ -55,21 +61,42 @@ TOP = 2000
 
 # Parameters of the method (not of the result).
 COUNTERS = 1 << 20  # counters one bucket's summary is sized for
+SLACK = 8  # counters a summary has for each phrase that could reach the threshold
 FLUSH = 1 << 22  # keys a task holds before it writes partial counts
-BROADCAST_KEYS = 1 << 22  # key sets broadcast to tasks below this proven bound
+BROADCAST_KEYS = 1 << 22  # stored key sets of up to so many are broadcast to tasks
+SLICE = 4 << 20  # bytes of text a task splits at a time
 SALTS = 64  # first ranking step: per language and salt
 
 
-def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, words) of every piece holding a word."""
-    rows = pick(docs, text, lang)
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    cut = rows.select(
-        F.coalesce(F.col(lang), F.lit("und")).alias("lang"),
-        F.explode(F.split(lowered, PIECE_BREAKS)).alias("piece"),
+def texts_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, text) of every row, nulls filled in."""
+    return pick(docs, text, lang).select(
+        F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    words = F.filter(F.split("piece", WORD_BREAKS), lambda w: w != "")
-    return cut.select("lang", words.alias("words")).filter(F.size("words") > 0)
+
+
+def word_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """(lang, words, piece of each word) of about SLICE bytes of one language."""
+    for batch in batches:
+        order = pc.array_sort_indices(batch.column("lang"))
+        langs = batch.column("lang").take(order).dictionary_encode()
+        texts = batch.column("text").take(order)
+        codes = langs.indices.to_numpy()
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        places = codes.astype(np.int64) << 32 | size // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(batch)]
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield langs[start].as_py(), *_split(texts.slice(start, end - start))
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    pieces = pc.split_pattern_regex(pc.ascii_lower(texts), PIECE_BREAKS).flatten()
+    listed = pc.split_pattern_regex(pieces, WORD_BREAKS)
+    words, piece = listed.flatten(), pc.list_parent_indices(listed).to_numpy()
+    some = pc.binary_length(words).to_numpy() > 0
+    return words.filter(pa.array(some)), piece[some]
 
 
 # Odd 64-bit multipliers of the two independent phrase keys (any odd values do).
@@ -79,40 +106,51 @@ _KEY_B = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC
           0x1D8E4E27C47D124F, 0xBF58476D1CE4E5B9)
 
 
-def word_hashes(lang: Column, words: Column) -> Column:
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
     """64-bit hash of each word together with its language."""
-    return F.transform(words, lambda w: F.xxhash64(lang, w))
+    told = words.dictionary_encode()
+    both = pd.util.hash_array(
+        np.array([*told.dictionary.to_pylist(), lang], dtype=object), categorize=False
+    )
+    with np.errstate(over="ignore"):
+        hashes = (both[:-1] ^ (both[-1] * np.uint64(_KEY_A[0]))) * np.uint64(_KEY_B[0])
+    hashes[hashes == 0] = 1  # 0 stands for a break
+    return hashes[told.indices.to_numpy()].view(np.int64)
 
 
-def _runs(hashes: pa.ListArray, frequent: np.ndarray | None):
-    """Flat word hashes, their piece, and whether each word is frequent."""
-    values = pc.list_flatten(hashes).to_numpy(zero_copy_only=False).astype(np.uint64)
-    sizes = pc.list_value_length(hashes).to_numpy(zero_copy_only=False)
-    piece = np.repeat(np.arange(len(sizes)), sizes)
-    if frequent is None:
-        ok = np.ones(len(values), bool)
-    else:
-        ok = np.isin(values.view(np.int64), frequent.value)
-    return values, piece, ok
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in `known`, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def phrase_positions(values, piece, ok, length):
     """Starts of phrases of `length` words inside one piece, all words frequent,
-    and their two keys."""
+    and their two keys. Without `piece`, words that are not `ok` part the pieces."""
     m = len(values) - length + 1
     if m <= 0:
         empty = np.empty(0, np.int64)
         return empty, empty, empty
-    good = piece[: m] == piece[length - 1 : length - 1 + m]
-    key_a = np.full(m, (_KEY_A[5] * length) % (1 << 64), np.uint64)
-    key_b = np.full(m, (_KEY_B[5] * length) % (1 << 64), np.uint64)
+    good = ok[:m].copy()
+    for j in range(1, length):
+        good &= ok[j : j + m]
+    if piece is not None:
+        good &= piece[:m] == piece[length - 1 : length - 1 + m]
+    starts = np.flatnonzero(good)
+    return starts, *_keys(values, starts, length)
+
+
+def _keys(values, starts, length):
+    """The two keys of the phrases of `length` words at these places."""
+    key_a = np.full(len(starts), (_KEY_A[5] * length) % (1 << 64), np.uint64)
+    key_b = np.full(len(starts), (_KEY_B[5] * length) % (1 << 64), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(length):
-            good &= ok[j : j + m]
-            key_a += values[j : j + m] * np.uint64(_KEY_A[j])
-            key_b += values[j : j + m] * np.uint64(_KEY_B[j])
-    starts = np.flatnonzero(good)
-    return starts, key_a[starts].view(np.int64), key_b[starts].view(np.int64)
+            here = values[starts + j]
+            key_a += here * np.uint64(_KEY_A[j])
+            key_b += here * np.uint64(_KEY_B[j])
+    return key_a.view(np.int64), key_b.view(np.int64)
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +163,45 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def _partial_counts(frequent):
-    """Exact counts of a task's phrase keys, written whenever FLUSH are held."""
+def _coded(frequent):
+    """Texts as little-endian 32-bit numbers of their frequent words, from 1 in
+    order of the hashes; without `frequent`, as the 64-bit hashes of all words.
+    0 is a break; words without a neighbour are left out."""
+
+    def run(batches):
+        for lang, words, piece in word_slices(batches):
+            hashes = word_hashes(lang, words)
+            if frequent is None:
+                codes = hashes
+            else:
+                known = frequent.value
+                codes = np.where(_among(hashes, known), np.searchsorted(known, hashes) + 1, 0)
+            ok = codes != 0
+            linked = ok[1:] & ok[:-1] & (piece[1:] == piece[:-1])
+            kept = np.r_[linked, False] | np.r_[False, linked]
+            # A break before each run but the first.
+            first = kept & ~np.r_[False, linked]
+            (at,) = np.nonzero(kept)
+            out = np.insert(codes[at], np.flatnonzero(first[at]), 0)
+            if len(out):
+                raw = out.astype("<i8" if frequent is None else "<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["codes"])
+
+    return run
+
+
+def _runs(raw: bytes, frequent):
+    """Word hashes of `_coded` texts, and which places hold a word."""
+    if frequent is None:
+        values = np.frombuffer(raw, "<i8")
+        return values.view(np.uint64), values != 0
+    codes = np.frombuffer(raw, "<i4")
+    return frequent.value[np.maximum(codes - 1, 0)].view(np.uint64), codes != 0
+
+
+def _partial_counts(frequent, shorter, length):
+    """Exact counts of a task's keys of phrases of `length` words, written whenever
+    FLUSH are held. `shorter`: the keys of phrases one word shorter that survived."""
 
     def run(batches):
         held_keys = np.empty(0, np.int64)
@@ -139,12 +214,17 @@ def _partial_counts(frequent):
                 [pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "cnt"]
             )
 
-        for batch in batches:
-            values, piece, ok = _runs(batch.column(0), frequent)
-            for length in range(SHORTEST, LONGEST + 1):
-                keys = phrase_positions(values, piece, ok, length)[1]
-                pending.append(keys)
-                waiting += len(keys)
+        for raw in (r for batch in batches for r in batch.column("codes").to_pylist()):
+            values, ok = _runs(raw, frequent)
+            if shorter is None:
+                keys = phrase_positions(values, None, ok, length)[1]
+            else:
+                starts, inner, _ = phrase_positions(values, None, ok, length - 1)
+                starts = starts[_among(inner, shorter.value)]
+                starts = starts[:-1][np.diff(starts) == 1]
+                keys = _keys(values, starts, length)[0]
+            pending.append(keys)
+            waiting += len(keys)
             if waiting < FLUSH:
                 continue
             new = np.concatenate(pending)
@@ -171,17 +251,23 @@ def reduce_summary(keys: np.ndarray, counts: np.ndarray, capacity: int):
     """Misra-Gries reduction: merge equal keys, then if more than `capacity`
     counters remain, subtract the (capacity+1)-th largest from all and keep the
     positive ones."""
+    return _reduced(keys, counts, capacity)[:2]
+
+
+def _reduced(keys: np.ndarray, counts: np.ndarray, capacity: int):
+    """`reduce_summary` and what was subtracted."""
     keys, counts = _merged(keys, counts)
-    if len(keys) > capacity:
-        cut = np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
-        counts = counts - cut
-        alive = counts > 0
-        keys, counts = keys[alive], counts[alive]
-    return keys, counts
+    if len(keys) <= capacity:
+        return keys, counts, 0
+    cut = np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
+    counts = counts - cut
+    alive = counts > 0
+    return keys[alive], counts[alive], int(cut)
 
 
-def _summaries(batches):
-    """Survivors of the Misra-Gries summary of every bucket in this partition."""
+def _summaries(batches, threshold: int):
+    """Keys of the Misra-Gries summary of every bucket in this partition that may
+    occur `threshold` times."""
     held: dict[int, list] = {}
     for batch in batches:
         bucket = batch.column("bucket").to_numpy()
@@ -194,120 +280,148 @@ def _summaries(batches):
         ends = np.r_[starts[1:], len(bucket)]
         for s, e in zip(starts, ends):
             b, k = int(bucket[s]), int(capacity[s])
-            state = held.setdefault(b, [np.empty(0, np.int64), np.empty(0, np.int64), k])
+            state = held.setdefault(b, [np.empty(0, np.int64), np.empty(0, np.int64), 0])
             state[0] = np.concatenate([state[0], key[s:e]])
             state[1] = np.concatenate([state[1], cnt[s:e]])
             if len(state[0]) > 2 * k:
-                state[0], state[1] = reduce_summary(state[0], state[1], k)
-    for b, (keys, counts, k) in held.items():
-        keys, _ = reduce_summary(keys, counts, k)
+                state[0], state[1], cut = _reduced(state[0], state[1], k)
+                state[2] += cut
+    for keys, counts, taken in held.values():
+        keys, counts = _merged(keys, counts)
+        keys = keys[counts + taken >= threshold]
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["key"])
 
 
+def _counted_words(batches):
+    """(lang, phrase, f) of the words of each slice."""
+    for lang, words, _ in word_slices(batches):
+        told = pc.value_counts(words)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(told), pa.string()), told.field("values"), told.field("counts")],
+            ["lang", "phrase", "f"],
+        )
+
+
+def _hashed_words(batches):
+    for batch in batches:
+        for lang in pc.unique(batch.column("lang")).to_pylist():
+            words = batch.filter(pc.equal(batch.column("lang"), lang)).column("phrase")
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(lang, words))], ["key"])
+
+
 def frequent_words(texts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Stored exact counts (lang, length 1, phrase, f) of words occurring
     `threshold` times, and the total n of word occurrences per language."""
-    words = texts.select("lang", F.explode("words").alias("phrase"))
-    counted = words.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
+    words = texts.mapInArrow(_counted_words, "lang string, phrase string, f long")
+    counted = words.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     counted = store(counted.select("lang", F.lit(1).alias("length"), "phrase", "f"))
     totals = counted.groupBy("lang").agg(F.sum("f").cast("long").alias("n"))
     return counted.filter(F.col("f") >= threshold), totals
 
 
-def _known(table: DataFrame, column: str, bound: int):
-    """Broadcast sorted values of a stored column, if its proven bound allows."""
-    if bound > BROADCAST_KEYS:
+def _known(table: DataFrame):
+    """Broadcast sorted keys of a stored table, unless there are too many."""
+    if table.count() > BROADCAST_KEYS:
         return None
-    values = np.asarray(table.select(column).toArrow().column(0).to_numpy(), np.int64)
-    return table.sparkSession.sparkContext.broadcast(np.sort(values))
-
-
-def frequent_keys(texts, frequent, threshold):
-    """Stored keys that include every phrase key of 2 to LONGEST frequent words
-    occurring `threshold` times, and the bound on their number."""
-    keyed = texts.select(word_hashes(F.col("lang"), F.col("words")).alias("hashes"))
-    partial = store(keyed.mapInArrow(_partial_counts(frequent), "key long, cnt long"))
+    values = np.asarray(table.select("key").toArrow().column(0).to_numpy(), np.int64)
+    return table.sparkSession.sparkContext.broadcast(np.unique(values))
+
+
+def frequent_keys(coded: DataFrame, frequent, threshold: int) -> DataFrame:
+    """Keys that include every phrase key of 2 to LONGEST frequent words occurring
+    `threshold` times, length by length."""
+    survivors = shorter = None
+    for length in range(SHORTEST, LONGEST + 1):
+        found = _survivors(coded, frequent, shorter, length, threshold)
+        survivors = found if survivors is None else survivors.unionByName(found)
+        shorter = _known(found)
+        if shorter is not None and not len(shorter.value):
+            break
+    return survivors
+
+
+def _survivors(coded, frequent, shorter, length, threshold):
+    """Stored keys of one length."""
+    partial = store(
+        coded.mapInArrow(_partial_counts(frequent, shorter, length), "key long, cnt long")
+    )
     mass = partial.agg(F.sum("cnt")).first()[0] or 0
-    spark = texts.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(width, -(-mass // (threshold * COUNTERS)))
+    width = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(width, -(-mass * SLACK // (threshold * COUNTERS)))
     bucketed = partial.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     sizes = bucketed.groupBy("bucket").agg(
-        (F.floor(F.sum("cnt") / threshold) + 1).cast("long").alias("capacity")
+        (F.floor(F.sum("cnt") * SLACK / threshold) + 1).cast("long").alias("capacity")
     )
-    bound = mass // threshold + buckets
     # `sizes` has at most `buckets` rows, a number fixed above.
     summed = bucketed.join(F.broadcast(sizes), "bucket").repartition(buckets, "bucket")
-    survivors = store(
-        summed.select("bucket", "key", "cnt", "capacity").mapInArrow(_summaries, "key long")
+    return store(
+        summed.select("bucket", "key", "cnt", "capacity").mapInArrow(
+            lambda batches: _summaries(batches, threshold), "key long"
+        )
     )
-    return survivors, bound
 
 
 def _exact_counts(frequent, survivors):
-    """Per task and distinct phrase of frequent words whose key survived:
-    lang, length, phrase, cnt."""
+    """Per slice and distinct phrase of frequent words whose key survived:
+    lang, length, phrase, cnt, key."""
+    schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()),
+                        ("cnt", pa.int64()), ("key", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            values, piece, ok = _runs(batch.column("hashes"), frequent)
-            words = pc.list_flatten(batch.column("words"))
-            langs = batch.column("lang").to_numpy(zero_copy_only=False)
-            out = {"lang": [], "length": [], "phrase": [], "cnt": [], "key": []}
+        for lang, words, piece in word_slices(batches):
+            hashes = word_hashes(lang, words)
+            ok = np.ones(len(hashes), bool) if frequent is None else _among(hashes, frequent.value)
             for length in range(SHORTEST, LONGEST + 1):
-                starts, key_a, key_b = phrase_positions(values, piece, ok, length)
+                starts, key_a, key_b = phrase_positions(hashes.view(np.uint64), piece, ok, length)
                 if survivors is not None:
-                    hit = np.isin(key_a, survivors.value)
+                    hit = _among(key_a, survivors.value)
                     starts, key_a, key_b = starts[hit], key_a[hit], key_b[hit]
                 if not len(starts):
                     continue
-                pairs = np.stack([key_a, key_b], axis=1)
-                _, first, counts = np.unique(pairs, axis=0, return_index=True, return_counts=True)
-                out["key"].extend(key_a[first].tolist())
-                for at, cnt in zip(starts[first].tolist(), counts.tolist()):
-                    part = words.slice(at, length).to_pylist()
-                    out["lang"].append(langs[piece[at]])
-                    out["length"].append(length)
-                    out["phrase"].append(" ".join(part))
-                    out["cnt"].append(cnt)
-            if out["cnt"]:
-                yield pa.RecordBatch.from_pydict(
-                    out,
-                    pa.schema([("lang", pa.string()), ("length", pa.int32()),
-                               ("phrase", pa.string()), ("cnt", pa.int64()),
-                               ("key", pa.int64())]),
+                order = np.lexsort((key_b, key_a))
+                key_a, key_b = key_a[order], key_b[order]
+                first = np.flatnonzero(
+                    np.r_[True, (key_a[1:] != key_a[:-1]) | (key_b[1:] != key_b[:-1])]
+                )
+                at = starts[order[first]]
+                parts = [words.take(pa.array(at + j)) for j in range(length)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(at), pa.string()),
+                        pa.array(np.full(len(at), length, np.int32)),
+                        pc.binary_join_element_wise(*parts, " "),
+                        pa.array(np.diff(np.r_[first, len(order)])),
+                        pa.array(key_a[first]),
+                    ],
+                    schema=schema,
                 )
 
     return run
 
 
-def exact_counts(texts, frequent, survivors, bound):
+def exact_counts(texts, frequent, survivors):
     """(lang, length, phrase, f) of every surviving phrase, counted exactly."""
-    known = _known(survivors, "key", bound)
-    hashed = texts.select(
-        "lang", "words", word_hashes(F.col("lang"), F.col("words")).alias("hashes")
-    )
-    found = hashed.mapInArrow(
+    known = _known(survivors)
+    found = texts.mapInArrow(
         _exact_counts(frequent, known),
         "lang string, length int, phrase string, cnt long, key long",
     )
     if known is None:  # too many to carry to every task: joined by key in Spark
-        found = found.join(survivors, "key", "left_semi")
+        found = found.join(survivors.distinct(), "key", "left_semi")
     return found.groupBy("lang", "length", "phrase").agg(F.sum("cnt").cast("long").alias("f"))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Per language the TOP phrases of 2 to 5 words by association score:
     lang, rank, phrase, a, l, r, n, score (longs)."""
-    texts = pieces(docs, text, lang)
+    texts = texts_of(docs, text, lang)
     threshold = THRESHOLD
     singles, totals = frequent_words(texts, threshold)
-    bound = int(totals.agg(F.sum("n")).first()[0] or 0) // threshold
-    known = store(singles.select(F.xxhash64("lang", "phrase").alias("key")))
-    frequent = _known(known, "key", bound)
-    survivors, survivor_bound = frequent_keys(texts, frequent, threshold)
-    phrases = exact_counts(texts, frequent, survivors, survivor_bound)
+    frequent = _known(store(singles.mapInArrow(_hashed_words, "key long")))
+    coded = store(texts.mapInArrow(_coded(frequent), "codes binary"))
+    survivors = frequent_keys(coded, frequent, threshold)
+    phrases = exact_counts(texts, frequent, survivors)
     counts = store(phrases.filter(F.col("f") >= threshold).unionByName(singles))
     candidates = counts.filter(F.col("length").between(SHORTEST, LONGEST)).select(
         "lang", "phrase", "length", F.col("f").alias("a")
