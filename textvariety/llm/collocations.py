@@ -65,6 +65,8 @@ SLACK = 8  # counters a summary has for each phrase that could reach the thresho
 FLUSH = 1 << 22  # keys a task holds before it writes partial counts
 BROADCAST_KEYS = 1 << 22  # stored key sets of up to so many are broadcast to tasks
 SLICE = 4 << 20  # bytes of text a task splits at a time
+CELL_BITS = 12  # keys travel packed by their leading bits
+PHRASES = 1 << 18  # phrases a task counts before it gives partial counts
 SALTS = 64  # first ranking step: per language and salt
 
 
@@ -210,8 +212,19 @@ def _partial_counts(frequent, shorter, length):
         waiting = 0
 
         def table(keys, counts):
+            """A row for each cell of the sorted keys."""
+            cells = (keys >> (64 - CELL_BITS)) + (1 << (CELL_BITS - 1))
+            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+            ends = [*starts[1:].tolist(), len(keys)]
+            parts = [slice(s, e) for s, e in zip(starts.tolist(), ends)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "cnt"]
+                [
+                    pa.array(cells[starts].astype(np.int32)),
+                    pa.array(np.add.reduceat(counts, starts)),
+                    pa.array([keys[p].astype("<i8").tobytes() for p in parts], pa.binary()),
+                    pa.array([counts[p].astype("<i8").tobytes() for p in parts], pa.binary()),
+                ],
+                ["cell", "mass", "keys", "counts"],
             )
 
         for raw in (r for batch in batches for r in batch.column("codes").to_pylist()):
@@ -268,26 +281,19 @@ def _reduced(keys: np.ndarray, counts: np.ndarray, capacity: int):
 def _summaries(batches, threshold: int):
     """Keys of the Misra-Gries summary of every bucket in this partition that may
     occur `threshold` times."""
-    held: dict[int, list] = {}
+    held: dict[int, list] = {}  # by bucket: keys, counts, their number, what was taken
     for batch in batches:
-        bucket = batch.column("bucket").to_numpy()
-        key = batch.column("key").to_numpy()
-        cnt = batch.column("cnt").to_numpy()
-        capacity = batch.column("capacity").to_numpy()
-        order = np.argsort(bucket, kind="stable")
-        bucket, key, cnt, capacity = bucket[order], key[order], cnt[order], capacity[order]
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        ends = np.r_[starts[1:], len(bucket)]
-        for s, e in zip(starts, ends):
-            b, k = int(bucket[s]), int(capacity[s])
-            state = held.setdefault(b, [np.empty(0, np.int64), np.empty(0, np.int64), 0])
-            state[0] = np.concatenate([state[0], key[s:e]])
-            state[1] = np.concatenate([state[1], cnt[s:e]])
-            if len(state[0]) > 2 * k:
-                state[0], state[1], cut = _reduced(state[0], state[1], k)
-                state[2] += cut
-    for keys, counts, taken in held.values():
-        keys, counts = _merged(keys, counts)
+        buckets, capacity = batch.column("bucket").to_pylist(), batch.column("capacity").to_pylist()
+        for i, (b, k) in enumerate(zip(buckets, capacity)):
+            state = held.setdefault(b, [[], [], 0, 0])
+            state[0].append(np.frombuffer(batch.column("keys")[i].as_py(), "<i8"))
+            state[1].append(np.frombuffer(batch.column("counts")[i].as_py(), "<i8"))
+            state[2] += len(state[0][-1])
+            if state[2] > 2 * k:
+                keys, counts, cut = _reduced(np.concatenate(state[0]), np.concatenate(state[1]), k)
+                held[b] = [[keys], [counts], len(keys), state[3] + cut]
+    for keys, counts, _, taken in held.values():
+        keys, counts = _merged(np.concatenate(keys), np.concatenate(counts))
         keys = keys[counts + taken >= threshold]
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["key"])
@@ -344,31 +350,44 @@ def frequent_keys(coded: DataFrame, frequent, threshold: int) -> DataFrame:
 def _survivors(coded, frequent, shorter, length, threshold):
     """Stored keys of one length."""
     partial = store(
-        coded.mapInArrow(_partial_counts(frequent, shorter, length), "key long, cnt long")
+        coded.mapInArrow(
+            _partial_counts(frequent, shorter, length),
+            "cell int, mass long, keys binary, counts binary",
+        )
     )
-    mass = partial.agg(F.sum("cnt")).first()[0] or 0
+    mass = partial.agg(F.sum("mass")).first()[0] or 0
     width = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(width, -(-mass * SLACK // (threshold * COUNTERS)))
-    bucketed = partial.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    # A cell is not split: beyond 2**CELL_BITS buckets, a summary grows above COUNTERS.
+    buckets = min(max(width, -(-mass * SLACK // (threshold * COUNTERS))), 1 << CELL_BITS)
+    bucketed = partial.withColumn("bucket", F.pmod("cell", F.lit(buckets)).cast("int"))
     sizes = bucketed.groupBy("bucket").agg(
-        (F.floor(F.sum("cnt") * SLACK / threshold) + 1).cast("long").alias("capacity")
+        (F.floor(F.sum("mass") * SLACK / threshold) + 1).cast("long").alias("capacity")
     )
     # `sizes` has at most `buckets` rows, a number fixed above.
     summed = bucketed.join(F.broadcast(sizes), "bucket").repartition(buckets, "bucket")
     return store(
-        summed.select("bucket", "key", "cnt", "capacity").mapInArrow(
+        summed.select("bucket", "keys", "counts", "capacity").mapInArrow(
             lambda batches: _summaries(batches, threshold), "key long"
         )
     )
 
 
 def _exact_counts(frequent, survivors):
-    """Per slice and distinct phrase of frequent words whose key survived:
-    lang, length, phrase, cnt, key."""
+    """Per task and distinct phrase of frequent words whose key survived: lang,
+    length, phrase, cnt, key. PHRASES of them are counted before they are given."""
     schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()),
                         ("cnt", pa.int64()), ("key", pa.int64())])
 
+    def told(counted):
+        columns = zip(*((*phrase, cnt) for phrase, cnt in counted.items()))
+        lang, length, key, phrase, cnt = columns
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip((lang, length, phrase, cnt, key), schema)],
+            schema=schema,
+        )
+
     def run(batches):
+        counted: dict[tuple, int] = {}
         for lang, words, piece in word_slices(batches):
             hashes = word_hashes(lang, words)
             ok = np.ones(len(hashes), bool) if frequent is None else _among(hashes, frequent.value)
@@ -386,16 +405,16 @@ def _exact_counts(frequent, survivors):
                 )
                 at = starts[order[first]]
                 parts = [words.take(pa.array(at + j)) for j in range(length)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(at), pa.string()),
-                        pa.array(np.full(len(at), length, np.int32)),
-                        pc.binary_join_element_wise(*parts, " "),
-                        pa.array(np.diff(np.r_[first, len(order)])),
-                        pa.array(key_a[first]),
-                    ],
-                    schema=schema,
-                )
+                phrases = pc.binary_join_element_wise(*parts, " ").to_pylist()
+                sums = np.diff(np.r_[first, len(order)]).tolist()
+                for key, phrase, cnt in zip(key_a[first].tolist(), phrases, sums):
+                    phrase = lang, length, key, phrase
+                    counted[phrase] = counted.get(phrase, 0) + cnt
+                if len(counted) >= PHRASES:
+                    yield told(counted)
+                    counted = {}
+        if counted:
+            yield told(counted)
 
     return run
 
