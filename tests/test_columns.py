@@ -223,6 +223,49 @@ def test_feature_counts_merge_buckets(spark):
     assert sorted(map(tuple, got)) == [(1, "# 0", 11), (1, "ab", 2)]
 
 
+def test_feature_counts_are_taken_in_place(spark, monkeypatch):
+    """Equal to brute force, also for repeated and null keys, without an aggregate."""
+    from collections import Counter
+
+    from textvariety.operators import document_features as dfe
+    from textvariety.operators import feature_blocks as fb
+
+    monkeypatch.setattr(fb, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(dfe, "ROWS", 2)
+    monkeypatch.setattr(dfe, "COUNTS_AT_ONCE", 5)
+    rows = [(1, "a b\ta b"), (1, "b a"), (None, "ü a"), (None, "ü"), (2, None), (3, " \n"), (4, "x𝔘y a x𝔘y")]
+    rows += [(i, f"a w{i % 3} b") for i in range(5, 25)]
+    df = spark.createDataFrame(rows, "i int, text string").repartition(3)
+    vocab = spark.createDataFrame([("a",), ("x𝔘y",)], "word string")
+    for listed in (vocab, None):
+        made = feature_counts(df, "i", vocab=listed, word_n=3, minn=1, maxn=3, bucket=50)
+        assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString().replace(
+            "Aggregate [block", ""
+        )
+        want = Counter()
+        for i, said in rows:
+            words = (said or "").split()
+            for w in words:
+                if listed is None or w in ("a", "x𝔘y"):
+                    want[i, w] += 1
+                marked = f"<{w}>"
+                grams = list(w) + [marked[j : j + n] for n in (2, 3) for j in range(len(marked) - n + 1)]
+                want.update((i, f"# {dfe.bucket_of(g, 50)}") for g in grams)
+            for n in (2, 3):
+                runs = (" ".join(words[j : j + n]) for j in range(len(words) - n + 1))
+                want.update((i, f"# {dfe.bucket_of(r, 50)}") for r in runs)
+        got = made.collect()
+        assert {(r["i"], r["feature"]): r["n"] for r in got} == dict(want) and len(got) == len(want)
+
+
+def test_buckets_are_those_of_the_expression(spark):
+    from textvariety.operators.document_features import bucket_of
+
+    df = spark.createDataFrame([("a b",), ("ü",), ("𝔘",), ("",)], "f string")
+    got = df.select("f", features.feature_bucket("f", 1_000_000).alias("b")).collect()
+    assert all(r["b"] == bucket_of(r["f"], 1_000_000) for r in got)
+
+
 def test_text_functions_need_no_python(spark):
     df = spark.createDataFrame([("a b. c",)], "text string")
     plan = sentence_chunks(df.select(F.lit(1).alias("i"), "text")).select(

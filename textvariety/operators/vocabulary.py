@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from textvariety.functions.features import (
     LONG_WORD,
     bucket_feature,
-    feature_bucket,
     once,
     tokens,
 )
+from textvariety.operators.document_features import count_features
+from textvariety.operators.feature_blocks import block_count, in_blocks
 from textvariety.operators.ordering import running_totals, with_position
 from textvariety.sources.scratch import broadcast_if_small, store
 
@@ -145,35 +147,35 @@ def feature_counts(
 
     With `vocab` (column `word`; see scratch.broadcast_if_small) other words
     lose their own feature but keep their character n-grams, as in training.
-    Texts are placed by document first: the shuffle carries each text once, and
-    all counts of a document are then taken in place.
+    Texts are shuffled whole, rows of one key to one block; a block is sent the
+    words of `vocab` that stand in it, each once, and its counts are taken there,
+    key by key. See operators/document_features.py.
     """
-    docs = df.select(key, text).repartition(key)
-    words = (
-        docs.select(key, F.explode(tokens(text)).alias("feature"))
-        .groupBy(key, "feature")
-        .agg(F.count("*").alias("n"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    parts = block_count(rows, "text")
+    block = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+    docs = store(rows.withColumn("block", block).repartition(parts, "block"))
+    if vocab is None:
+        met = docs.select("block", F.lit(1).alias("side"), "key", "text", F.lit("").alias("feature"))
+        met = met.repartition(parts, "block")
+    else:
+        met = in_blocks(docs, parts, tokens, vocab.select(F.col("word").alias("feature")))
+    fed = met.sortWithinPartitions("block", "side", "key").select(
+        "block", "side", "key", F.when(F.col("side") == 1, tokens("text")).alias("words"), "feature"
+    )
+    schema = StructType(
+        [
+            StructField("key", docs.schema["key"].dataType),
+            StructField("word", StringType()),
+            StructField("bucket", LongType()),
+            StructField("n", LongType()),
+        ]
+    )
+    count = partial(
+        count_features, named=vocab is not None, word_n=word_n, minn=minn, maxn=maxn, bucket=bucket
     )
-    named = words
-    if vocab is not None:
-        listed = vocab.select(F.col("word").alias("feature"))
-        named = words.join(listed, "feature", "left_semi").select(key, "feature", "n")
-    listed = docs.select(key, tokens(text).alias("__words"))
-    grams = [
-        explode_word_ngrams(listed, "__words", n, "gram").groupBy(key, "gram").agg(F.count("*").alias("n"))
-        for n in range(2, word_n + 1)
-    ]
-    if maxn > 0:
-        cut = explode_char_ngrams(words, minn, maxn, word="feature")
-        grams.append(cut.groupBy(key, "gram").agg(F.sum("n").alias("n")))
-    if not grams:
-        return named
-    # Hashed once for each gram of a document; buckets are named afterwards.
-    hashed = (
-        reduce(DataFrame.unionByName, grams)
-        .select(key, feature_bucket("gram", bucket).alias("bucket"), "n")
-        .groupBy(key, "bucket")
-        .agg(F.sum("n").alias("n"))
-        .select(key, bucket_feature("bucket").alias("feature"), "n")
+    return fed.mapInArrow(count, schema).select(
+        F.col("key").alias(key),
+        F.coalesce("word", bucket_feature("bucket")).alias("feature"),
+        "n",
     )
-    return named.unionByName(hashed)
