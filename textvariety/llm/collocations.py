@@ -62,11 +62,11 @@ TOP = 2000
 # Parameters of the method (not of the result).
 COUNTERS = 1 << 20  # counters one bucket's summary is sized for
 SLACK = 8  # counters a summary has for each phrase that could reach the threshold
-FLUSH = 1 << 22  # keys a task holds before it writes partial counts
+FLUSH = 1 << 21  # keys a task holds before it writes partial counts
 BROADCAST_KEYS = 1 << 22  # stored key sets of up to so many are broadcast to tasks
-SLICE = 4 << 20  # bytes of text a task splits at a time
+SLICE = 2 << 20  # bytes of text a task splits at a time
 CELL_BITS = 12  # keys travel packed by their leading bits
-PHRASES = 1 << 18  # phrases a task counts before it gives partial counts
+PHRASES = 1 << 17  # phrases a task counts before it gives partial counts
 SALTS = 64  # first ranking step: per language and salt
 
 
@@ -188,6 +188,7 @@ def _coded(frequent):
             if len(out):
                 raw = out.astype("<i8" if frequent is None else "<i4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["codes"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -227,7 +228,7 @@ def _partial_counts(frequent, shorter, length):
                 ["cell", "mass", "keys", "counts"],
             )
 
-        for raw in (r for batch in batches for r in batch.column("codes").to_pylist()):
+        for raw in (r.as_py() for batch in batches for r in batch.column("codes")):
             values, ok = _runs(raw, frequent)
             if shorter is None:
                 keys = phrase_positions(values, None, ok, length)[1]
@@ -246,7 +247,7 @@ def _partial_counts(frequent, shorter, length):
                 np.concatenate([held_keys, new]),
                 np.concatenate([held_counts, np.ones(len(new), np.int64)]),
             )
-            if len(held_keys) >= FLUSH // 2:
+            if len(held_keys) >= FLUSH:
                 yield table(held_keys, held_counts)
                 held_keys, held_counts = np.empty(0, np.int64), np.empty(0, np.int64)
         new = np.concatenate(pending) if pending else np.empty(0, np.int64)
@@ -256,6 +257,7 @@ def _partial_counts(frequent, shorter, length):
         )
         if len(keys):
             yield table(keys, counts)
+        pa.default_memory_pool().release_unused()
 
     return run
 
