@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textvariety.llm.chunks import Cache, of_worker
+from textvariety.llm.chunks import Cache, give_back, of_worker
 from textvariety.llm.common import pick
 
 _SHIFT = 24  # room for a token id in the key of a pair
@@ -188,7 +188,7 @@ def _encode(
         # Texts become Python strings a slice at a time.
         for start in range(0, len(whole), ROWS):
             yield from _encode_slice(whole.slice(start, ROWS), cache, tokens)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _encode_slice(

@@ -7,11 +7,14 @@ a chunk that was seen before need not be encoded again.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+
 _SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 # Chunks of a generation, and characters of texts encoded together.
 MOST_CHUNKS, STRETCH = 120_000, 4 << 20
@@ -30,6 +33,18 @@ def of_worker(name: str, make: Callable):
     return getattr(kept, name)
 
 
+def give_back() -> None:
+    """Hand a Python worker's free memory back to the system.
+
+    A worker lives on through later stages, and what its allocators keep counts
+    there; where the C library cannot trim, Arrow's pool alone is emptied.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def loose(chunk: str) -> bool:
     """Whether a chunk touches white space besides its single blanks."""
     return not chunk or chunk[0].isspace() or chunk[-1].isspace()

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textvariety.llm.chunks import give_back
 from textvariety.llm.common import pick
 from textvariety.sources.scratch import broadcast_if_small, store
 
@@ -108,7 +109,7 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
     for batch in batches:
         for start in range(0, len(batch), rows):
             yield batch.slice(start, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _signed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textvariety.llm.chunks import give_back
 from textvariety.llm.common import n_of, pick, span_text
 
 # --- Fixed values: the patterns that must be found ---
@@ -376,7 +377,7 @@ def _scan(batches: Iterator[pa.RecordBatch], model: SkipChain) -> Iterator[pa.Re
                 [*part.columns, column([f[0] for f in fixed]), column(added)],
                 [*batch.schema.names, "base", "added"],
             )
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
