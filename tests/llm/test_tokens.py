@@ -136,3 +136,25 @@ def test_a_cache_that_forgets_gives_the_same_ids():
             got = [np.frombuffer(i, "<u4").tolist() for i in cache.encode(part)]
             assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
     assert len(cache._before) + len(cache._inner) < 200
+
+
+def test_a_task_takes_a_few_texts_at_a_time(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    from textvariety.llm import chunks, token_files
+
+    seen, encode = [], chunks.Cache.encode
+
+    def watched(self, texts):
+        seen.append(len(texts))
+        return encode(self, texts)
+
+    monkeypatch.setattr(chunks.Cache, "encode", watched)
+    monkeypatch.setattr(token_files, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2500)), "text": [f"a text {i}" for i in range(2500)]})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    blocks = list(token_files._tokenised(iter([batch]), path, token_files.END_ID))
+    assert sum(len(d) for b in blocks for d in b.column("doc_id").to_pylist()) == 2500
+    assert max(seen) <= token_files.ROWS

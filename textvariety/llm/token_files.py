@@ -13,6 +13,7 @@ the bytes because Spark reads and writes it on any store.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textvariety.llm.chunks import Cache, loose, of_worker
+from textvariety.llm.chunks import Cache, give_back, loose, of_worker
 from textvariety.llm.common import pick
 from textvariety.sources.scratch import store
 
@@ -35,6 +36,8 @@ LANES, SEGMENT_STEPS, BLOCK_IDS = 512, 128, 1 << 18
 SCALE_BITS = 20
 # Chunks a worker keeps: this tokenizer takes longer for a word than memory costs.
 KEPT_CHUNKS = 400_000
+ROWS = 1000  # rows whose texts are Python strings at a time
+_PLAIN = re.compile(r"(?: \S++)++")
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -192,7 +195,20 @@ def _chunk_encoder(path: str):
         raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
         return [raw[s:e] for s, e in zip((4 * at).tolist(), ends)]
 
+    def all_plain(chunks: list[str]) -> bool:
+        """Whether every chunk is a blank and a word, without an added token's
+        string; seen on their joined text, without a look at each."""
+        joined = "".join(chunks)
+        return (
+            _PLAIN.fullmatch(joined) is not None
+            and joined.count(" ") == len(chunks)
+            and all(c.startswith(" ") for c in chunks)
+            and not any(s in joined for s in added)
+        )
+
     def encode(chunks: list[str]) -> list[bytes]:
+        if all_plain(chunks):
+            return [r for i in range(0, len(chunks), 8192) for r in together(chunks[i : i + 8192])]
         plain = [c[:1] == " " and " " not in c[1:] and not loose(c[1:]) for c in chunks]
         # An added token's string in a chunk: that chunk goes alone.
         plain = [p and not any(s in c for s in added) for p, c in zip(plain, chunks)]
@@ -246,7 +262,8 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
         for i, t in enumerate(texts):
             yield chunks.whole(t) if i in alone else next(rest)
 
-    for batch in batches:
+    # Texts become Python strings a slice at a time.
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
         ids = batch.column("doc_id").to_pylist()
         for doc_id, coded in zip(ids, encoded(batch.column("text").to_pylist())):
             coded += end
@@ -260,6 +277,8 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
             doc += 1
     if pieces:
         yield flush()
+        pieces = []
+    give_back()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +303,7 @@ def _coded(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.
             [*(batch.column(n) for n in kept), *new],
             [*kept, "words", "states", "offsets", "checksums"],
         )
+    give_back()
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
@@ -341,6 +361,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[p
                 ],
                 ["part", "block", "before", "doc_no", "doc_id", "ids"],
             )
+    give_back()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
