@@ -3,7 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -60,3 +62,17 @@ def test_query_equals_library_on_every_document(spark, library):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pieces.encode(empty, PATH, "doc_id").count() == 0
+
+
+def test_segments_that_share_their_start_and_marks(library):
+    model = pieces.PieceModel(PATH)
+    words = ["abra", "abracadabra", "abracadabra!", "abrac", "ab", "abra.", "abra...", "é漢", "é漢字,", "?!", "."]
+    texts = [" ".join(words), *words, "", "  abra  ", "a▁b abra."]
+    found = [np.frombuffer(x, "<i4").tolist() for x in model.encode_all(texts)]
+    assert found == [library.encode(t) for t in texts]
+
+
+def test_a_task_decodes_a_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"text": [f"some text {i}." for i in range(2500)]})
+    sizes = [len(out) for out in pieces._encode(iter([batch]), PATH, [])]
+    assert sum(sizes) == 2500 and max(sizes) <= pieces.ROWS

@@ -18,10 +18,14 @@ left; symbols that are no piece become their UTF-8 bytes. Here:
   very pair again. The ids are then read backwards from the end.
   Compatibility is decided by encoding the joined pair (at most 32 characters)
   plainly, once for every pair a worker meets.
+* A table depends on what stands before only, so the new segments of some rows
+  are taken in sorted order, each going on where it parts from the one before,
+  and a last mark that ends no longer piece is a token after the rest's table.
 
 Spark's part: the documents are read where they lie, encoded in Arrow batches
 and never shuffled; the digests are DataFrame functions. Each Python worker
-keeps the automaton and the segments and pairs it met, at most CACHED of each.
+keeps the automaton, the pairs it met, at most PAIRS, and two
+generations of segments, at most CACHED of each (and what ROWS rows add).
 
 Defined results: a null text counts as empty and has no ids; repeated rows are
 encoded each; very long texts and segments are handled like short ones (the
@@ -32,21 +36,24 @@ also with clashing names, are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textvariety.llm.chunks import of_worker
+from textvariety.llm.chunks import TAILS, give_back, of_worker
 from textvariety.llm.common import pick
 
 # Fixed by the library's format: the blank mark and the kinds of pieces.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHED = 200_000  # segments and pairs a worker keeps before it starts afresh
+CACHED = 200_000  # segments of a generation
+PAIRS = 500_000  # pairs a worker keeps before it starts afresh
+ROWS = 1000  # rows whose texts are Python strings at a time
 
 
 class PieceModel:
@@ -100,11 +107,17 @@ class PieceModel:
             if len(piece) > 1:
                 self.automaton.add_word(piece, (self.ids[piece], len(piece)))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.rank), default=1)
+        # The last two characters of all pieces that have as many.
+        self._ends = {p[-2:] for p in self.rank if len(p) > 1}
         self._segments: dict[str, list[int]] = {}
-        self._led: dict[str, list[int]] = {}
+        # Ids, as bytes, of the parts that follow a blank, and of those before.
+        self._led: dict[str, bytes] = {}
+        self._led_before: dict[str, bytes] = {}
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._codes: dict[str, int] = {}
+        self._tails = {c: array("i", self._spelt([self._code(c)])).tobytes() for c in TAILS}
 
     # --- plain BPE of short strings: the meaning of compatibility ---
 
@@ -134,7 +147,7 @@ class PieceModel:
         key = left << 22 | right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > CACHED:
+            if len(self._pairs) > PAIRS:
                 self._pairs.clear()
             a, b = self._text(left), self._text(right)
             known = self._pairs[key] = self.plain(a + b) == [a, b]
@@ -152,15 +165,38 @@ class PieceModel:
 
     def segment(self, text: str) -> list[int]:
         """Token codes of a segment, by the last token of every prefix."""
-        n, size, codes = len(text), self.size, self._codes
-        if text in self.rank and self.whole(self.ids[text]):
-            return [self.ids[text]]
-        last = [0] * (n + 1)  # code of the last token of each prefix
-        width = [0] * (n + 1)  # its length
+        return next(self.segments([text]))
+
+    def segments(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Token codes of each segment; a table goes on from the prefix that its
+        segment shares with the one before."""
+        last = [0]  # code of the last token of each prefix
+        width = [0]  # its length
+        before = ""
+        for text in texts:
+            if text in self.rank and self.whole(self.ids[text]):
+                yield [self.ids[text]]
+                continue
+            shared, most = 0, min(len(text), len(before))
+            while shared < most and text[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1 :], width[shared + 1 :]
+            before = text
+            self._go_on(text, last, width)
+            out, i = [], len(text)
+            while i > 0:
+                out.append(last[i])
+                i -= width[i]
+            yield out[::-1]
+
+    def _go_on(self, text: str, last: list[int], width: list[int]) -> None:
+        """Fill the table of a segment up from the prefixes it holds."""
+        shared, size, codes = len(last) - 1, self.size, self._codes
         pairs, wholes = self._pairs, self._whole
-        matches = list(self.automaton.iter(text))
+        found = self.automaton.iter(text, max(0, shared + 1 - self.longest))
+        matches = [m for m in found if m[0] >= shared]
         at, count = 0, len(matches)
-        for i in range(1, n + 1):
+        for i in range(shared + 1, len(text) + 1):
             found = -1
             while at < count and matches[at][0] + 1 == i:
                 if found < 0:
@@ -179,8 +215,7 @@ class PieceModel:
                 c = text[i - 1]
                 code = codes.get(c)
                 if code is None:
-                    code = self.ids[c] if c in self.rank else size + ord(c)
-                    codes[c] = code
+                    code = codes[c] = self._code(c)
                 if i == 1:
                     found, wide = code, 1
                 else:
@@ -189,12 +224,8 @@ class PieceModel:
                         found, wide = code, 1
             if found < 0:  # cannot happen for BPE; kept as a loud guard
                 raise RuntimeError(f"no last token at {i} of {text[:40]!r}")
-            last[i], width[i] = found, wide
-        out, i = [], n
-        while i > 0:
-            out.append(last[i])
-            i -= width[i]
-        return out[::-1]
+            last.append(found)
+            width.append(wide)
 
     def segment_ids(self, text: str) -> list[int]:
         ids = self._segments.get(text)
@@ -206,7 +237,10 @@ class PieceModel:
 
     def _ids_of(self, text: str) -> list[int]:
         """Ids of a segment, characters that are no piece as their bytes."""
-        codes, size = self.segment(text), self.size
+        return self._spelt(self.segment(text))
+
+    def _spelt(self, codes: list[int]) -> list[int]:
+        size = self.size
         if max(codes) < size:
             return codes
         ids = []
@@ -227,23 +261,46 @@ class PieceModel:
         return [self.ids[MARK * k] for k in stack]
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if MARK in text or not self.dummy:
-            return self._encode_marked(text)
+        (raw,) = self.encode_all([text])
+        return array("i", raw).tolist()
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, 32-bit integers as bytes."""
         # Blanks only: the parts between blanks, each led by a mark.
-        known, ids = self._led, []
-        for p in text.split(" "):
-            got = known.get(p)
-            if got is None:
-                if len(known) > CACHED:
-                    known.clear()
-                got = known[p] = self._ids_of(MARK + p)
-            ids.extend(got)
-        # Lone marks meet only after a blank that follows the start or a blank.
-        if text[0] == " " or "  " in text:
-            return self._merge_blanks(ids)
-        return ids
+        cut = [t.split(" ") if t and self.dummy and MARK not in t else [] for t in texts]
+        self._learn(set().union(*cut))
+        get = self._led.__getitem__
+        for text, parts in zip(texts, cut):
+            if not text:
+                yield b""
+            elif not parts:
+                yield array("i", self._encode_marked(text)).tobytes()
+            else:
+                raw = b"".join(map(get, parts))
+                # Lone marks meet only after a blank that follows the start or a blank.
+                if text[0] == " " or "  " in text:
+                    raw = array("i", self._merge_blanks(array("i", raw).tolist())).tobytes()
+                yield raw
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode the parts that are not known yet."""
+        if len(self._led) > CACHED:
+            self._led, self._led_before = {}, self._led
+        known, before, ends = self._led, self._led_before, self._ends
+        new = {p for p in parts if p not in known}
+        known.update((p, before[p]) for p in new if p in before)
+        new = [p for p in new if p not in known]
+        marked = [p for p in new if p[-1:] in self._tails and len(p) > 1 and p[-2:] not in ends]
+        words = {p[:-1] for p in marked}
+        known.update((p, before[p]) for p in words if p in before)
+        asked = sorted(p for p in words.union(set(new).difference(marked)) if p not in known)
+        for p, codes in zip(asked, self.segments(MARK + p for p in asked)):
+            known[p] = array("i", self._spelt(codes)).tobytes()
+        for p in marked:
+            known[p] = known[p[:-1]] + self._tails[p[-1]]
+
+    def _code(self, character: str) -> int:
+        return self.ids[character] if character in self.rank else self.size + ord(character)
 
     def _encode_marked(self, text: str) -> list[int]:
         marked = (MARK if self.dummy else "") + text.replace(" ", MARK)
@@ -311,10 +368,11 @@ def _encode(batches, path: str, keep: list[str]):
     dropped = np.array(
         [model.dummy and p.startswith(MARK) for p in model.pieces], bool
     )
-    for batch in batches:
-        lists = [model.encode(t or "") for t in batch.column("text").to_pylist()]
-        sizes = np.cumsum([0] + [len(x) for x in lists]).astype(np.int32)
-        flat = np.array(list(chain.from_iterable(lists)), np.int32)
+    # A few rows at a time, for what Python and the gathering make of them.
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+        lists = list(model.encode_all([t or "" for t in batch.column("text").to_pylist()]))
+        sizes = np.cumsum([0] + [len(x) // 4 for x in lists]).astype(np.int32)
+        flat = np.frombuffer(b"".join(lists), np.int32)
         # Decoded bytes of all rows at once: each id's bytes gathered from a pool.
         size = lengths[flat]
         ends = np.cumsum(size)
@@ -335,6 +393,7 @@ def _encode(batches, path: str, keep: list[str]):
              pa.array(digests, pa.string())],
             [*keep, "ids", "decoded_sha256"],
         )
+    give_back()
 
 
 def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
