@@ -131,3 +131,17 @@ def test_more_keys_than_are_broadcast(spark, fixture_rows, monkeypatch):
     monkeypatch.setattr(co, "FLUSH", 4)
     docs = spark.createDataFrame(fixture_rows, "text string, lang string").repartition(3)
     assert _rows(co.collocations(docs)) == sorted(brute(fixture_rows, 50))
+
+
+def test_a_task_gives_a_row_for_each_cell_of_phrases():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 50, "text": texts})
+    rows = [r for b in co._exact_counts(None, None, 7)(iter([batch, batch])) for r in b.to_pylist()]
+    assert len(rows) <= 7
+    found = Counter({(l, p): c for r in rows for l, p, c in zip(r["lang"], r["phrase"], r["cnt"])})
+    assert len(found) == 50 * (19 + 18 + 17 + 16) and set(found.values()) == {2}
+    whole = pa.Table.from_batches(co._exact_counts(None, None, 7)(iter([batch]))).to_batches()
+    summed = pa.Table.from_batches(co._summed_counts(iter([*whole, *whole])))
+    assert summed.num_rows == len(found) and set(summed.column("cnt").to_pylist()) == {2}

@@ -23,8 +23,8 @@ pieces into words `[^\\x20\\x09]+`. Every count is per language (null: `und`).
    Colliding keys only add candidates. B grows with the mass, so a summary holds
    at most twice COUNTERS counters plus one batch.
 3. The survivors' phrases are counted exactly in a last pass over the texts,
-   grouped by their text (a task gives one row for each distinct phrase of a
-   slice). Up to BROADCAST_KEYS keys are broadcast and tested in the task, more
+   grouped by their text. A task counts its phrases and gives them packed, a row
+   for each cell of keys; a cell's counts are summed in one place. Up to BROADCAST_KEYS keys are broadcast and tested in the task, more
    are joined by key in Spark.
 
 Scores, cuts, containment and ranks are joins and windows over the candidates.
@@ -47,6 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textvariety.llm.chunks import give_back
 from textvariety.llm.common import pick
 from textvariety.sources.scratch import store
 
@@ -188,7 +189,7 @@ def _coded(frequent):
             if len(out):
                 raw = out.astype("<i8" if frequent is None else "<i4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["codes"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -257,7 +258,7 @@ def _partial_counts(frequent, shorter, length):
         )
         if len(keys):
             yield table(keys, counts)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -374,18 +375,32 @@ def _survivors(coded, frequent, shorter, length, threshold):
     )
 
 
-def _exact_counts(frequent, survivors):
-    """Per task and distinct phrase of frequent words whose key survived: lang,
-    length, phrase, cnt, key. PHRASES of them are counted before they are given."""
-    schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()),
-                        ("cnt", pa.int64()), ("key", pa.int64())])
+_PHRASE = {"lang": pa.string(), "length": pa.int32(), "phrase": pa.string(),
+           "key": pa.int64(), "cnt": pa.int64()}
+
+
+def _exact_counts(frequent, survivors, cells):
+    """A task's distinct phrases of frequent words whose key survived, with their
+    counts: a row for each cell of keys, its columns lists. PHRASES of them are
+    counted before they are given."""
 
     def told(counted):
-        columns = zip(*((*phrase, cnt) for phrase, cnt in counted.items()))
-        lang, length, key, phrase, cnt = columns
+        lang, length, key, phrase = zip(*counted)
+        where = np.array(key, np.int64).view(np.uint64) % np.uint64(cells)
+        order = np.argsort(where, kind="stable")
+        where = where[order]
+        starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        ends = pa.array(np.r_[starts, len(where)].astype(np.int32))
+        columns = zip((lang, length, phrase, key, counted.values()), _PHRASE.values())
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip((lang, length, phrase, cnt, key), schema)],
-            schema=schema,
+            [
+                pa.array(where[starts].astype(np.int32)),
+                *(
+                    pa.ListArray.from_arrays(ends, pa.array(list(c), kind).take(pa.array(order)))
+                    for c, kind in columns
+                ),
+            ],
+            ["cell", *_PHRASE],
         )
 
     def run(batches):
@@ -421,12 +436,34 @@ def _exact_counts(frequent, survivors):
     return run
 
 
+def _summed_counts(batches):
+    """The counts of `_exact_counts` summed by phrase, PHRASES held at a time."""
+    keys = [n for n in _PHRASE if n != "cnt"]
+    held = None
+    for batch in batches:
+        new = pa.table({n: batch.column(n).flatten() for n in _PHRASE})
+        both = new if held is None else pa.concat_tables([held, new])
+        held = both.group_by(keys, use_threads=False).aggregate([("cnt", "sum")])
+        held = held.select([*keys, "cnt_sum"]).rename_columns(list(_PHRASE))
+        if len(held) >= PHRASES:
+            yield from held.to_batches()
+            held = None
+    if held is not None:
+        yield from held.to_batches()
+    give_back()
+
+
 def exact_counts(texts, frequent, survivors):
     """(lang, length, phrase, f) of every surviving phrase, counted exactly."""
     known = _known(survivors)
-    found = texts.mapInArrow(
-        _exact_counts(frequent, known),
-        "lang string, length int, phrase string, cnt long, key long",
+    cells = min(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << CELL_BITS)
+    packed = texts.mapInArrow(
+        _exact_counts(frequent, known, cells),
+        "cell int, lang array<string>, length array<int>, phrase array<string>,"
+        " key array<long>, cnt array<long>",
+    )
+    found = packed.repartition(cells, "cell").mapInArrow(
+        _summed_counts, "lang string, length int, phrase string, key long, cnt long"
     )
     if known is None:  # too many to carry to every task: joined by key in Spark
         found = found.join(survivors.distinct(), "key", "left_semi")
