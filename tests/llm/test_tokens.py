@@ -158,3 +158,54 @@ def test_a_task_takes_a_few_texts_at_a_time(monkeypatch):
     blocks = list(token_files._tokenised(iter([batch]), path, token_files.END_ID))
     assert sum(len(d) for b in blocks for d in b.column("doc_id").to_pylist()) == 2500
     assert max(seen) <= token_files.ROWS
+
+
+def _tokenised_here(monkeypatch, texts):
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    return list(token_files._tokenised(iter([batch]), TOKENIZER, token_files.END_ID))
+
+
+def test_a_worker_keeps_few_of_many_chunks(monkeypatch):
+    from textvariety.llm import chunks
+
+    made = []
+    monkeypatch.setattr(chunks, "of_worker", lambda name, make: made.append(make()) or made[-1])
+    monkeypatch.setattr(token_files, "of_worker", chunks.of_worker)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(5000)]
+    blocks = _tokenised_here(monkeypatch, texts)
+    assert sum(len(d) for b in blocks for d in b.column("doc_id").to_pylist()) == 5000
+    cache = made[1]
+    # Of 300,000 chunks: two generations, and what a stretch of 60,000 adds to each.
+    assert len(cache._inner) + len(cache._before) <= 2 * (token_files.KEPT_CHUNKS + 60_000) < 300_000
+
+
+def test_blocks_are_coded_and_decoded_one_at_a_time(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 16)
+    blocks = _tokenised_here(monkeypatch, ["some text " * 10, "another " * 30, "", "a third of them " * 8])
+    assert len(blocks) > 3
+    import pyarrow as pa
+
+    whole = pa.Table.from_batches(blocks).combine_chunks().to_batches()
+    (counts,) = token_files._counted(iter(whole))
+    table = np.zeros(max(counts.column("id").to_pylist()) + 1, np.int64)
+    table[counts.column("id").to_numpy()] = counts.column("n").to_numpy()
+    coded = list(token_files._coded(iter(whole), token_files.normalise(table)))
+    assert [len(c) for c in coded] == [1] * len(blocks)
+    read = list(token_files._decoded(iter(pa.Table.from_batches(coded).combine_chunks().to_batches()), token_files.normalise(table)))
+    assert b"".join(i for b in read for i in b.column("ids").to_pylist()) == b"".join(b.column("ids")[0].as_py() for b in blocks)
+
+
+def test_words_are_cut_once_for_a_stretch_whatever_follows_them():
+    import pyarrow as pa
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    texts = ["", " ", "a", " a", "a  b c", "x\n y", "y \n", "\u00a0z z\u00a0 q", "a b c a b c.", "\x1cd d\x1c d"]
+    for column in (pa.array(texts), pa.array(["skipped", *texts]).slice(1), texts):
+        cache = Cache(token_files._chunk_encoder(TOKENIZER))
+        got = [np.frombuffer(i, "<u4").tolist() for i in cache.encode(column)]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

@@ -13,10 +13,12 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-# Chunks of a generation, and characters of texts encoded together.
+# Chunks of a generation, and bytes of texts encoded together.
 MOST_CHUNKS, STRETCH = 120_000, 4 << 20
 # Marks that are a piece of their own at the end of a chunk, after a letter.
 TAILS = ".,;:!?"
@@ -65,19 +67,16 @@ class Cache:
         self._before: dict[str, bytes] = {}
         # Chunks at the start of a text.
         self._first: dict[str, bytes] = {}
-        # What a text falls into at a blank that is not always a cut.
-        self._odd: set[str] = set()
         self._tails = dict(zip(TAILS, encode(list(TAILS))))
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, texts of about STRETCH characters at a time."""
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        """The ids of each text, texts of about STRETCH bytes at a time."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        before = np.cumsum([0, *pc.binary_length(texts).to_pylist()])
         start = 0
         while start < len(texts):
-            size, end = 0, start
-            while end < len(texts) and (end == start or size < STRETCH):
-                size += len(texts[end])
-                end += 1
-            yield from self._stretch(texts[start:end])
+            end = max(int(np.searchsorted(before, before[start] + STRETCH)), start + 1)
+            yield from self._stretch(texts.slice(start, end - start))
             start = end
 
     def _learn(self, chunks: set[str]) -> None:
@@ -95,28 +94,32 @@ class Cache:
         for c in marked:
             known[c] = known[c[:-1]] + self._tails[c[-1]]
 
-    def _stretch(self, texts: list[str]) -> Iterator[bytes]:
+    def _stretch(self, texts: pa.Array) -> Iterator[bytes]:
+        """Words become Python strings once for a stretch, however often they occur."""
         if len(self._inner) > self._most:
             self._inner, self._before = {}, self._inner
-            self._first, self._odd = {}, set()
-        cut = [text.split(" ") for text in texts]
-        asked = set().union(*cut)
-        new = asked - self._inner.keys()
-        self._odd.update(c for c in new if loose(c))
-        odd = asked & self._odd
-        if odd:
-            for i, parts in enumerate(cut):
-                if not odd.isdisjoint(parts):
-                    cut[i] = _SINGLE_BLANK.split(texts[i])
-                    new.update(cut[i])
-            # Of the odd ones, only what is a chunk all the same.
-            new -= odd
-            new.update(c for p in cut for c in p if c in odd)
-        self._learn(new)
-        firsts = sorted({parts[0] for parts in cut} - self._first.keys())
-        self._first.update(zip(firsts, self._encode(firsts)))
-        get = self._inner.__getitem__
-        for chunks in cut:
-            ids = list(map(get, chunks))
-            ids[0] = self._first[chunks[0]]
-            yield b"".join(ids)
+            self._first = {}
+        cut = pc.split_pattern(texts, " ")
+        words = cut.flatten().dictionary_encode()
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        starts = np.concatenate([[0], ends[:-1]])
+        at, distinct = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del words
+        # A text with a part that touches white space is cut by the rule itself.
+        odd = [not c or c[0].isspace() or c[-1].isspace() for c in distinct]
+        marked = np.flatnonzero(np.logical_or.reduceat(np.array(odd)[at], starts)) if any(odd) else ()
+        parts = {int(i): _SINGLE_BLANK.split(texts[int(i)].as_py()) for i in marked}
+        new = {c for c, o in zip(distinct, odd) if not o}.union(*(p[1:] for p in parts.values()))
+        self._learn(new - self._inner.keys())
+        firsts = [distinct[i] for i in at[starts].tolist()]
+        for i, p in parts.items():
+            firsts[i] = p[0]
+        new_firsts = sorted(set(firsts) - self._first.keys())
+        self._first.update(zip(new_firsts, self._encode(new_firsts)))
+        ids = [b"" if o else self._inner[c] for c, o in zip(distinct, odd)]
+        for i, (first, start, end) in enumerate(zip(firsts, starts.tolist(), ends.tolist())):
+            if i in parts:
+                rest = map(self._inner.__getitem__, parts[i][1:])
+            else:
+                rest = map(ids.__getitem__, at[start + 1 : end].tolist())
+            yield b"".join([self._first[first], *rest])

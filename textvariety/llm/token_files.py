@@ -21,6 +21,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -34,9 +35,10 @@ from textvariety.sources.scratch import store
 END_ID = 2
 LANES, SEGMENT_STEPS, BLOCK_IDS = 512, 128, 1 << 18
 SCALE_BITS = 20
-# Chunks a worker keeps: this tokenizer takes longer for a word than memory costs.
-KEPT_CHUNKS = 400_000
-ROWS = 1000  # rows whose texts are Python strings at a time
+# Chunks of a generation that a worker keeps. Most chunks occur once, so more
+# would take memory and spare hardly any encoding.
+KEPT_CHUNKS = 60_000
+ROWS = 1000  # rows whose texts are cut at a time
 _PLAIN = re.compile(r"(?: \S++)++")
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
@@ -209,9 +211,12 @@ def _chunk_encoder(path: str):
     def encode(chunks: list[str]) -> list[bytes]:
         if all_plain(chunks):
             return [r for i in range(0, len(chunks), 8192) for r in together(chunks[i : i + 8192])]
-        plain = [c[:1] == " " and " " not in c[1:] and not loose(c[1:]) for c in chunks]
-        # An added token's string in a chunk: that chunk goes alone.
-        plain = [p and not any(s in c for s in added) for p, c in zip(plain, chunks)]
+        plain = [
+            c[:1] == " " and c.count(" ") == 1 and not loose(c[1:]) for c in chunks
+        ]
+        joined = "\0".join(chunks)
+        if any(s in joined for s in added):  # a chunk that holds one goes alone
+            plain = [p and not any(s in c for s in added) for p, c in zip(plain, chunks)]
         out: dict[int, bytes] = {}
         for want, size, how in ((True, 8192, together), (False, 1024, one_by_one)):
             at = [i for i, p in enumerate(plain) if p == want]
@@ -250,22 +255,20 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
         names = ["part", "block", "before", "n", "doc_no", "doc_id", "sizes", "ids"]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    def encoded(texts: list[str]) -> Iterator[bytes]:
+    def encoded(texts: pa.Array) -> Iterator[bytes]:
         """Texts that hold an added token's string are encoded whole, as the
         library cuts them there first; the rest chunk by chunk."""
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in chunks.added)]
-        if not odd:
-            yield from cache.encode(texts)
-            return
-        alone = set(odd)
-        rest = iter(cache.encode([t for i, t in enumerate(texts) if i not in alone]))
-        for i, t in enumerate(texts):
-            yield chunks.whole(t) if i in alone else next(rest)
-
-    # Texts become Python strings a slice at a time.
+        alone = np.zeros(len(texts), bool)
+        for added in chunks.added:
+            alone |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
+        rest = iter(cache.encode(texts.filter(pa.array(~alone)) if alone.any() else texts))
+        for i, whole in enumerate(alone.tolist()):
+            yield chunks.whole(texts[i].as_py()) if whole else next(rest)
+
+    # A slice of the texts is cut and held in parts at a time.
     for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
         ids = batch.column("doc_id").to_pylist()
-        for doc_id, coded in zip(ids, encoded(batch.column("text").to_pylist())):
+        for doc_id, coded in zip(ids, encoded(batch.column("text"))):
             coded += end
             for i in range(0, len(coded), 4 * BLOCK_IDS):
                 piece = coded[i : i + 4 * BLOCK_IDS]
@@ -292,9 +295,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks alone, for what Python makes of each."""
+    return (batch.slice(i, 1) for batch in batches for i in range(len(batch)))
+
+
 def _coded(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
     codec = Codec(table)
-    for batch in batches:
+    for batch in _one_by_one(batches):
         made = [codec.encode(np.frombuffer(i.as_buffer(), "<u4")) for i in batch.column("ids")]
         kept = [n for n in batch.schema.names if n != "ids"]
         kinds = (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -344,7 +352,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
 def _decoded(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
     codec = Codec(table)
-    for batch in batches:
+    for batch in _one_by_one(batches):
         for row in batch.to_pylist():
             ids = codec.decode(row["n"], row["words"], row["states"], row["offsets"], row["checksums"])
             ends = np.cumsum(row["sizes"])
