@@ -19,7 +19,7 @@ if _HERE not in sys.path:
 
 from textvariety.llm import bpe, mixing, near_dedup, pii, quality  # noqa: E402
 from textvariety.llm.common import DOCUMENT, pick, table  # noqa: E402
-from textvariety.sources.scratch import store  # noqa: E402
+from textvariety.sources.scratch import Tables  # noqa: E402
 
 # A learned classifier and a lottery have no SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
@@ -70,8 +70,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; every one but the last is stored."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; every one but the last is stored, and what it
+    was made from deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), Tables()
     for _, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir))
+        made = Tables()
+        docs = made.store(stage(spark, docs, sf_dir))
+        before.discard()
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)

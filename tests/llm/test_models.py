@@ -298,3 +298,31 @@ def test_what_stays_at_other_shingles(spark, percent, shingle):
     stay = near_dedup.drop_near_duplicates(frame, percent, shingle).collect()
     assert {r["doc_id"] for r in stay} == {d for d in root if root[d] == d}
     assert {r["doc_id"]: r["text"] for r in stay}.items() <= dict(rows).items()
+
+
+def test_dedup_leaves_one_scratch_table(spark, tmp_path, monkeypatch):
+    from textvariety.sources import scratch
+
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: str(tmp_path))
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(i, " ".join(words[i % 5 :] * 9) + " x" * (i // 5 % 2), "s") for i in range(40)]
+    rows += [(None, None, "s"), (90, "a b", "s"), (90, "a b", "s")]
+    frame = spark.createDataFrame(rows, DOCS)
+    stay = near_dedup.drop_near_duplicates(frame)
+    assert len([p for p in tmp_path.iterdir() if any(p.glob("part-*"))]) == 1
+    found = near_dedup.dedup_report(near_dedup.near_duplicates(frame))
+    assert len([p for p in tmp_path.iterdir() if any(p.glob("part-*"))]) == 2
+    firsts = {r["component_id"] for r in found.collect()}
+    assert {r["doc_id"] for r in stay.collect()} == firsts and stay.count() == len(firsts)
+
+
+def test_spark_decides_how_texts_meet_the_kept_rows(spark):
+    frame = spark.createDataFrame([(i, f"text {i} of a few", "s") for i in range(50)], DOCS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stay = near_dedup.drop_near_duplicates(frame)
+        plan = stay._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and stay.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textvariety.llm.chunks import give_back
 from textvariety.llm.common import pick
-from textvariety.sources.scratch import broadcast_if_small, store
+from textvariety.sources.scratch import Tables, broadcast_if_small, discard, store
 
 # Three words to a shingle; linked at a similarity of 85 percent.
 # Others are passed as arguments.
@@ -268,7 +268,8 @@ def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all linked nodes: the smallest node reachable.
 
-    Alternates large and small stars; every round is a stored table.
+    Alternates large and small stars; every round is a stored table, of which
+    the last stays.
     """
     edges = store(
         links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
@@ -303,7 +304,8 @@ def components(links: DataFrame) -> DataFrame:
                 )
             ).alias("e")
         ).select("e.*")
-        edges = store(small.filter("high <> low").distinct())
+        last, edges = edges, store(small.filter("high <> low").distinct())
+        discard(last)
 
 
 def near_duplicates(
@@ -328,9 +330,10 @@ def near_duplicates(
         partial(_signed, shingle=shingle),
         "doc_id long, text_hash long, n long, set_a long, set_b long, signature binary",
     )
-    rows = store(signed.select(F.monotonically_increasing_id().alias("row"), "*"))
+    tables = Tables()
+    rows = tables.store(signed.select(F.monotonically_increasing_id().alias("row"), "*"))
     filled = rows.filter("n > 0")
-    nodes = store(
+    nodes = tables.store(
         filled.groupBy("set_a", "set_b")
         .agg(F.min(F.struct("row", "doc_id", "text_hash", "n", "signature")).alias("x"))
         .select(
@@ -338,7 +341,7 @@ def near_duplicates(
             "x.n", "x.signature",
         )
     )
-    found = _linked_nodes(read, nodes, percent, miss, shingle)
+    found = _linked_nodes(read, nodes, percent, miss, shingle, tables)
     members = filled.select("row", "set_a", "set_b").join(
         nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]
     )
@@ -350,6 +353,7 @@ def near_duplicates(
         .join(placed, "row", "left")
         .select("row", "doc_id", "text_hash", "n", F.coalesce("component", "row").alias("component"))
     )
+    tables.discard()
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = labelled.groupBy("component").agg(F.min(order).alias("first")).select(
         "component", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row")
@@ -360,9 +364,12 @@ def near_duplicates(
 
 
 def _linked_nodes(
-    read: DataFrame, nodes: DataFrame, percent: int, miss: float, shingle: int
+    read: DataFrame, nodes: DataFrame, percent: int, miss: float, shingle: int, tables: Tables
 ) -> DataFrame:
-    """(node, component) of the nodes with links."""
+    """(node, component) of the nodes with links.
+
+    What is stored for it goes to `tables`.
+    """
     width = 2 * ROWS
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
@@ -370,7 +377,7 @@ def _linked_nodes(
     )
     banded = nodes.select("node", F.explode(bands).alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = store(banded.join(sizes, "bucket").distinct())
+    shared = tables.store(banded.join(sizes, "bucket").distinct())
     mates = shared.groupBy("node").agg(F.sum("size").alias("mates"))
     hubs = (
         shared.join(mates, "node")
@@ -378,8 +385,8 @@ def _linked_nodes(
         .agg(F.max(F.struct("mates", (-F.col("node")).alias("node"))).alias("x"))
         .select("bucket", (-F.col("x.node")).alias("hub"))
     )
-    hubs = store(hubs)
-    wanted = store(
+    hubs = tables.store(hubs)
+    wanted = tables.store(
         nodes.join(mates.select("node"), "node").select(
             "node", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n", "signature"
         )
@@ -391,7 +398,7 @@ def _linked_nodes(
     sets = texts.mapInArrow(
         partial(_with_sets, shingle=shingle), "node long, shingles binary"
     ).dropDuplicates(["node"])
-    whole = store(wanted.select("node", "n", "signature").join(sets, "node"))
+    whole = tables.store(wanted.select("node", "n", "signature").join(sets, "node"))
 
     needed = fewest_matches(BANDS * ROWS // BATCH, percent, miss)
     pairs = (
@@ -405,8 +412,8 @@ def _linked_nodes(
         return whole.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "signature", "shingles")))
 
     full = pairs.join(carrying("a"), "a").join(carrying("b"), "b")
-    links = store(full.mapInArrow(partial(_verify, needed=needed, percent=percent), "a long, b long"))
-    label = components(links)
+    links = tables.store(full.mapInArrow(partial(_verify, needed=needed, percent=percent), "a long, b long"))
+    label = tables.add(components(links))
 
     named = shared.join(label, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")
@@ -421,7 +428,7 @@ def _linked_nodes(
         "bucket", "hub", "hub_component", "size"
     )
     # Where few buckets are left, their members need not meet in one task.
-    marked = store(named.join(broadcast_if_small(store(split)), "bucket"))
+    marked = tables.store(named.join(broadcast_if_small(tables.store(split)), "bucket"))
     outside = marked.filter("component <> hub_component")
     outsiders = outside.groupBy("bucket").agg(F.count("*").alias("outside"))
 
@@ -431,7 +438,7 @@ def _linked_nodes(
     def every(count: str):
         return F.explode(F.sequence(F.lit(0), (F.ceil(F.col(count) / BLOCK) - 1).cast("int")))
 
-    sized = broadcast_if_small(store(outsiders))
+    sized = broadcast_if_small(tables.store(outsiders))
     left = outside.join(sized, "bucket").select(
         "bucket", "node", "component", F.lit(0).alias("side"), chunk("outside").alias("l"), every("size").alias("r")
     )
@@ -443,7 +450,7 @@ def _linked_nodes(
     more = blocks.mapInArrow(
         partial(_compare_blocks, needed=needed, percent=percent), "a long, b long"
     )
-    return components(store(links.unionByName(more)))
+    return tables.add(components(tables.store(links.unionByName(more))))
 
 
 def dedup_report(found: DataFrame) -> DataFrame:
@@ -459,7 +466,8 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of `docs` that stay, one of each group; columns as they are.
 
-    Rows that are equal in id and text are told apart by counting them.
+    Rows that are equal in id and text are told apart by counting them. Whether
+    the texts are shuffled is left to Spark, which knows the bytes to broadcast.
     """
     found = near_duplicates(docs, percent, shingle=shingle)
     kept = (
@@ -472,8 +480,10 @@ def drop_near_duplicates(
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (
         F.xxhash64(text) == F.col("__hash")
     )
-    joined = docs.join(broadcast_if_small(store(kept)), same)
-    if rows.filter("rows > 1").head(1):
+    joined = docs.join(store(kept), same)
+    repeated = bool(rows.filter("rows > 1").head(1))
+    discard(found)
+    if repeated:
         twins = W.partitionBy("__id", "__hash").orderBy(*docs.columns)
         joined = joined.withColumn("__twin", F.row_number().over(twins)).filter(
             "__twin <= __stay"

@@ -64,3 +64,22 @@ def discard(stored: DataFrame) -> None:
         if name.startswith("table-"):
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Tables:
+    """Stored tables of one job, deleted together once nothing reads them."""
+
+    def __init__(self) -> None:
+        self._stored: list[DataFrame] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Of what reads stored tables, these are deleted."""
+        self._stored.append(df)
+        return df
+
+    def store(self, df: DataFrame) -> DataFrame:
+        return self.add(store(df))
+
+    def discard(self) -> None:
+        while self._stored:
+            discard(self._stored.pop())
