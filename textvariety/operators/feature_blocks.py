@@ -42,7 +42,7 @@ def in_blocks(
     (side 1): (block, side, key, text, feature, …other columns of the table).
 
     `docs` is a stored (block, key, text), block by block in its files; the table
-    has one row per feature.
+    has one row per feature. Each block has a partition of its own.
     """
     asked = docs.select("block", F.explode(F.array_distinct(features("text"))).alias("feature"))
     met = asked.distinct().join(table, "feature")
@@ -62,7 +62,7 @@ def in_blocks(
         F.lit(None).cast("string").alias("feature"),
         *(F.lit(None).cast(f.dataType).alias(f.name) for f in values),
     )
-    return lie.unionByName(look).repartition(parts, "block")
+    return lie.unionByName(look).repartitionById(parts, "block")
 
 
 def runs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
@@ -95,7 +95,7 @@ def feature_sums(
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     parts = block_count(rows, "text")
     block = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
-    docs = store(rows.withColumn("block", block).repartition(parts, "block"))
+    docs = store(rows.withColumn("block", block).repartitionById(parts, "block"))
     wide = table.schema["value"].dataType.elementType == DoubleType()
     packed = table.select("feature", F.col("at").cast("array<int>"), "value").mapInArrow(
         _packed, "feature string, at binary, value binary"

@@ -4,7 +4,9 @@ Texts are dealt into blocks of about BLOCK_BYTES. A block is sent the vectors of
 its own known words, runs through its texts, and gives the changed vectors back;
 a word's vector is then the mean of what its blocks made of it, each weighed by
 how often the word stands there. So the vectors lie in a table that Spark joins
-and shuffles: a task holds those of one block, the driver none.
+and shuffles: a task holds those of one block, the driver none. What is shuffled
+is, nearly all of it, a vector for each block and word of it: the larger the
+blocks, the fewer of these there are.
 
 A stretch of words is trained at once: all its pairs inside of a window against
 negatives drawn for the stretch by n ** 0.75 among the words of the block.
@@ -24,10 +26,14 @@ from pyspark.sql import functions as F
 from textvariety.functions.features import tokens
 from textvariety.operators.feature_blocks import in_blocks, runs_of_blocks
 from textvariety.operators.vocabulary import vocabulary
-from textvariety.sources.scratch import store
+from textvariety.sources.scratch import Tables, store
 
 # Bytes of text in a block; smaller corpora are spread over the cluster's tasks.
-BLOCK_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
+BLOCK_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
+# Vectors made or given at once.
+VECTORS_AT_ONCE = 10_000
+# The largest number of 24 bits with a sign.
+FULL = (1 << 23) - 1
 # Words trained at once, negatives drawn for them, and how much these weigh:
 # as much as NEGATIVES for each pair.
 STRETCH, DRAWN, NEGATIVES = 512, 64, 5
@@ -46,29 +52,33 @@ def train(
 ) -> DataFrame:
     """(word, vector array<float>) of every word seen at least min_count times."""
     rows = df.select(F.lit(0).alias("key"), F.col(text).cast("string").alias("text"))
-    parts = partitions or _block_count(rows)
+    parts, made = partitions or _block_count(rows), Tables()
     block = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
-    docs = store(rows.withColumn("block", block).repartition(parts, "block"))
-    known = vocabulary(docs, "text", min_count).select(
-        F.col("word").alias("feature"), "n", F.xxhash64("word", F.lit(seed)).alias("lot")
-    )
+    dealt = rows.withColumn("block", block).repartitionById(parts, "block")
+    docs = made.add(store(dealt, "zstd"))
+    known = vocabulary(docs, "text", min_count).select(F.col("word").alias("feature"), "n")
     no_vector = F.lit(None).cast("binary")
     table = store(known.select("*", no_vector.alias("inner"), no_vector.alias("outer")))
-    vectors = "feature string, n long, lot long, weight long, inner binary, outer binary"
+    lot = F.when(F.col("side") == 0, F.xxhash64("feature", F.lit(seed))).alias("lot")
     for epoch in range(epochs):
+        made.add(table)
         met = in_blocks(docs, parts, tokens, table).sortWithinPartitions("block", "side")
         fed = met.select(
             "block", "side", F.when(F.col("side") == 1, tokens("text")).alias("words"),
-            "feature", "n", "lot", "inner", "outer",
+            "feature", "n", lot, "inner", "outer",
         )
         settings = {"dim": dim, "window": window, "seed": seed, "epoch": epoch, "epochs": epochs}
-        trained = fed.mapInArrow(partial(_trained, **settings), vectors)
+        trained = fed.mapInArrow(
+            partial(_trained, **settings),
+            "feature string, n long, weight long, inner binary, outer binary",
+        )
         alike = trained.repartition("feature").sortWithinPartitions("feature")
         table = store(
             alike.mapInArrow(
-                partial(_means, dim=dim), "feature string, n long, lot long, inner binary, outer binary"
+                partial(_means, dim=dim), "feature string, n long, inner binary, outer binary"
             )
         )
+    made.discard()
     return table.select(F.col("feature").alias("word"), "inner").mapInArrow(
         partial(_listed, dim=dim), "word string, vector array<float>"
     )
@@ -90,19 +100,40 @@ def first_vectors(lots: np.ndarray, dim: int) -> np.ndarray:
     return (((x >> np.uint64(40)) / np.float32(1 << 24) - 0.5) / dim).astype(np.float32)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array, dim: int, kind: str = "<f4") -> np.ndarray:
     """The vectors of a binary column without nulls."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dim)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
 
 
-def _binary(matrix: np.ndarray) -> pa.Array:
-    raw, width = np.ascontiguousarray(matrix, "<f4").tobytes(), 4 * matrix.shape[1]
+def _binary(matrix: np.ndarray, kind: str = "<f4") -> pa.Array:
+    rows = np.ascontiguousarray(matrix, kind)
+    raw, width = rows.tobytes(), rows.itemsize * rows.shape[1]
     ends = np.arange(0, len(raw) + 1, width, dtype=np.int32)
     return pa.Array.from_buffers(
         pa.binary(), len(matrix), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)]
     )
 
 
+def _packed(matrix: np.ndarray) -> pa.Array:
+    """Vectors as bytes: the size of the largest number, and each number as a share
+    of it in 24 bits, which is as fine as the largest number itself is."""
+    largest = np.abs(matrix).max(axis=1, initial=0).astype("<f4")
+    shares = matrix / np.where(largest > 0, largest, 1).astype(np.float64)[:, None]
+    whole = np.rint(shares * FULL).astype("<i4")
+    rows, dim = matrix.shape
+    low = whole.view(np.uint8).reshape(rows, dim, 4)[:, :, :3].reshape(rows, 3 * dim)
+    return _binary(np.hstack([largest.view(np.uint8).reshape(rows, 4), low]), "u1")
+
+
+def _unpacked(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a column made by _packed, without nulls."""
+    raw = _matrix(column, 4 + 3 * dim, "u1")
+    high = np.zeros((len(raw), dim, 4), np.uint8)
+    high[:, :, 1:] = raw[:, 4:].reshape(-1, dim, 3)
+    whole = high.view("<i4")[:, :, 0] >> 8
+    return whole * (raw[:, :4].copy().view("<f4").astype(np.float64) / FULL)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -15, 15)))
 
@@ -123,12 +154,16 @@ class _Block:
         self.window, self.rng = window, rng
         self.words = self.rows.column("feature").combine_chunks()
         inner, outer = (self.rows.column(c).combine_chunks() for c in ("inner", "outer"))
-        if inner.null_count:
-            self.inner = first_vectors(self.rows.column("lot").to_numpy(), dim)
-            self.outer = np.zeros_like(self.inner)
-        else:
-            self.inner, self.outer = _matrix(inner, dim).copy(), _matrix(outer, dim).copy()
-        self.rows = self.rows.select(["feature", "n", "lot"])
+        self.inner = np.empty((len(self.rows), dim), np.float32)
+        self.outer = np.zeros_like(self.inner)
+        lots = self.rows.column("lot").to_numpy()
+        for start in range(0, len(lots), VECTORS_AT_ONCE):
+            here = slice(start, start + VECTORS_AT_ONCE)
+            if inner.null_count:
+                self.inner[here] = first_vectors(lots[here], dim)
+            else:
+                self.inner[here], self.outer[here] = _matrix(inner[here], dim), _matrix(outer[here], dim)
+        self.rows = self.rows.select(["feature", "n"])
         self.seen = np.zeros(len(self.words), np.int64)
         share = np.cumsum(self.rows.column("n").to_numpy() ** 0.75)
         self.share = share / share[-1]
@@ -137,7 +172,7 @@ class _Block:
         """Train on texts, the rate going from the first to the second."""
         sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
         ids = pc.fill_null(pc.index_in(texts.flatten(), value_set=self.words), -1).to_numpy()
-        text = np.repeat(np.arange(len(sizes)), sizes)[ids >= 0]
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[ids >= 0]
         ids = ids[ids >= 0]
         self.seen += np.bincount(ids, minlength=len(self.seen))
         reach = self.rng.integers(1, self.window + 1, len(ids))
@@ -174,18 +209,18 @@ class _Block:
 
     def result(self, last: bool) -> Iterator[pa.RecordBatch]:
         """Rows of the changed vectors; after the last epoch, no outer ones."""
-        for start in range(0, len(self.words), 10_000):
-            here = slice(start, start + 10_000)
-            rows = self.rows.slice(start, 10_000).combine_chunks()
-            outer = pa.nulls(len(rows), pa.binary()) if last else _binary(self.outer[here])
+        for start in range(0, len(self.words), VECTORS_AT_ONCE):
+            here = slice(start, start + VECTORS_AT_ONCE)
+            rows = self.rows.slice(start, VECTORS_AT_ONCE).combine_chunks()
+            outer = pa.nulls(len(rows), pa.binary()) if last else _packed(self.outer[here])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(c.combine_chunks() for c in rows.columns),
                     pa.array(self.seen[here]),
-                    _binary(self.inner[here]),
+                    _packed(self.inner[here]),
                     outer,
                 ],
-                ["feature", "n", "lot", "weight", "inner", "outer"],
+                ["feature", "n", "weight", "inner", "outer"],
             )
 
 
@@ -216,7 +251,7 @@ def _trained(
 
 def _means(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     """One row for each run of equal words: the mean of its vectors by weight."""
-    last = None  # (feature, n, lot), weight and sums of the run that may go on
+    last = None  # (feature, n), weight and sums of the run that may go on
     for batch in batches:
         if not len(batch):
             continue
@@ -225,10 +260,10 @@ def _means(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBat
         starts = np.flatnonzero(np.r_[True, differs.to_numpy(zero_copy_only=False)])
         weight = batch.column("weight").to_numpy().astype(np.float64)
         some = [c for c in ("inner", "outer") if not batch.column(c).null_count]
-        both = np.hstack([_matrix(batch.column(c), dim) for c in some])
+        both = np.hstack([_unpacked(batch.column(c), dim) for c in some])
         sums = np.add.reduceat(both * weight[:, None], starts, axis=0)
         weights = np.add.reduceat(weight, starts)
-        heads = batch.select(["feature", "n", "lot"]).take(pa.array(starts))
+        heads = batch.select(["feature", "n"]).take(pa.array(starts))
         if last is not None:
             if last[0].column(0)[0] == heads.column(0)[0]:
                 weights[0] += last[1][0]
@@ -247,7 +282,7 @@ def _mean(heads: pa.RecordBatch, weights: np.ndarray, sums: np.ndarray, dim: int
     outer = _binary(mean[:, dim:]) if mean.shape[1] > dim else pa.nulls(len(mean), pa.binary())
     return pa.RecordBatch.from_arrays(
         [*heads.columns, _binary(mean[:, :dim]), outer],
-        ["feature", "n", "lot", "inner", "outer"],
+        ["feature", "n", "inner", "outer"],
     )
 
 

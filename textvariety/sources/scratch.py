@@ -37,16 +37,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Compute once: write to the scratch root and read back.
 
-    Cuts lineage and survives the loss of executors. Unlike an RDD checkpoint
+    `codec` packs the files, by default as the session does. Cuts lineage and survives the loss of executors. Unlike an RDD checkpoint
     it computes the rows a single time, and leaves columns prunable and sizes
     known to the planner.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
