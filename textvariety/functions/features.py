@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textvariety.functions.text import _col, newline_to_space
+from textvariety.functions.text import _col
 
 # Fixed value: ASCII blanks separating tokens.
 TOKEN_SEPARATOR = r"[ \t\n\x0B\f\r]+"
@@ -15,8 +15,9 @@ LONG_WORD = 128
 
 
 def tokens(text: Column | str) -> Column:
-    """Words of a text: split at ASCII blanks, case and punctuation kept."""
-    return F.array_remove(F.split(newline_to_space(text), TOKEN_SEPARATOR), "")
+    """Words of a text: split at ASCII blanks, line feeds among them, case and
+    punctuation kept."""
+    return F.array_remove(F.split(_col(text), TOKEN_SEPARATOR), "")
 
 
 def word_ngrams(words: Column | str, n: int) -> Column:

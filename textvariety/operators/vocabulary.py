@@ -10,7 +10,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from textvariety.functions.features import (
     LONG_WORD,
-    bucket_feature,
     once,
     tokens,
 )
@@ -154,28 +153,23 @@ def feature_counts(
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     parts = block_count(rows, "text")
     block = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
-    docs = store(rows.withColumn("block", block).repartition(parts, "block"))
+    docs = store(rows.withColumn("block", block).repartitionById(parts, "block"), "zstd")
     if vocab is None:
         met = docs.select("block", F.lit(1).alias("side"), "key", "text", F.lit("").alias("feature"))
-        met = met.repartition(parts, "block")
+        met = met.repartitionById(parts, "block")
     else:
         met = in_blocks(docs, parts, tokens, vocab.select(F.col("word").alias("feature")))
     fed = met.sortWithinPartitions("block", "side", "key").select(
-        "block", "side", "key", F.when(F.col("side") == 1, tokens("text")).alias("words"), "feature"
+        "block", "side", "key", "text", "feature"
     )
     schema = StructType(
         [
             StructField("key", docs.schema["key"].dataType),
-            StructField("word", StringType()),
-            StructField("bucket", LongType()),
+            StructField("feature", StringType()),
             StructField("n", LongType()),
         ]
     )
     count = partial(
         count_features, named=vocab is not None, word_n=word_n, minn=minn, maxn=maxn, bucket=bucket
     )
-    return fed.mapInArrow(count, schema).select(
-        F.col("key").alias(key),
-        F.coalesce("word", bucket_feature("bucket")).alias("feature"),
-        "n",
-    )
+    return fed.mapInArrow(count, schema).withColumnRenamed("key", key)
