@@ -1,8 +1,11 @@
 """What word vectors cost while they are trained block by block."""
 
 import os
+from collections import Counter
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +46,37 @@ def test_only_the_vectors_stay_on_disk(spark, epochs):
     assert {r["word"] for r in made.collect()} == set("abcd")
     kept = [f for f in os.listdir(folder) if f not in before and f.startswith("table-")]
     assert len(kept) == 1
+
+
+def test_texts_travel_in_packs_and_come_back_whole(spark):
+    rows = [(f"{i} " + "some words " * (i % 40),) for i in range(600)] + [(None,), ("",), ("x" * 5_000,)]
+    df = spark.createDataFrame(rows, "text string").repartition(4)
+    dealt = df.mapInArrow(partial(skip_gram._dealt, parts=5, size=2_000), "block int, key int, text binary")
+    packs = dealt.collect()
+    sizes = Counter()
+    for p in packs:
+        (texts, *shares), *more = skip_gram._texts(pa.array([p["text"]]))
+        said = [len(x or "") for x in texts.to_pylist()]
+        assert shares == [0, 1] and not more and (sum(said) <= 2_000 or len(said) == 1)
+        sizes[p["block"]] += sum(said)
+    assert sorted(sizes) == [0, 1, 2, 3, 4] and max(sizes.values()) - min(sizes.values()) < 20_000
+    assert sum(len(p["text"]) for p in packs) < sum(sizes.values())
+    back = dealt.mapInArrow(skip_gram._read, "text string").collect()
+    assert Counter(r["text"] for r in back) == Counter(x for x, in rows)
+
+
+def test_packs_are_unpacked_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(skip_gram, "UNPACKED_BYTES", 60)
+    packs = pa.array([skip_gram._pack(pa.array([f"text {i}", None])) for i in range(9)])
+    got = list(skip_gram._texts(packs))
+    assert len(got) > 2 and all(t.nbytes < 90 for t, *_ in got)
+    assert [x for t, *_ in got for x in t.to_pylist()] == [x for i in range(9) for x in (f"text {i}", None)]
+    assert [a for _, a, _ in got[1:]] == [b for *_, b in got[:-1]] and got[0][1] == 0 and got[-1][2] == 1
+
+
+def test_words_are_those_of_the_expression(spark):
+    said = ["a \tb\n\nc\x0bd\x0ce\rf \x1cg\x85h\xa0i j", None, "", " \n", "ü𝔘 ü𝔘 "]
+    at, words = fb.words_of(pa.array(said, pa.string()))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, text string")
+    want = [(r["i"], r["w"]) for r in df.select("i", F.explode(tokens("text")).alias("w")).collect()]
+    assert sorted(zip(at.tolist(), words.to_pylist())) == sorted(want)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from textvariety.operators.feature_blocks import runs_of_blocks
+from textvariety.operators.feature_blocks import runs_of_blocks, words_of
 
 # Rows and bytes of text of a chunk, features that are sorted at once unless a
 # document has more, and counts given at once.
@@ -162,13 +162,8 @@ class _Features:
     ) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
         """(names, document, place in names, n) of some documents after others;
         `doc` has the number of each text's document, in order."""
-        # The same ASCII blanks as features.TOKEN_SEPARATOR.
-        split = pc.ascii_split_whitespace(texts)
-        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
-        flat = split.flatten()
-        full = pc.greater(pc.binary_length(flat), 0)
-        row = np.repeat(np.arange(len(sizes)), sizes)[full.to_numpy(zero_copy_only=False)]
-        told = flat.filter(full).dictionary_encode()
+        row, flat = words_of(texts)
+        told = flat.dictionary_encode()
         words, ids = told.dictionary, told.indices.to_numpy().astype(np.int64)
         if not len(ids):
             return

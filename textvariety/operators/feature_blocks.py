@@ -45,6 +45,11 @@ def in_blocks(
     has one row per feature. Each block has a partition of its own.
     """
     asked = docs.select("block", F.explode(F.array_distinct(features("text"))).alias("feature"))
+    return meet(docs, parts, asked, table)
+
+
+def meet(docs: DataFrame, parts: int, asked: DataFrame, table: DataFrame) -> DataFrame:
+    """As in_blocks, for the features asked for by (block, feature)."""
     met = asked.distinct().join(table, "feature")
     values = [f for f in table.schema if f.name != "feature"]
     kinds = {"key": docs.schema["key"].dataType, "text": docs.schema["text"].dataType}
@@ -65,6 +70,16 @@ def in_blocks(
     return lie.unionByName(look).repartitionById(parts, "block")
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(place of its text, word) of all words: as features.tokens, in order."""
+    split = pc.ascii_split_whitespace(texts)  # the blanks of features.TOKEN_SEPARATOR
+    sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    words = split.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return at[full.to_numpy(zero_copy_only=False)], words.filter(full)
+
+
 def runs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
     """(block, side, rows) of the runs of equal block and side in sorted batches."""
     for batch in batches:

@@ -6,7 +6,7 @@ a word's vector is then the mean of what its blocks made of it, each weighed by
 how often the word stands there. So the vectors lie in a table that Spark joins
 and shuffles: a task holds those of one block, the driver none. What is shuffled
 is, nearly all of it, a vector for each block and word of it: the larger the
-blocks, the fewer of these there are.
+blocks, the fewer of these there are. Texts travel and are stored in packs.
 
 A stretch of words is trained at once: all its pairs inside of a window against
 negatives drawn for the stretch by n ** 0.75 among the words of the block.
@@ -20,16 +20,18 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textvariety.functions.features import tokens
-from textvariety.operators.feature_blocks import in_blocks, runs_of_blocks
+from textvariety.operators.feature_blocks import meet, runs_of_blocks, words_of
 from textvariety.operators.vocabulary import vocabulary
 from textvariety.sources.scratch import Tables, store
 
 # Bytes of text in a block; smaller corpora are spread over the cluster's tasks.
-BLOCK_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
+BLOCK_BYTES, LEAST_BYTES = 96 << 20, 1 << 20
+# Bytes of text in a pack, and of those that are unpacked at once.
+PACK_BYTES, UNPACKED_BYTES = 512 << 10, 8 << 20
 # Vectors made or given at once.
 VECTORS_AT_ONCE = 10_000
 # The largest number of 24 bits with a sign.
@@ -51,22 +53,21 @@ def train(
     seed: int,
 ) -> DataFrame:
     """(word, vector array<float>) of every word seen at least min_count times."""
-    rows = df.select(F.lit(0).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = df.select(F.col(text).cast("string").alias("text"))
     parts, made = partitions or _block_count(rows), Tables()
-    block = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
-    dealt = rows.withColumn("block", block).repartitionById(parts, "block")
-    docs = made.add(store(dealt, "zstd"))
-    known = vocabulary(docs, "text", min_count).select(F.col("word").alias("feature"), "n")
+    dealt = rows.mapInArrow(partial(_dealt, parts=parts), "block int, key int, text binary")
+    docs = made.add(store(dealt.repartitionById(parts, "block"), "none"))
+    known = vocabulary(docs.mapInArrow(_read, "text string"), "text", min_count).select(
+        F.col("word").alias("feature"), "n"
+    )
     no_vector = F.lit(None).cast("binary")
     table = store(known.select("*", no_vector.alias("inner"), no_vector.alias("outer")))
     lot = F.when(F.col("side") == 0, F.xxhash64("feature", F.lit(seed))).alias("lot")
     for epoch in range(epochs):
         made.add(table)
-        met = in_blocks(docs, parts, tokens, table).sortWithinPartitions("block", "side")
-        fed = met.select(
-            "block", "side", F.when(F.col("side") == 1, tokens("text")).alias("words"),
-            "feature", "n", lot, "inner", "outer",
-        )
+        asked = docs.mapInArrow(_asked, "block int, feature string")
+        met = meet(docs, parts, asked, table).sortWithinPartitions("block", "side")
+        fed = met.select("block", "side", "text", "feature", "n", lot, "inner", "outer")
         settings = {"dim": dim, "window": window, "seed": seed, "epoch": epoch, "epochs": epochs}
         trained = fed.mapInArrow(
             partial(_trained, **settings),
@@ -90,6 +91,68 @@ def _block_count(rows: DataFrame) -> int:
     return max(1, -(-size // BLOCK_BYTES), min(tasks, -(-size // LEAST_BYTES)))
 
 
+def _dealt(
+    batches: Iterator[pa.RecordBatch], parts: int, size: int = PACK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """(block, key, text): packs of texts that follow each other, dealt in turn."""
+    turn = TaskContext.get().partitionId()
+    for batch in batches:
+        texts, packs, start = batch.column("text"), [], 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while start < len(texts):
+            full = (ends[start - 1] if start else 0) + size
+            end = max(start + 1, int(np.searchsorted(ends, full, "right")))
+            packs.append(_pack(texts.slice(start, end - start)))
+            start = end
+        blocks = (turn + np.arange(len(packs))) % parts
+        turn += len(packs)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(blocks, pa.int32()), pa.nulls(len(packs), pa.int32()), pa.array(packs, pa.binary())],
+            ["block", "key", "text"],
+        )
+
+
+def _pack(texts: pa.Array) -> bytes:
+    rows, out = pa.record_batch([texts], ["text"]), pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    with pa.ipc.new_stream(out, rows.schema, options=options) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _texts(packs: pa.Array) -> Iterator[tuple[pa.Array, float, float]]:
+    """The texts of some packs at a time, and the shares of all packs that lie
+    before and up to their end."""
+    held, size = [], 0
+    for i, pack in enumerate(packs):
+        texts = pa.ipc.open_stream(pack.as_buffer()).read_all().column("text").combine_chunks()
+        if held and size + texts.nbytes > UNPACKED_BYTES:
+            yield pa.concat_arrays(held), (i - len(held)) / len(packs), i / len(packs)
+            held, size = [], 0
+        held.append(texts)
+        size += texts.nbytes
+    if held:
+        yield pa.concat_arrays(held), 1 - len(held) / len(packs), 1.0
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for texts, *_ in _texts(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([texts], ["text"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, feature) of the words of each block, few of them twice."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        for block in np.unique(blocks).tolist():
+            for texts, *_ in _texts(batch.column("text").filter(pa.array(blocks == block))):
+                words = words_of(texts)[1].unique()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(words), block, np.int32)), words], ["block", "feature"]
+                )
+
+
 def first_vectors(lots: np.ndarray, dim: int) -> np.ndarray:
     """Vectors even in -0.5 / dim to 0.5 / dim, fixed by each word's lot."""
     with np.errstate(over="ignore"):
@@ -168,12 +231,11 @@ class _Block:
         share = np.cumsum(self.rows.column("n").to_numpy() ** 0.75)
         self.share = share / share[-1]
 
-    def run(self, texts: pa.ListArray, rates: tuple[float, float]) -> None:
+    def run(self, texts: pa.Array, rates: tuple[float, float]) -> None:
         """Train on texts, the rate going from the first to the second."""
-        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
-        ids = pc.fill_null(pc.index_in(texts.flatten(), value_set=self.words), -1).to_numpy()
-        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[ids >= 0]
-        ids = ids[ids >= 0]
+        text, words = words_of(texts)
+        ids = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        text, ids = text[ids >= 0], ids[ids >= 0]
         self.seen += np.bincount(ids, minlength=len(self.seen))
         reach = self.rng.integers(1, self.window + 1, len(ids))
         for start in range(0, len(ids), STRETCH):
@@ -244,7 +306,8 @@ def _trained(
                 continue
             rng = np.random.default_rng([seed, epoch, block])
             made, held = _Block(held, dim, window, rng), []
-        made.run(rows.column("words"), (high, low))
+        for texts, before, upto in _texts(rows.column("text")):
+            made.run(texts, (high - (high - low) * before, high - (high - low) * upto))
     if made is not None:
         yield from made.result(last)
 
