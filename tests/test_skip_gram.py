@@ -80,3 +80,70 @@ def test_words_are_those_of_the_expression(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, text string")
     want = [(r["i"], r["w"]) for r in df.select("i", F.explode(tokens("text")).alias("w")).collect()]
     assert sorted(zip(at.tolist(), words.to_pylist())) == sorted(want)
+
+
+@pytest.mark.parametrize("epochs", [1, 2])
+def test_rounds_train_every_block(spark, monkeypatch, epochs):
+    rng = np.random.default_rng(1)
+    rows = [(f"only{i} " * 3 + " ".join(f"w{j}" for j in rng.integers(0, 50, 30)),) for i in range(200)]
+    df = spark.createDataFrame(rows, "text string").repartition(9)
+    folder = scratch_root(spark).removeprefix("file:")
+    known = {f"w{j}" for j in range(50)} | {f"only{i}" for i in range(200)}
+    for rounds in ([(0, 7)], [(0, 2), (2, 3), (3, 7)]):
+        monkeypatch.setattr(skip_gram, "_rounds", lambda *_: rounds)
+        before = set(os.listdir(folder))
+        made = skip_gram.train(df, "text", 6, 3, 3, epochs, 7, 42)
+        kept = [f for f in os.listdir(folder) if f not in before and f.startswith("table-")]
+        found = [(r["word"], np.array(r["vector"])) for r in made.collect()]
+        assert sorted(w for w, _ in found) == sorted(known) and len(kept) == 1
+        assert all(v.shape == (6,) and np.isfinite(v).all() and v.any() for _, v in found)
+
+
+@pytest.mark.parametrize("outer", [False, True])
+def test_means_of_rounds_are_those_of_all_at_once(outer):
+    rng, dim = np.random.default_rng(2), 5
+    words = rng.choice([f"w{i}" for i in range(30)], 90)
+
+    def rows(at):
+        return pa.record_batch(
+            {"feature": pa.array(words[at]), "n": pa.array([9] * len(at), pa.int64()), "weight": pa.array(at + 1),
+             "inner": skip_gram._packed(vectors[at]), "outer": skip_gram._packed(-vectors[at]) if outer else pa.nulls(len(at), pa.binary())}
+        )
+
+    def means(batches, whole):
+        table = pa.Table.from_batches(batches).sort_by("feature")
+        return list(skip_gram._means(iter(table.to_batches(max_chunksize=7)), dim, whole))
+
+    vectors = rng.normal(size=(90, dim)).astype(np.float32)
+    at = np.arange(90)
+    once = pa.Table.from_batches(means([rows(at)], True)).to_pydict()
+    first = means([rows(at[:25])], False)
+    again = pa.Table.from_batches(means([*means([*first, rows(at[25:60])], False), rows(at[60:])], True)).to_pydict()
+    assert once["feature"] == again["feature"] and once["weight"] == again["weight"]
+    for word, weight, got, same in zip(once["feature"], once["weight"], once["inner"], again["inner"]):
+        which = np.flatnonzero(words == word)
+        want = np.average(vectors[which], axis=0, weights=which + 1)
+        assert weight == (which + 1).sum()
+        assert np.abs(np.frombuffer(got, "<f4") - want).max() < 1e-6
+        assert np.abs(np.frombuffer(same, "<f4") - want).max() < 1e-6
+    assert outer == (once["outer"][0] is not None)
+
+
+def test_rounds_cover_all_blocks_and_keep_tasks_busy():
+    for parts in (1, 2, 7, 8, 9, 31, 32, 110, 1000):
+        rounds = skip_gram._rounds(parts, 8)
+        assert [b for low, high in rounds for b in range(low, high)] == list(range(parts))
+        assert len(rounds) == 1 or min(high - low for low, high in rounds) >= 8
+    assert len(skip_gram._rounds(110, 8)) == skip_gram.ROUNDS
+
+
+def test_shuffle_files_go_and_the_setting_comes_back(spark):
+    name, folder = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark.sparkContext._jvm
+    before = spark.conf.get(name)
+    df = spark.createDataFrame([(f"a b c{i % 9} " * 9,) for i in range(50)], "text string").repartition(3)
+    tracker = folder.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = set(map(int, str(tracker.shuffleStatuses().keys().mkString(" ")).split()))
+    skip_gram.train(df, "text", 4, 2, 2, 1, 3, 42)
+    assert spark.conf.get(name) == before
+    left = set(map(int, str(tracker.shuffleStatuses().keys().mkString(" ")).split()))
+    assert len(left - held) <= 1  # that of a size taken before

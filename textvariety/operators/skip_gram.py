@@ -6,7 +6,9 @@ a word's vector is then the mean of what its blocks made of it, each weighed by
 how often the word stands there. So the vectors lie in a table that Spark joins
 and shuffles: a task holds those of one block, the driver none. What is shuffled
 is, nearly all of it, a vector for each block and word of it: the larger the
-blocks, the fewer of these there are. Texts travel and are stored in packs.
+blocks, the fewer of these there are. Blocks are trained in rounds, if there are
+enough for all tasks: the vectors of one are added up, and its files deleted,
+before the next. Texts travel and are stored in packs.
 
 A stretch of words is trained at once: all its pairs inside of a window against
 negatives drawn for the stretch by n ** 0.75 among the words of the block.
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 
 from textvariety.operators.feature_blocks import meet, runs_of_blocks, words_of
 from textvariety.operators.vocabulary import vocabulary
-from textvariety.sources.scratch import Tables, store
+from textvariety.sources.scratch import Tables, freeing_shuffles, store
 
 # Bytes of text in a block; smaller corpora are spread over the cluster's tasks.
 BLOCK_BYTES, LEAST_BYTES = 96 << 20, 1 << 20
+# Blocks are trained in so many rounds at most.
+ROUNDS = 2
 # Bytes of text in a pack, and of those that are unpacked at once.
 PACK_BYTES, UNPACKED_BYTES = 512 << 10, 8 << 20
 # Vectors made or given at once.
@@ -53,6 +57,24 @@ def train(
     seed: int,
 ) -> DataFrame:
     """(word, vector array<float>) of every word seen at least min_count times."""
+    with freeing_shuffles(df.sparkSession):
+        table = _table(df, text, dim, min_count, window, epochs, partitions, seed)
+    return table.select(F.col("feature").alias("word"), "inner").mapInArrow(
+        partial(_listed, dim=dim), "word string, vector array<float>"
+    )
+
+
+def _table(
+    df: DataFrame,
+    text: str,
+    dim: int,
+    min_count: int,
+    window: int,
+    epochs: int,
+    partitions: int | None,
+    seed: int,
+) -> DataFrame:
+    """(feature, n, weight, inner, outer), stored."""
     rows = df.select(F.col(text).cast("string").alias("text"))
     parts, made = partitions or _block_count(rows), Tables()
     dealt = rows.mapInArrow(partial(_dealt, parts=parts), "block int, key int, text binary")
@@ -62,27 +84,44 @@ def train(
     )
     no_vector = F.lit(None).cast("binary")
     table = store(known.select("*", no_vector.alias("inner"), no_vector.alias("outer")))
-    lot = F.when(F.col("side") == 0, F.xxhash64("feature", F.lit(seed))).alias("lot")
+    rounds = _rounds(parts, rows.sparkSession.sparkContext.defaultParallelism)
     for epoch in range(epochs):
         made.add(table)
-        asked = docs.mapInArrow(_asked, "block int, feature string")
-        met = meet(docs, parts, asked, table).sortWithinPartitions("block", "side")
-        fed = met.select("block", "side", "text", "feature", "n", lot, "inner", "outer")
         settings = {"dim": dim, "window": window, "seed": seed, "epoch": epoch, "epochs": epochs}
-        trained = fed.mapInArrow(
-            partial(_trained, **settings),
-            "feature string, n long, weight long, inner binary, outer binary",
-        )
-        alike = trained.repartition("feature").sortWithinPartitions("feature")
-        table = store(
-            alike.mapInArrow(
-                partial(_means, dim=dim), "feature string, n long, inner binary, outer binary"
+        sums, before = None, Tables()
+        for low, high in rounds:
+            here = docs.filter(F.col("block").between(low, high - 1)) if len(rounds) > 1 else docs
+            trained = _fed(here, parts, table.drop("weight"), seed).mapInArrow(
+                partial(_trained, **settings), _VECTORS
             )
-        )
+            alike = trained if sums is None else trained.unionByName(sums)
+            alike = alike.repartition("feature").sortWithinPartitions("feature")
+            means = partial(_means, dim=dim, whole=high == parts)
+            sums = store(alike.mapInArrow(means, _VECTORS))
+            before.discard()
+            if high < parts:
+                before.add(sums)
+        table = sums
     made.discard()
-    return table.select(F.col("feature").alias("word"), "inner").mapInArrow(
-        partial(_listed, dim=dim), "word string, vector array<float>"
-    )
+    return table
+
+
+_VECTORS = "feature string, n long, weight long, inner binary, outer binary"
+
+
+def _fed(docs: DataFrame, parts: int, table: DataFrame, seed: int) -> DataFrame:
+    """Blocks, the vectors of each before its packs of texts."""
+    asked = docs.mapInArrow(_asked, "block int, feature string")
+    met = meet(docs, parts, asked, table).sortWithinPartitions("block", "side")
+    lot = F.when(F.col("side") == 0, F.xxhash64("feature", F.lit(seed))).alias("lot")
+    return met.select("block", "side", "text", "feature", "n", lot, "inner", "outer")
+
+
+def _rounds(parts: int, tasks: int) -> list[tuple[int, int]]:
+    """The first block of each round, and of the next."""
+    count = max(1, min(ROUNDS, parts // tasks))
+    cuts = [parts * i // count for i in range(count + 1)]
+    return list(zip(cuts, cuts[1:]))
 
 
 def _block_count(rows: DataFrame) -> int:
@@ -312,8 +351,11 @@ def _trained(
         yield from made.result(last)
 
 
-def _means(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    """One row for each run of equal words: the mean of its vectors by weight."""
+def _means(
+    batches: Iterator[pa.RecordBatch], dim: int, whole: bool
+) -> Iterator[pa.RecordBatch]:
+    """One row for each run of equal words: the mean of its vectors by weight, as
+    floats if it is `whole`, else packed for the next round."""
     last = None  # (feature, n), weight and sums of the run that may go on
     for batch in batches:
         if not len(batch):
@@ -332,20 +374,22 @@ def _means(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBat
                 weights[0] += last[1][0]
                 sums[0] += last[2][0]
             else:
-                yield _mean(*last, dim)
+                yield _mean(*last, dim, whole)
         if len(starts) > 1:
-            yield _mean(heads.slice(0, len(starts) - 1), weights[:-1], sums[:-1], dim)
+            yield _mean(heads.slice(0, len(starts) - 1), weights[:-1], sums[:-1], dim, whole)
         last = heads.slice(len(starts) - 1), weights[-1:], sums[-1:]
     if last is not None:
-        yield _mean(*last, dim)
+        yield _mean(*last, dim, whole)
 
 
-def _mean(heads: pa.RecordBatch, weights: np.ndarray, sums: np.ndarray, dim: int) -> pa.RecordBatch:
-    mean = sums / weights[:, None]
-    outer = _binary(mean[:, dim:]) if mean.shape[1] > dim else pa.nulls(len(mean), pa.binary())
+def _mean(
+    heads: pa.RecordBatch, weights: np.ndarray, sums: np.ndarray, dim: int, whole: bool
+) -> pa.RecordBatch:
+    mean, given = sums / weights[:, None], _binary if whole else _packed
+    outer = given(mean[:, dim:]) if mean.shape[1] > dim else pa.nulls(len(mean), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [*heads.columns, _binary(mean[:, :dim]), outer],
-        ["feature", "n", "inner", "outer"],
+        [*heads.columns, pa.array(weights.astype(np.int64)), given(mean[:, :dim]), outer],
+        ["feature", "n", "weight", "inner", "outer"],
     )
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_FREEING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # A table of at most this many narrow rows is safe to broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -50,6 +53,21 @@ def store(df: DataFrame, codec: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job are deleted as it ends, not when the driver collects
+    its garbage. For jobs whose results are stored or collected."""
+    before = spark.conf.get(_FREEING, None)
+    spark.conf.set(_FREEING, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREEING)
+        else:
+            spark.conf.set(_FREEING, before)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a stored table whose size passes the check."""
     return F.broadcast(df) if df.count() <= max_rows else df
